@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,8 +151,52 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
             tokens = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, tokens, pa.array([x > limit for x in n], pa.bool_())], names=[*keep, *made.fieldNames()])
 
-    import pyarrow.compute  # noqa: F401
-
     return src.mapInArrow(run, schema)
 
 
+
+
+class Memo:
+    """Ids of whole texts by way of their stable pieces.
+
+    A piece is white space and the non-space run after it, so every border
+    between pieces is ``stable`` and the ids of a text are those of its pieces.
+    Pieces repeat, and a bounded cache of the worker keeps them.
+    """
+
+    PIECE = re.compile(r"\s*[^\s]+|\s+")
+    ODD = re.compile("[\x1c-\x1f]")
+
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+        self.t, self.path, self.most, self.longest = load(path), path, most, longest
+        self.whole = not (str(path).endswith(".json") and _byte_level(path))
+        self.kept: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids as unsigned 32-bit numbers."""
+        if self.whole:
+            return [np.array(x, dtype="<u4") for x in encode_all(texts, self.path)]
+        if len(self.kept) > self.most:
+            self.kept.clear()
+        kept, cut = self.kept, []
+        once: dict[str, bytes] = {}
+        for x in texts:
+            pieces = [x] if self.ODD.search(x) else self.PIECE.findall(x)
+            cut.append(pieces)
+            for p in pieces:
+                if p not in kept:
+                    (kept if len(p) <= self.longest else once)[p] = b""
+                    once.setdefault(p, b"")
+        new = list(once)
+        for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            (kept if len(p) <= self.longest else once)[p] = ids
+        if once:
+            get = lambda p: kept[p] if p in kept else once[p]
+            return [np.frombuffer(b"".join(map(get, pieces)), dtype="<u4") for pieces in cut]
+        return [np.frombuffer(b"".join(map(kept.__getitem__, pieces)), dtype="<u4") for pieces in cut]
+
+
+@lru_cache(maxsize=2)
+def memo(path: str) -> Memo:
+    return Memo(path)
