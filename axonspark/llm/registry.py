@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonspark.llm import forest, jaccard, mixing, packing, tokens, topk
+from axonspark.llm import forest, jaccard, mixing, packing, quality, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(e.where(F.col("vec_id") % 100 == 0), e)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
