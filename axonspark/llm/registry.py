@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonspark.llm import forest, jaccard, mixing, packing, quality, tokens, topk
+from axonspark.llm import forest, jaccard, mixing, packing, quality, spans, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,6 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_ngram_jaccard": op6_ngram_jaccard,
