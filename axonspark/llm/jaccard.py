@@ -34,6 +34,8 @@ from axonspark.llm.scratch import Scratch
 #: N-grams of documents that are counted together before they move, and of a column block at the receiver.
 CHUNK_GRAMS = 1 << 21
 BLOCK_GRAMS = 1 << 21
+#: A list with so many early entries or fewer is completed in the second turn.
+FEW = 64
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -53,9 +55,10 @@ def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def need(nx, ny, num: int, den: int):
-    """Smallest overlap o with den * o >= num * (nx + ny - o)."""
-    return -((-num * (nx + ny)) // (num + den))
+def column(h: np.ndarray, blocks: int) -> np.ndarray:
+    """Column block (upper half) and 32-bit column in it (lower half), ascending with the hash: floor(h * blocks / 2**32)."""
+    n = np.uint64(blocks)
+    return (h >> np.uint64(32)) * n + ((h & np.uint64(0xFFFFFFFF)) * n >> np.uint64(32))
 
 
 def prefix(n: int, num: int, den: int) -> int:
@@ -94,12 +97,12 @@ def _count(docs: DataFrame, size: int, blocks: int) -> DataFrame:
             with pa.ipc.new_stream(body, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(t)
             rows = [(chunk, -1, body.getvalue().to_pybytes())]
-            h, c = np.unique(np.concatenate(grams), return_counts=True)
-            block = (h >> np.uint64(32)) % np.uint64(blocks)
-            low = h.astype(np.uint32)
-            order = np.lexsort((low, block))
-            block, low, c = block[order], low[order], c[order]
-            at = np.flatnonzero(np.diff(block, prepend=block[:1] + np.uint64(1)))
+            x = column(np.concatenate(grams), blocks)
+            x.sort()
+            at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            c, x = np.diff(np.append(at, len(x))), x[at]
+            block, low = x >> np.uint64(32), x.astype(np.uint32)
+            at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             for i, j in zip(at, [*at[1:], len(block)], strict=True):
                 rows.append((chunk, int(block[i]), pack(low[i:j], c[i:j])))
                 if len(rows) >= 256:
@@ -176,10 +179,9 @@ def _heads(size: int, num: int, den: int, blocks: int):
         for b, x in zip(block, payload, strict=True):
             if b >= 0 or not len(known):
                 continue
-            column = pa.ipc.open_stream(x).read_all()["text"]
-            for _, col in words.slices(column):
+            for _, col in words.slices(pa.ipc.open_stream(x).read_all()["text"]):
                 values, first = words.shingle_sets(col, size)
-                full = (values >> np.uint64(32)) % np.uint64(blocks) << np.uint64(32) | (values & np.uint64(0xFFFFFFFF))
+                full = column(values, blocks)
                 at = np.minimum(np.searchsorted(known, full), len(known) - 1)
                 count = np.where(known[at] == full, df[at], np.uint32(1))
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -237,6 +239,32 @@ def _overlap(size: int, num: int, den: int):
     return run
 
 
+def _index(num: int, den: int):
+    """The smaller text of any pair that reaches the threshold has a shared n-gram this early in its order."""
+    return (num + den) * (F.col("n") - F.col("pos") + 1) >= 2 * num * F.col("n")
+
+
+def _products(todo: DataFrame, turn: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pivots of each list, the lists with ``last``: whether this turn completes them).
+
+    First come two pivots a list, the same for all lists of a family as far as
+    can be. Lists still open after that have all their early entries for pivots
+    if these are few, else a share that grows fourfold with each turn.
+    """
+    early = todo.where(_index(num, den))
+    if turn == 0:
+        least = [F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("o"), "digest", "n", "pos", "comp")) for k in range(2)]
+        both = early.groupBy("key").agg(*[a.alias(f"p{k}") for k, a in enumerate(least)])
+        one = [F.struct(*[F.col(f"p{k}.{c}") for c in ("digest", "n", "pos", "comp")]) for k in range(2)]
+        chosen = both.select("key", F.explode(F.array_distinct(F.array(*one))).alias("p")).select("key", "p.*")
+        return scratch.keep(chosen, "pivots"), todo.withColumn("last", F.lit(False))
+    counts = scratch.keep(early.groupBy("key").agg(F.count("*").alias("i"), F.min("digest").alias("least")), "early")
+    step = F.ceil(F.col("i") / F.lit(float(FEW * 4 ** (turn - 1))))
+    chosen = early.join(counts, "key").where((F.pmod(F.xxhash64("digest", F.lit(turn)), step) == 0) | (F.col("digest") == F.col("least")))
+    chosen = scratch.keep(chosen.select("key", "digest", "n", "pos", "comp"), "pivots")
+    return chosen, todo.join(counts.select("key", (step == 1).alias("last")), "key")
+
+
 def links(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (id, text): (sets of each row, links between different sets).
 
@@ -259,17 +287,16 @@ def links(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den:
     todo = scratch.keep(posts.join(many, "key", "left_semi").withColumn("comp", F.col("digest")), "todo")
     scratch.drop(heads, posts)
     found: DataFrame | None = None
-    pivots = 2
+    turn = 0
     while not todo.isEmpty():
-        chosen = todo.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("o"), "digest", "n", "pos", "comp")).alias(f"p{k}") for k in range(pivots)])
-        chosen = scratch.keep(chosen.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[f"p{k}.{c}" for c in ("digest", "n", "pos", "comp")]) for k in range(pivots)]))).alias("p")), "pivots")
+        chosen, todo = _products(todo, turn, num, den, scratch)
         x, y = todo.alias("x"), chosen.alias("y")
-        bound = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.p.n") - F.col("y.p.pos"))
+        bound = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         pairs = (
             x.join(y, "key")
-            .where((F.col("x.comp") != F.col("y.p.comp")) & (F.col("x.digest") != F.col("y.p.digest")))
-            .where((den * F.least("x.n", "y.p.n") >= num * F.greatest("x.n", "y.p.n")) & ((num + den) * bound >= num * (F.col("x.n") + F.col("y.p.n"))))
-            .select(F.least("x.digest", "y.p.digest").alias("a"), F.greatest("x.digest", "y.p.digest").alias("b"))
+            .where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.digest") != F.col("y.digest")))
+            .where((den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & ((num + den) * bound >= num * (F.col("x.n") + F.col("y.n"))))
+            .select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
             .distinct()
         )
         pairs = scratch.keep(pairs, "pairs")
@@ -277,14 +304,19 @@ def links(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den:
         with_b = with_a.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         fresh = scratch.keep(with_b.mapInArrow(_overlap(size, num, den), "a binary, b binary"), "links")
         found = fresh if found is None else found.unionByName(fresh)
-        label = scratch.keep(components(found, scratch), "labels")
-        left = todo.drop("comp").join(chosen.select("key", "p.digest"), ["key", "digest"], "left_anti")
-        left = left.join(label, left.digest == label.node, "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("comp"))
-        left = scratch.keep(left, "left")
-        open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        nxt = scratch.keep(left.join(open_, "key", "left_semi"), "todo")
-        scratch.drop(todo, chosen, pairs, label, left)
-        todo, pivots = nxt, min(2 * pivots, 32)
+        left = todo.where("not last").join(chosen.select("key", "digest"), ["key", "digest"], "left_anti")
+        if turn == 0 or not left.isEmpty():
+            label = scratch.keep(components(found, scratch), "labels")
+            left = left.drop("comp").join(label, left.digest == label.node, "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("comp"))
+            left = scratch.keep(left, "left")
+            small = left.where(_index(num, den)).groupBy("key").agg(F.count("*").alias("i"))
+            open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            todo = scratch.keep(left.join(open_, "key", "left_semi").join(small.select("key"), "key", "left_semi"), "todo")
+            scratch.drop(label, left)
+        else:
+            todo = left
+        scratch.drop(chosen, pairs)
+        turn += 1
     if found is None:
         found = sets.sparkSession.createDataFrame([], "a binary, b binary")
     return sets, found

@@ -126,13 +126,13 @@ def grams(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def row_sets(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order, and the boundaries."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
+    values = values.copy()
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        values[i:j].sort()
     fresh = np.ones(len(values), dtype=bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
-    values, row = values[fresh], row[fresh]
-    return values, np.searchsorted(row, np.arange(len(first)))
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[first[:-1][first[:-1] < first[1:]]] = True
+    return values[fresh], np.concatenate([[0], np.cumsum(fresh)])[first]
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
