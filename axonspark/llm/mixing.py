@@ -99,8 +99,8 @@ def _take(seed: int):
     return run
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, parts: int = 256) -> DataFrame:
-    """Every row of ``docs`` as struct ``row``, with size, source_size, target, copies and taken.
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, parts: int = 256, carry: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` as struct ``row`` (of the columns ``carry``, or all), with size, source_size, target, copies and taken.
 
     A source whose target is at least its size is taken whole, once or twice;
     what its target leaves is filled with one more copy of seeded documents, as
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     scratch = Scratch(spark, "mix")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     order = F.xxhash64(F.lit(seed), F.col(f"`{id}`"), body)
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), order.alias("h"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row"), F.col(f"`{source}`").alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), order.alias("h"))
     sized = scratch.keep(sized, "sized")
     found = sized.groupBy("source").agg(F.sum("size").alias("s"))
     if found.count() > MOST_SOURCES:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonspark.llm import forest, jaccard, mixing, packing, pii, quality, spans, tokens, topk
+from axonspark.llm import forest, html, jaccard, mixing, packing, pii, quality, spans, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,7 +40,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_main_text": op2_main_text,
     "op3_token_counts": op3_token_counts,
     "op4_personal_data": op4_personal_data,
     "op5_exact_top_k": op5_exact_top_k,

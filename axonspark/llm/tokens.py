@@ -167,10 +167,25 @@ class Memo:
     PIECE = re.compile(r"\s*[^\s]+|\s+")
     ODD = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1_500_000, longest: int = 40):
         self.t, self.path, self.most, self.longest = load(path), path, most, longest
         self.whole = not (str(path).endswith(".json") and _byte_level(path))
         self.kept: dict[str, bytes] = {}
+        if not self.whole:
+            vocabulary = self.t.get_vocab(with_added_tokens=True)
+            self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, k in vocabulary.items():
+                self.size[k] = len(token)  # a byte-level token has a character for each byte
+            self.kind = "<u2" if len(self.size) <= 65536 else "<u4"
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that all begin with white space and end without: as one text, cut again by bytes."""
+        ids = np.array(self.t.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.size[ids])
+        cut = np.searchsorted(ends, np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])) + 1
+        width = 4 if self.kind == "<u4" else 2
+        body, at = ids.astype(self.kind).tobytes(), [0, *(cut * width).tolist()]
+        return [body[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids as unsigned 32-bit numbers."""
@@ -178,23 +193,26 @@ class Memo:
             return [np.array(x, dtype="<u4") for x in encode_all(texts, self.path)]
         if len(self.kept) > self.most:
             self.kept.clear()
-        kept, cut = self.kept, []
-        once: dict[str, bytes] = {}
+        kept, cut, alone = self.kept, [], set()
         for x in texts:
-            pieces = [x] if self.ODD.search(x) else self.PIECE.findall(x)
-            cut.append(pieces)
-            for p in pieces:
-                if p not in kept:
-                    (kept if len(p) <= self.longest else once)[p] = b""
-                    once.setdefault(p, b"")
-        new = list(once)
-        for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            (kept if len(p) <= self.longest else once)[p] = ids
-        if once:
-            get = lambda p: kept[p] if p in kept else once[p]
-            return [np.frombuffer(b"".join(map(get, pieces)), dtype="<u4") for pieces in cut]
-        return [np.frombuffer(b"".join(map(kept.__getitem__, pieces)), dtype="<u4") for pieces in cut]
+            if self.ODD.search(x):
+                cut.append([x])
+                alone.add(x)
+            else:
+                cut.append(self.PIECE.findall(x))
+        new = set().union(*cut).difference(kept)
+        alone |= {p for p in new if not p[0].isspace() or p[-1].isspace()}
+        plain = list(new - alone)
+        once = dict(zip(plain, self._together(plain), strict=True)) if plain else {}
+        rest = list(alone)
+        for p, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            once[p] = np.array(e.ids, dtype=self.kind).tobytes()
+        kept.update(once)
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, pieces)), dtype=self.kind).astype("<u4") for pieces in cut]
+        for p in once:
+            if len(p) > self.longest:
+                del kept[p]
+        return out
 
 
 @lru_cache(maxsize=2)
