@@ -305,17 +305,16 @@ def links(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den:
         fresh = scratch.keep(with_b.mapInArrow(_overlap(size, num, den), "a binary, b binary"), "links")
         found = fresh if found is None else found.unionByName(fresh)
         left = todo.where("not last").join(chosen.select("key", "digest"), ["key", "digest"], "left_anti")
-        if turn == 0 or not left.isEmpty():
-            label = scratch.keep(components(found, scratch), "labels")
-            left = left.drop("comp").join(label, left.digest == label.node, "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("comp"))
-            left = scratch.keep(left, "left")
-            small = left.where(_index(num, den)).groupBy("key").agg(F.count("*").alias("i"))
-            open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            todo = scratch.keep(left.join(open_, "key", "left_semi").join(small.select("key"), "key", "left_semi"), "todo")
-            scratch.drop(label, left)
-        else:
-            todo = left
-        scratch.drop(chosen, pairs)
+        if turn and left.isEmpty():
+            scratch.drop(chosen, pairs)
+            break
+        label = scratch.keep(components(found, scratch), "labels")
+        left = left.drop("comp").join(label, left.digest == label.node, "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("comp"))
+        left = scratch.keep(left, "left")
+        early = left.where(_index(num, den)).select("key").distinct()
+        open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        todo = scratch.keep(left.join(open_, "key", "left_semi").join(early, "key", "left_semi"), "todo")
+        scratch.drop(label, left, chosen, pairs)
         turn += 1
     if found is None:
         found = sets.sparkSession.createDataFrame([], "a binary, b binary")
