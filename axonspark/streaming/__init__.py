@@ -1,0 +1 @@
+"""No streaming operator exists in the query set; edge tables are ingested in batches (``axonspark.sources``)."""
