@@ -32,7 +32,7 @@ from axonspark.llm.graph import components
 from axonspark.llm.scratch import Scratch
 
 #: N-grams of documents that are counted together before they move, and of a column block at the receiver.
-CHUNK_GRAMS = 1 << 21
+CHUNK_GRAMS = 1 << 20
 BLOCK_GRAMS = 1 << 21
 #: A list with so many early entries or fewer is completed in the second turn.
 FEW = 64
