@@ -53,7 +53,7 @@ def cache_key(dataset: str, action: str, query: dict) -> str:
 
 def payload(arguments: dict) -> dict:
     """The arguments that say something."""
-    return {k: v for k, v in arguments.items() if v not in (None, "", [], (), {}, False)}
+    return {k: v for k, v in arguments.items() if not (v is None or v is False or (hasattr(v, "__len__") and not len(v)))}
 
 
 def get_or_fetch(spark: SparkSession, root: str, dataset: str, action: str, query: dict, fetch: Callable[[], DataFrame], refresh: bool = False, offline_only: bool = False) -> tuple[DataFrame | None, str]:

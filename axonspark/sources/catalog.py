@@ -142,7 +142,7 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
     prefix = os.path.realpath(root)
     rel = F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(prefix) + 2})")
-    files = files.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    files = files.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("body"))
     files = files.where("relative_path <> 'manifest.csv'")
     parts = F.split("relative_path", "/")
     # a record ends at a line break outside quotes: quoted stretches are dropped before lines are counted
