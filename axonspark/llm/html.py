@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonspark.llm.names import unused
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is never shown as text of the page.
@@ -455,7 +457,7 @@ def main_text(pages: DataFrame, html: str = "html", fitted: TreeModel | None = N
     fitted = fitted or model()
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    src = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("__html"))
+    src = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias(unused(pages.columns, "body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

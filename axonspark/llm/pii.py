@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonspark.llm.names import unused
+
 #: The base kinds as the digest lists them, then those that only the method finds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -343,8 +345,9 @@ def find(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
     made = [*(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     names = [f.name for f in made]
     keep = [c for c in docs.columns if c not in names and (c != text)]
-    tail = [T.StructField("__text", T.StringType())] if clean else []
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
+    body = unused(docs.columns, "clean_text")
+    tail = [T.StructField(body, T.StringType())] if clean else []
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = model()
@@ -357,7 +360,7 @@ def find(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
                 rows.append((*n, hashlib.sha256(joined(sure).encode()).hexdigest(), joined(every), *([redact(x, every)] if clean else [])))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) + clean)
             kinds = [*[pa.int64()] * 4, *[pa.string()] * (2 + clean)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*keep, *names, *["__text"] * clean])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*keep, *names, *[body] * clean])
 
     out = src.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + made + tail))
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c in keep or (clean and c == text)], *names)
+    return out.select(*[F.col(body).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c in keep or (clean and c == text)], *names)

@@ -22,11 +22,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axonspark.llm import words
+from axonspark.llm.names import unused
 from axonspark.llm.scratch import Scratch
 
 #: Hashed features of the two models.
@@ -41,6 +43,17 @@ SLICE = 1 << 16
 TEMPERATURE = 0.05
 
 
+def pack(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending places in a slice and their counts, as compressed byte planes."""
+    planes = [np.diff(at, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2), n.astype("<i8").view(np.uint8).reshape(-1, 8)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(p.T).tobytes() for p in planes))
+
+
+def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(10, -1)
+    return np.cumsum(np.ascontiguousarray(body[:2].T).view("<u2").ravel(), dtype=np.int64), np.ascontiguousarray(body[2:].T).view("<i8").ravel()
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice of texts: (fluency features, their rows, distinct words, their rows)."""
     body, ends = words.raw(column)
@@ -80,17 +93,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.diff(hit // SLICE, prepend=-1))
         for i, j in zip(cuts, [*cuts[1:], len(hit)], strict=True):
             at = hit[i:j]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind], pa.int32()), pa.array([int(at[0]) // SLICE], pa.int32()), pa.array([(at % SLICE).astype("<u2").tobytes()]), pa.array([a[at].astype("<i8").tobytes()])], names=["kind", "slice", "at", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(at[0]) // SLICE], pa.int32()), pa.array([pack(at % SLICE, a[at])])], names=["kind", "slice", "payload"])
 
 
 def _add(t: pa.Table) -> pa.Table:
     a = np.zeros(SLICE, np.int64)
-    for at, n in zip(t["at"].to_pylist(), t["n"].to_pylist(), strict=True):
-        a[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+    for x in t["payload"].to_pylist():
+        at, n = unpack(x)
+        a[at] += n
     hit = np.flatnonzero(a)
-    return pa.table({"kind": t["kind"][:1], "slice": t["slice"][:1], "at": pa.array([hit.astype("<u2").tobytes()]), "n": pa.array([a[hit].astype("<i8").tobytes()])})
+    return pa.table({"kind": t["kind"][:1], "slice": t["slice"][:1], "payload": pa.array([pack(hit, a[hit])])})
 
 
 class Model:
@@ -100,8 +112,8 @@ class Model:
         size = (FLUENT, FLUENT, TELLING, TELLING, 2)
         self.a = [np.zeros(n, np.int32 if k in (2, 3) else np.int64) for k, n in enumerate(size)]
         for p in parts:
-            a = self.a[p["kind"]]
-            a[p["slice"] * SLICE + np.frombuffer(p["at"], "<u2").astype(np.int64)] = np.frombuffer(p["n"], "<i8")
+            at, n = unpack(p["payload"])
+            self.a[p["kind"]][p["slice"] * SLICE + at] = n
         self.cuts = (-np.inf, -np.inf)
         self.tells = len(CUTS) - 1
 
@@ -156,7 +168,8 @@ class Model:
         """Log importance weights; at least 0 on the side of the target."""
         size, mean, (tell,) = self.parts(column)
         big = 1e6
-        return np.minimum(np.clip(size * (mean - self.cuts[0]), -big, big), np.clip(tell - self.cuts[1], -big, big))
+        fluent = np.clip(np.where(size > 0, size, 1) * (mean - self.cuts[0]), -big, big)
+        return np.minimum(np.where(size > 0, fluent, 0.0), np.clip(tell - self.cuts[1], -big, big))
 
 
 def gumbel(column: pa.Array, ids: np.ndarray, seed: int) -> np.ndarray:
@@ -206,7 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     good = scratch.keep(good.orderBy(F.xxhash64("__id"), "__id").limit(LABELLED), "labels")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")
     marked = docs.select(body, F.col(f"`{id}`").alias("__id")).join(F.broadcast(good), "__id", "left").select("__text", "__good")
-    kind = "kind int, slice int, at binary, n binary"
+    kind = "kind int, slice int, payload binary"
     counted = marked.mapInArrow(_count, kind)
     model = Model(counted.groupBy("kind", "slice").applyInArrow(_add, kind).collect())
     shared = spark.sparkContext.broadcast(model)
@@ -224,8 +237,9 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     rows = marked.where("__good is not null").mapInArrow(left_out, kind).toPandas()
     model.fit(rows)
     fitted = spark.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("log_weight", "keep", "__key")]
-    made = [T.StructField("log_weight", T.DoubleType()), T.StructField("__key", T.DoubleType())]
+    keep = [c for c in docs.columns if c not in ("log_weight", "keep")]
+    rank = unused(docs.columns, "draw_key")
+    made = [T.StructField("log_weight", T.DoubleType()), T.StructField(rank, T.DoubleType())]
 
     def scorer(names: list[str]):
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +253,9 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
         return score
 
-    whole = docs.select(body, F.col(f"`{id}`").alias("__id"), *[F.col(f"`{c}`") for c in keep])
-    scored = whole.mapInArrow(scorer([*keep, "log_weight", "__key"]), T.StructType([docs.schema[c] for c in keep] + made))
-    keys = scratch.keep(whole.select("__text", "__id").mapInArrow(scorer(["log_weight", "key"]), "log_weight double, key double"), "keys")
+    whole = docs.select(body.alias(unused(docs.columns, "body")), F.col(f"`{id}`").alias(unused(docs.columns, "row_id")), *[F.col(f"`{c}`") for c in keep])
+    scored = whole.mapInArrow(scorer([*keep, "log_weight", rank]), T.StructType([docs.schema[c] for c in keep] + made))
+    keys = scratch.keep(docs.select(body, F.col(f"`{id}`").alias("__id")).mapInArrow(scorer(["log_weight", "key"]), "log_weight double, key double"), "keys")
     k = keys.where("log_weight >= 0").count()
     least = kth_largest(keys, k) if k else float("inf")
-    return scored.withColumn("keep", F.col("__key") >= least).drop("__key")
+    return scored.withColumn("keep", F.col(rank) >= least).drop(rank)

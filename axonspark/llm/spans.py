@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axonspark.llm import words
+from axonspark.llm.names import unused
 from axonspark.llm.scratch import Scratch
 
 #: A run is the shortest one from, or up to, each sentence that has so many words.
@@ -220,7 +221,7 @@ def _apply(least: int, blocks: int, names: list[str]):
             gone_n.append(np.bincount(s.row[gone], minlength=s.rows))
         cols = [c for k, c in enumerate(rows.columns) if k < text - 1]
         made = [pa.chunked_array(text_out, pa.string()), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(gone_n).astype(np.int64))]
-        return pa.Table.from_arrays([*cols, *made], names=[*names[:-2], "__text", "n_sentences", "n_removed"])
+        return pa.Table.from_arrays([*cols, *made], names=[*names[:-2], names[-1], "n_sentences", "n_removed"])
 
     return run
 
@@ -247,13 +248,14 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
     spark = docs.sparkSession
     scratch = Scratch(spark, "spans")
     keep = [c for c in docs.columns if c not in (text, "n_sentences", "n_removed")]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id}`").cast("long").alias("__order"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    volume = src.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    order, body = unused(docs.columns, "order"), unused(docs.columns, "clean_text")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id}`").cast("long").alias(order), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(body))
+    volume = src.agg(F.sum(F.octet_length(body))).first()[0] or 0
     blocks = max(1, -(-volume // (24 * BLOCK_RUNS)))
     spread = scratch.keep(src.mapInArrow(_spread(least, blocks), "chunk long, block int, payload binary"), "spread")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = spread.where("block >= 0").repartition(max(parts, min(blocks, 8 * parts)), "block").groupBy("block").applyInArrow(_answer, "chunk long, block int, payload binary")
     both = spread.where("block < 0").unionByName(answers)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(body, T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = both.groupBy("chunk").applyInArrow(_apply(least, blocks, src.columns), schema)
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c in keep or c == text], "n_sentences", "n_removed")
+    return out.select(*[F.col(body).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c in keep or c == text], "n_sentences", "n_removed")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonspark.llm.names import unused
+
 #: Texts of more code points are encoded in overlapping chunks.
 CHUNK = 1 << 15
 OVERLAP = 256
@@ -141,7 +143,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
     made = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     keep = [c for c in docs.columns if c != text and c not in made.fieldNames()]
     schema = T.StructType([docs.schema[c] for c in keep] + list(made))
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(unused(docs.columns, "body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

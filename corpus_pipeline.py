@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonspark.llm import jaccard, mixing, packing, pii, quality
+from axonspark.llm.names import apart
 from axonspark.llm.scratch import Scratch
 
 #: The classifier, the draw of copies and the packer can't be expressed in SQL; the tests hold the stages against brute force.
@@ -20,29 +21,31 @@ ORACLE_SQL: str | None = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps."""
-    return quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select(*docs.columns)
+    own, back = apart(docs, ["log_weight", "keep"])
+    return back(quality.classify(own, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id; documents without an id stay."""
     found = jaccard.ngram_jaccard(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti")
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind, and n_chars of the new texts."""
-    return pii.find(docs, clean=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own, back = apart(docs, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+    return back(pii.find(own, clean=True)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*").select(*docs.columns)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
