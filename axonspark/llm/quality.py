@@ -116,6 +116,24 @@ class Model:
             self.a[p["kind"]][p["slice"] * SLICE + at] = n
         self.cuts = (-np.inf, -np.inf)
         self.tells = len(CUTS) - 1
+        self._tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        """Compressed, since every executor keeps what is broadcast."""
+        c = zstandard.ZstdCompressor(level=3)
+        return {"a": [(x.dtype.str, c.compress(x.tobytes())) for x in self.a], "cuts": self.cuts, "tells": self.tells}
+
+    def __setstate__(self, state: dict) -> None:
+        d = zstandard.ZstdDecompressor()
+        self.a = [np.frombuffer(d.decompress(x), dtype) for dtype, x in state["a"]]
+        self.cuts, self.tells, self._tables = state["cuts"], state["tells"], None
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The log ratio of each fluency feature, and of each word that tells (else 0)."""
+        if self._tables is None:
+            tell = self._telling(np.arange(TELLING), 0, 0)
+            self._tables = self._fluency(np.arange(FLUENT), 0.0, False), np.where(tell < -CUTS[self.tells], tell, 0.0).astype(np.float32)
+        return self._tables
 
     def _fluency(self, g: np.ndarray, own: np.ndarray | float, is_good: np.ndarray | bool) -> np.ndarray:
         raw, target = self.a[0], self.a[1]
@@ -129,44 +147,53 @@ class Model:
         bad = (self.a[3][w] - is_bad + PRIOR_TELLING) / (n[1] + 1)
         return np.log(good / bad)
 
-    def parts(self, column: pa.Array, good: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Per text: (fluency features, their mean log ratio, sums over telling words by cut); with ``good``, each text's own counts are left out."""
+    def parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: (fluency features, their mean log ratio, sum over telling words)."""
+        g, gr, w, wr = features(column)
+        n = len(column)
+        fluent, tell = self.tables()
+        size = np.bincount(gr, minlength=n)
+        mean = np.bincount(gr, weights=fluent[g], minlength=n) / np.maximum(size, 1)
+        return size, mean, np.bincount(wr, weights=tell[w], minlength=n)
+
+    def left_out(self, column: pa.Array, good: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Per labelled text, without its own counts: (mean log ratio, sums over telling words by cut)."""
         g, gr, w, wr = features(column)
         n = len(column)
-        own: np.ndarray | float = 0.0
-        is_good: np.ndarray | bool = False
-        if good is not None:
-            pair = gr * FLUENT + g
-            _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
-            own, is_good = times[back].astype(float), good[gr]
+        _, back, times = np.unique(gr * FLUENT + g, return_inverse=True, return_counts=True)
         size = np.bincount(gr, minlength=n)
-        mean = np.bincount(gr, weights=self._fluency(g, own, is_good), minlength=n) / np.maximum(size, 1)
-        tell = self._telling(w, good[wr] if good is not None else 0, ~good[wr] if good is not None else 0)
-        at = range(len(CUTS)) if good is not None else [self.tells]
-        return size, mean, [np.bincount(wr, weights=np.where(tell < -CUTS[k], tell, 0.0), minlength=n) for k in at]
+        ratio = self._fluency(g, times[back].astype(float), good[gr])
+        tell = self._telling(w, good[wr], ~good[wr])
+        return np.bincount(gr, weights=ratio, minlength=n) / np.maximum(size, 1), [np.bincount(wr, weights=np.where(tell < -c, tell, 0.0), minlength=n) for c in CUTS]
 
     def fit(self, rows: pd.DataFrame) -> None:
-        """Cut points between the labelled good and rejected documents: fewest errors, a lost good one counting four times."""
+        """Cut points between the labelled good and rejected documents, for fluency between those that no word tells apart.
+
+        Each has the fewest errors, a lost good document counting ten times, and
+        lies nearer to the rejects.
+        """
         good = rows["good"].to_numpy(dtype=bool)
-        fluent = self._edge(rows["mean"].to_numpy(), good)
         tells = [self._edge(rows[f"tell{k}"].to_numpy(), good) for k in range(len(CUTS))]
         self.tells = min(range(len(CUTS)), key=lambda k: (tells[k][0], -k))
-        self.cuts = (fluent[1], tells[self.tells][1])
+        cut = tells[self.tells][1]
+        left = rows[f"tell{self.tells}"].to_numpy() >= cut
+        self._tables = None
+        self.cuts = (self._edge(rows["mean"].to_numpy()[left], good[left])[1], cut)
 
     @staticmethod
     def _edge(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
         """(cost, cut point) of the best cut."""
         order = np.argsort(x, kind="stable")
         x, good = x[order], good[order]
-        cost = np.concatenate([[0], np.cumsum(good)]) * 4 + (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
+        cost = np.concatenate([[0], np.cumsum(good)]) * 10 + (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
         edge = np.r_[True, x[1:] != x[:-1], True] if len(x) else np.array([True])
         cost = np.where(edge, cost, np.inf)
         k = int(np.argmin(cost))
-        return float(cost[k]), -np.inf if k == 0 else (x[k - 1] + x[k]) / 2 if k < len(x) else np.inf
+        return float(cost[k]), -np.inf if k == 0 else x[k - 1] + (x[k] - x[k - 1]) / 4 if k < len(x) else np.inf
 
     def weights(self, column: pa.Array) -> np.ndarray:
         """Log importance weights; at least 0 on the side of the target."""
-        size, mean, (tell,) = self.parts(column)
+        size, mean, tell = self.parts(column)
         big = 1e6
         fluent = np.clip(np.where(size > 0, size, 1) * (mean - self.cuts[0]), -big, big)
         return np.minimum(np.where(size > 0, fluent, 0.0), np.clip(tell - self.cuts[1], -big, big))
@@ -229,7 +256,7 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
             label = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for at, col in words.slices(b.column(0)):
                 here = label[at : at + len(col)]
-                _, mean, tells = shared.value.parts(col, here)
+                mean, tells = shared.value.left_out(col, here)
                 yield pa.RecordBatch.from_arrays([pa.array(mean), *map(pa.array, tells), pa.array(here)], names=names)
 
     names = ["mean", *(f"tell{k}" for k in range(len(CUTS))), "good"]
