@@ -57,15 +57,14 @@ def edges(df: DataFrame) -> DataFrame:
 
 
 def connections(df: DataFrame, pre: int | str | None = None, post: int | str | None = None, min_weight: int = 1, limit: int | None = 50) -> DataFrame:
-    """The table's own rows from ``pre`` to ``post``, heaviest first; other columns break ties."""
+    """The table's own rows from ``pre`` to ``post``, heaviest first; other columns break ties. Without a limit all rows, unordered."""
     r = roles(df.columns)
     for c, v in ((r.pre, pre), (r.post, post)):
         if v is not None:
             df = df.where(F.col(f"`{c}`") == F.lit(v).cast(df.schema[c].dataType))
     df = df.where(F.col(f"`{r.weight}`") >= min_weight)
     rest = [F.col(f"`{c}`").asc_nulls_last() for c in df.columns if c != r.weight]
-    out = df.orderBy(F.col(f"`{r.weight}`").desc_nulls_last(), *rest)
-    return out if limit is None else out.limit(limit)
+    return df if limit is None else df.orderBy(F.col(f"`{r.weight}`").desc_nulls_last(), *rest).limit(limit)
 
 
 def neighbours(df: DataFrame, body: int | str, inputs: bool, min_weight: int = 1, limit: int | None = 50) -> DataFrame:
@@ -75,8 +74,7 @@ def neighbours(df: DataFrame, body: int | str, inputs: bool, min_weight: int = 1
     by = [F.col(other).alias("partner_id"), *([F.col("roi")] if has_roi else [])]
     kept = named.where((F.col(own) == F.lit(body).cast(named.schema[own].dataType)) & (F.col("weight") >= min_weight))
     out = kept.groupBy(*by).agg(F.sum("weight").alias("total_weight"), F.count("*").alias("connection_rows"))
-    out = out.orderBy(F.desc("total_weight"), F.asc("partner_id"), *([F.asc_nulls_last("roi")] if has_roi else []))
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy(F.desc("total_weight"), F.asc("partner_id"), *([F.asc_nulls_last("roi")] if has_roi else [])).limit(limit)
 
 
 def partners(df: DataFrame, body: int | str, min_weight: int = 1, limit: int | None = 50) -> DataFrame:

@@ -47,13 +47,12 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     """
     require(value=value)
     v = df.select(number(cell(df, value)).alias("v"))
-    limits = v.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).select(
-        F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"),
-        F.least(F.lit(40), F.greatest(F.lit(8), F.floor(F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))))).cast("long").alias("bins"),
-    )
-    width = (F.col("hi") - F.col("lo")) / F.col("bins")
-    bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.col("bins") - 1).cast("long")
-    counted = v.crossJoin(F.broadcast(limits)).groupBy(bin_.alias("bin"), "lo", width.alias("w")).agg(F.count("*").alias("count"))
+    least, most, n = (v.agg(f.alias("x")).scalar() for f in (F.min("v"), F.max("v"), F.count("*")))
+    lo, hi = F.when(least == most, least - 0.5).otherwise(least), F.when(least == most, most + 0.5).otherwise(most)
+    bins = F.least(F.lit(40), F.greatest(F.lit(8), F.floor(F.sqrt(F.greatest(n, F.lit(1)).cast("double"))))).cast("long")
+    placed = v.select("v", lo.alias("lo"), bins.alias("bins"), ((hi - lo) / bins).alias("w"))
+    bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / F.col("w")), F.col("bins") - 1).cast("long")
+    counted = placed.groupBy(bin_.alias("bin"), "lo", "w").agg(F.count("*").alias("count"))
     return counted.select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"), "count").orderBy("bin")
 
 
@@ -69,10 +68,10 @@ def bubbles(df: DataFrame, x: str, y: str, size: str, color: str | None = None)
     """Points with an area between the smallest and the largest; equal sizes get the middle one."""
     require(x=x, y=y, size=size)
     s = df.select(number(cell(df, x)).alias("x"), number(cell(df, y)).alias("y"), number(cell(df, size)).alias("s"), _color(df, color).alias("color"))
-    ends = s.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    lo, hi = s.agg(F.min("s").alias("x")).scalar(), s.agg(F.max("s").alias("x")).scalar()
     low, high, middle = BUBBLE
-    area = F.when(F.col("lo") == F.col("hi"), F.lit(middle)).otherwise(low + (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (high - low))
-    return s.crossJoin(F.broadcast(ends)).select("x", "y", "color", area.alias("area"))
+    area = F.when(lo == hi, F.lit(middle)).otherwise(low + (F.col("s") - lo) / (hi - lo) * (high - low))
+    return s.select("x", "y", "color", area.alias("area"))
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str, order: str = "_ordinal") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonspark.functions import labels as L
@@ -31,13 +31,14 @@ def select_neurons(neurons: DataFrame, dataset: str | None = None, region: str |
     return out
 
 
-def _first(df: DataFrame, limit: int | None) -> DataFrame:
-    return df if limit is None else df.limit(limit)
+def _first(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """The first rows by ``order``; without a limit all rows, and no global sort."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
 
 
 def neuron_list(neurons: DataFrame, limit: int | None = 50, **filters: str | None) -> DataFrame:
     out = select_neurons(neurons, **filters).select(*NEURON_LIST)
-    return _first(out.orderBy(F.desc("total_synapses"), F.asc("dataset"), F.asc("body_id")), limit)
+    return _first(out, [F.desc("total_synapses"), F.asc("dataset"), F.asc("body_id")], limit)
 
 
 def projection_neurons(neurons: DataFrame, dataset: str | None = None, glomerulus: str | None = None, limit: int | None = 50) -> DataFrame:
@@ -51,7 +52,7 @@ def edge_list(edges: DataFrame, dataset: str | None = None, region: str | None =
         if v:
             out = out.where(F.col(c) == v)
     out = out.select("dataset", "pre_id", "post_id", "neuropil", "region", "hemisphere", "synapses", "source_table")
-    return _first(out.orderBy(F.desc("synapses"), *[F.asc(c) for c in ("dataset", "pre_id", "post_id", "neuropil")]), limit)
+    return _first(out, [F.desc("synapses"), *[F.asc(c) for c in ("dataset", "pre_id", "post_id", "neuropil")]], limit)
 
 
 def receptor_inputs(edges: DataFrame, neurons: DataFrame, dataset: str | None = None, glomerulus: str | None = None, pn_type: str | None = None, by_side: bool = False, limit: int | None = 50) -> DataFrame:
@@ -79,7 +80,7 @@ def receptor_inputs(edges: DataFrame, neurons: DataFrame, dataset: str | None =
         ties = ["pn_side", "orn_side"]
         made += ["pn_side", "orn_side", "side_relation"]
     out = joined.groupBy(*keys).agg(F.count_distinct("pre_id").alias("orn_count"), F.sum("synapses").alias("synapses")).select(*made)
-    return _first(out.orderBy(F.desc("synapses"), F.asc("dataset"), F.asc("pn_id"), *[F.asc(c) for c in ties]), limit)
+    return _first(out, [F.desc("synapses"), F.asc("dataset"), F.asc("pn_id"), *[F.asc(c) for c in ties]], limit)
 
 
 def table_counts(spark: SparkSession, prefix: str = "olf") -> list[tuple[str, int]]:
