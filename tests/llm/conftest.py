@@ -1,20 +1,7 @@
 import random
-import re
 
 import pytest
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def fold(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-
-
-def shingles(text, size=5):
-    w = WORD.findall(fold(text))
-    return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
-
-
 @pytest.fixture(scope="session")
 def mixed(spark):
     """Documents of all awkward kinds: families of near copies, a shared passage, repeats, nulls, empties, one very long text, clashing columns."""

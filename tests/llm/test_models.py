@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from conftest import WORD, shingles
+from llm_helpers import WORD, shingles
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import WORD, fold, shingles
+from llm_helpers import WORD, fold, shingles
 from pyspark.sql import functions as F
 
 from axonspark.llm import jaccard, packing, pii, spans, tokens, words
