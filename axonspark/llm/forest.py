@@ -16,8 +16,8 @@ from axonspark.llm.scratch import Scratch
 BLOCK = 8192
 TREES = 96
 BITS = 32
-#: A query ascends until the ranges of its block's trees hold this share of the block, each candidate counted once a tree.
-SHARE = 1.25
+#: A query ascends until it has met this share of its block. Vectors without clusters, as here, need most of it for a high recall.
+SHARE = 0.6
 SEED = 11
 
 
@@ -42,7 +42,7 @@ class Forest:
         return out
 
     def candidates(self, q: np.ndarray, want: int) -> Iterator[np.ndarray]:
-        """Each query's rows: from the longest common prefixes of all trees upward, in step, until ``want`` are met."""
+        """Each query's rows: from the longest common prefixes of all trees upward, in step, until ``want`` of them are met."""
         keys = self.hash(q)
         lo = np.zeros((self.bits + 1, len(q), self.trees), np.int32)
         hi = np.zeros_like(lo)
@@ -59,8 +59,15 @@ class Forest:
         deepest = np.where(enough.any(0), self.bits - np.argmax(enough[::-1], axis=0), 0)
         for r in range(len(q)):
             seen = np.zeros(len(self.m), bool)
+            depth = min(int(deepest[r]) + 1, self.bits)
             for t in range(self.trees):
-                seen[self.order[lo[deepest[r], r, t] : hi[deepest[r], r, t], t]] = True
+                seen[self.order[lo[depth, r, t] : hi[depth, r, t], t]] = True
+            while depth > 0 and np.count_nonzero(seen) < want:
+                depth -= 1
+                for t in range(self.trees):
+                    seen[self.order[lo[depth, r, t] : hi[depth, r, t], t]] = True
+                    if t % 4 == 3 and np.count_nonzero(seen) >= want:
+                        break
             yield np.flatnonzero(seen)
 
 

@@ -134,11 +134,11 @@ def test_forest_recall_on_clusters():
     m = (r.standard_normal((40, 32))[r.integers(0, 40, 4000)] + 0.3 * r.standard_normal((4000, 32)))
     f = forest.Forest(m)
     hit = size = 0
-    for k, at in enumerate(f.candidates(m[:60], 2000)):
+    for k, at in enumerate(f.candidates(m[:60], 800)):
         d = ((m - m[k]) ** 2).sum(1)
         hit += len(set(np.argsort(d)[1:11]) & set(at))
         size += len(at)
-    assert hit >= 0.95 * 600 and size < 60 * 2000
+    assert hit >= 0.95 * 600 and size < 60 * 1600
 
 
 # -- pages -----------------------------------------------------------------------------------------------------------
