@@ -70,3 +70,34 @@ def side(name: Column) -> Column:
 def relation(a: Column, b: Column) -> Column:
     """ipsi, contra, or unknown where either side is."""
     return F.when((a == "") | (b == ""), "unknown").when(a == b, "ipsi").otherwise("contra")
+
+
+def _tokens(name: Column) -> Column:
+    """The words of a name, brackets around them aside."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), "[;, ]+", " ")), " ")
+    return F.transform(words, lambda w: F.regexp_replace(w, r"^[()\[\]{}]+|[()\[\]{}]+$", ""))
+
+
+def cell_class_loose(name: Column) -> Column:
+    """Like ``cell_class``, and a KC after an underscore counts too."""
+    kc = F.upper(name).contains("_KC")
+    return F.when((cell_class(name) == "KC") | (kc & ~cell_class(name).isin("ORN", "PN", "LN")), "KC").otherwise(cell_class(name))
+
+
+def glomerulus_by_token(name: Column) -> Column:
+    """The channel in the first word that has one, whatever the case."""
+    forms = (("(?i)^ORN_(.*)$", 1), ("(?i)^(.*)_ORN$", 1), ("(?i)^([^_]*)_.*$", 1), ("(?i)^PN_(.*)$", 1))
+
+    def of(w: Column) -> Column:
+        up = F.upper(w)
+        pn = up.contains("_LPN") | up.contains("_VPN") | up.contains("_MPN")
+        return F.when(up.startswith("ORN_"), F.regexp_extract(w, *forms[0])).when(up.endswith("_ORN"), F.regexp_extract(w, *forms[1])).when(pn, F.regexp_extract(w, *forms[2])).when(up.startswith("PN_"), F.regexp_extract(w, *forms[3]))
+
+    return F.coalesce(F.get(F.filter(F.transform(_tokens(name), of), lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
+
+
+def side_by_token(name: Column) -> Column:
+    """The side in the first word that ends with one, then right or left as a word's beginning."""
+    found = F.filter(F.transform(_tokens(F.upper(name)), lambda w: F.regexp_extract(w, "(?:^|[_-])([RL])$", 1)), lambda x: x != "")
+    up = F.concat(F.lit(" "), F.upper(F.coalesce(name, F.lit(""))))
+    return F.coalesce(F.get(found, F.lit(0)), F.when(up.contains(" RIGHT"), "R").when(up.contains(" LEFT"), "L").otherwise(""))

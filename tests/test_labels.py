@@ -50,3 +50,9 @@ def test_numbers_follow_the_float_grammar(spark):
 @pytest.mark.parametrize(("value", "text"), [(5.0, "5"), (0.1, "0.1"), (1 / 3, "0.333333333333"), (1e15, "1000000000000000"), (-2.0, "-2")])
 def test_shown(value, text):
     assert shown(value) == text
+
+
+def test_variants_by_token(spark):
+    assert one(spark, L.cell_class_loose, ["a_KC", "KCg", "xKC", "ORN_KC", None]) == ["KC", "KC", "", "ORN", ""]
+    assert one(spark, L.glomerulus_by_token, ["x; orn_DM1", "(DM2_orn)", "DM1_lPN_R", "PN_VA1", "DM1_adPN", None]) == ["DM1", "DM2", "DM1", "VA1", "", ""]
+    assert one(spark, L.side_by_token, ["a_L b_R", "R", "(x-l)", "Right arm", "upright", None]) == ["L", "R", "L", "R", "", ""]

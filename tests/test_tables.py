@@ -248,3 +248,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert "cli_c_edges" in run("bulk", "views", "--table", "cli_c")
     assert json.loads(run("bulk", "query", "--table", "cli_c", "--where", "post=3", "--format", "json"))[0]["weight"] == "2"
     assert "AL_R   5" in run("plot", "--csv", str(tmp_path / "c.csv"), "--kind", "bar", "--x", "roi", "--y", "weight")
+
+
+def test_snapshot(spark, tmp_path):
+    from axonspark.sources import snapshot
+
+    root = make_catalog(tmp_path / "in")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/old.csv").write_text("a\n")
+    n = snapshot.build(spark, str(root), str(tmp_path / "out"), [("hemibrain", "hemibrain"), ("flywire", "flywire"), ("nothing", "x")], frozenset(["source_audit"]))
+    assert n == 4 and {t.dataset for t in catalog.Catalog(spark, str(tmp_path / "out")).entries} == {"hemibrain", "flywire"}
+    with pytest.raises(FileNotFoundError):
+        snapshot.build(spark, "nowhere", str(tmp_path / "out"), [])
+
+
+def test_drawing_needs_its_library(spark):
+    from axonspark.operators import plots
+
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        with pytest.raises(SystemExit):
+            plots.save(spark.range(1), "bar", "x")
