@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonspark.llm import words
+from axonspark.llm import words, worker
 from axonspark.llm.graph import components
 from axonspark.llm.scratch import Scratch
 
@@ -70,6 +70,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, digest) of each row; an empty set has no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("jaccard")
         for b in batches:
             for at, col in words.slices(b.column(1)):
                 values, first = words.shingle_sets(col, size)
@@ -85,6 +86,7 @@ def _count(docs: DataFrame, size: int, blocks: int) -> DataFrame:
     """Chunks of texts, and each chunk's column counts by column block (block -1: the texts themselves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("jaccard")
         part, turn = TaskContext.get().partitionId(), 0
         grams: list[np.ndarray] = []
         texts: list[pa.Array] = []

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonspark.llm import tokens, words
+from axonspark.llm import tokens, words, worker
 from axonspark.llm.scratch import Scratch
 
 
@@ -75,6 +75,7 @@ def tokenised(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("tokens")
         part, seen, at, fulls = TaskContext.get().partitionId(), np.zeros(size, np.int64), 0, 0
         for b in batches:
             for first, col in words.slices(b.column(1)):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonspark.llm import worker
 from axonspark.llm.names import unused
 
 #: The base kinds as the digest lists them, then those that only the method finds.
@@ -350,6 +351,7 @@ def find(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("pii")
         chosen = model()
         for b in batches:
             rows = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonspark.llm import words
+from axonspark.llm import words, worker
 from axonspark.llm.names import unused
 from axonspark.llm.scratch import Scratch
 
@@ -72,6 +72,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: feature counts of all text and of the target, document counts of the target's and the rejects' words. Column 0: text, column 1: good (null: not labelled)."""
+    worker.begin("quality")
     raw, target = np.zeros(FLUENT, np.int64), np.zeros(FLUENT, np.int64)
     good_df, bad_df = np.zeros(TELLING, np.int32), np.zeros(TELLING, np.int32)
     n = np.zeros(2, np.int64)
@@ -131,8 +132,10 @@ class Model:
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """The log ratio of each fluency feature, and of each word that tells (else 0)."""
         if self._tables is None:
-            tell = self._telling(np.arange(TELLING), 0, 0)
-            self._tables = self._fluency(np.arange(FLUENT), 0.0, False), np.where(tell < -CUTS[self.tells], tell, 0.0).astype(np.float32)
+            tell, seen = np.zeros(TELLING, np.float32), np.flatnonzero(self.a[3])
+            ratio = self._telling(seen, 0, 0)
+            tell[seen] = np.where(ratio < -CUTS[self.tells], ratio, 0.0)
+            self._tables = self._fluency(np.arange(FLUENT), 0.0, False).astype(np.float32), tell
         return self._tables
 
     def _fluency(self, g: np.ndarray, own: np.ndarray | float, is_good: np.ndarray | bool) -> np.ndarray:
@@ -143,9 +146,10 @@ class Model:
 
     def _telling(self, w: np.ndarray, is_good: np.ndarray | int, is_bad: np.ndarray | int) -> np.ndarray:
         n = self.a[4]
-        good = (self.a[2][w] - is_good + PRIOR_TELLING) / (n[0] + 1)
-        bad = (self.a[3][w] - is_bad + PRIOR_TELLING) / (n[1] + 1)
-        return np.log(good / bad)
+        share = n / max(n.sum(), 1)
+        good = (self.a[2][w] - is_good + 2 * PRIOR_TELLING * share[0]) / (n[0] + 1)
+        bad = self.a[3][w] - is_bad
+        return np.where(bad > 0, np.log(np.maximum(good, 1e-12) / ((bad + 2 * PRIOR_TELLING * share[1]) / (n[1] + 1) + 1e-12)), 0.0)
 
     def parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: (fluency features, their mean log ratio, sum over telling words)."""
@@ -252,6 +256,7 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     shared = spark.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("quality")
         for b in batches:
             label = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for at, col in words.slices(b.column(0)):
@@ -261,8 +266,10 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
     names = ["mean", *(f"tell{k}" for k in range(len(CUTS))), "good"]
     kind = ", ".join(f"{c} {'boolean' if c == 'good' else 'double'}" for c in names)
+    del counted
     rows = marked.where("__good is not null").mapInArrow(left_out, kind).toPandas()
     model.fit(rows)
+    shared.unpersist()
     fitted = spark.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("log_weight", "keep")]
     rank = unused(docs.columns, "draw_key")
@@ -270,6 +277,7 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
     def scorer(names: list[str]):
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.begin("quality")
             for b in batches:
                 ids = pa.compute.fill_null(b.column(1).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
                 w, key = [np.zeros(0)], [np.zeros(0)]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonspark.llm import worker
 from axonspark.llm.names import unused
 
 #: Texts of more code points are encoded in overlapping chunks.
@@ -146,6 +147,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(unused(docs.columns, "body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("tokens")
         for b in batches:
             col = b.column(b.num_columns - 1)
             n = [len(ids) for ids in encode_all(col.to_pylist(), path, chunk, overlap)]
@@ -219,4 +221,5 @@ class Memo:
 
 @lru_cache(maxsize=2)
 def memo(path: str) -> Memo:
+    worker.holds("tokens", memo.cache_clear)
     return Memo(path)
