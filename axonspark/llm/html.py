@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axonspark.llm.names import unused
+from axonspark.llm.scratch import whole_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -455,6 +456,7 @@ def main_text(pages: DataFrame, html: str = "html", fitted: TreeModel | None = N
     the weights, of a fixed size, are trained on the driver and go with the task.
     """
     fitted = fitted or model()
+    whole_texts(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     src = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias(unused(pages.columns, "body")))

@@ -34,6 +34,8 @@ from axonspark.llm.scratch import Scratch
 #: N-grams of documents that are counted together before they move, and of a column block at the receiver.
 CHUNK_GRAMS = 1 << 20
 BLOCK_GRAMS = 1 << 21
+#: Pairs whose sets are in memory together.
+PAIRS = 64
 #: A list with so many early entries or fewer is completed in the second turn.
 FEW = 64
 
@@ -224,9 +226,8 @@ def _overlap(size: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            step = max(1, 64)
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
+            for at in range(0, b.num_rows, PAIRS):
+                part = b.slice(at, PAIRS)
                 x, fx = words.shingle_sets(part.column(2).cast(pa.large_string()), size)
                 y, fy = words.shingle_sets(part.column(3).cast(pa.large_string()), size)
                 n = part.num_rows

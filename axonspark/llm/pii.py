@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from axonspark.llm import worker
 from axonspark.llm.names import unused
+from axonspark.llm.scratch import whole_texts
 
 #: The base kinds as the digest lists them, then those that only the method finds.
 BASE = ("email", "ip", "card", "phone")
@@ -343,6 +344,7 @@ def find(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
     result. Narrow: no shuffle, one text at a time. The trees are trained once
     in each worker on the same made-up examples.
     """
+    whole_texts(docs.sparkSession)
     made = [*(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     names = [f.name for f in made]
     keep = [c for c in docs.columns if c not in names and (c != text)]

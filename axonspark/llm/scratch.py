@@ -23,10 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def whole_texts(spark: SparkSession) -> None:
+    """Sizes Arrow batches for rows that hold whole texts: 1,000 rows, unless the session has chosen otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 class Scratch:
     """A set of written tables that belong to one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        whole_texts(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

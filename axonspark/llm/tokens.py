@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from axonspark.llm import worker
 from axonspark.llm.names import unused
+from axonspark.llm.scratch import whole_texts
 
 #: Texts of more code points are encoded in overlapping chunks.
 CHUNK = 1 << 15
@@ -141,6 +142,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
     shuffle, one Arrow batch of texts in memory.
     """
     path = path or public_path()
+    whole_texts(docs.sparkSession)
     made = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     keep = [c for c in docs.columns if c != text and c not in made.fieldNames()]
     schema = T.StructType([docs.schema[c] for c in keep] + list(made))
