@@ -442,9 +442,9 @@ def extract(html: str, fitted: TreeModel) -> str:
             blocks.append("".join(held))
             held = []
         last = b
-        held.append(t)
+        held.append(unescape(t))
     blocks.append("".join(held))
-    return " ".join(x for x in (_SPACE.sub(" ", unescape(b)).strip() for b in blocks) if x)
+    return " ".join(x for x in (_SPACE.sub(" ", b).strip() for b in blocks) if x)
 
 
 def main_text(pages: DataFrame, html: str = "html", fitted: TreeModel | None = None) -> DataFrame:

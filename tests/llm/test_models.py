@@ -178,6 +178,7 @@ def test_marginals_are_exact():
         ("<nav><a href=a>Menu</a></nav><main><p>Body text stands here.</p><!-- no --><script>if (a<b) '</p>'</script></main>", "Body text stands here."),
         ("<article><p>Words before it.</p><section id=comments><p>First!</p></section></article>", "Words before it."),
         ("<article><p>Text that goes on</p><form><label>Mail</label><input></form><p>and ends.</p></article>", "Text that goes on and ends."),
+        ("<article><p>AT&<b>amp;</b> here &amp;amp; there&nbsp;now</p></article>", "AT&amp; here &amp; there now"),
         ("", ""), ("<p", ""), ("<!-- open", ""), ("<nav><a href=x>only links</a></nav>", ""),
     ],
 )
