@@ -51,15 +51,25 @@ def edges_by_neuropil(raw: DataFrame, spec: Spec) -> DataFrame:
     return out.where("region <> '' and synapses > 0")
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """Each edge at both of its neurons, from one scan: what it adds to their inputs and outputs."""
+    zero = F.lit(0).cast("long")
+    both = F.explode(F.array(F.struct(F.col("post_id").alias("body_id"), F.col("synapses").alias("i"), zero.alias("o")), F.struct(F.col("pre_id").alias("body_id"), zero.alias("i"), F.col("synapses").alias("o"))))
+    rows = edges.select("dataset", "neuropil", "region", "hemisphere", both.alias("e"))
+    return rows.select("dataset", "e.body_id", "neuropil", "region", "hemisphere", F.col("e.i").alias("input_synapses"), F.col("e.o").alias("output_synapses"), (F.col("e.i") + F.col("e.o")).alias("total_synapses"))
+
+
 def membership(edges: DataFrame) -> DataFrame:
-    """Synapses of each neuron in each neuropil, by direction; both ends of an edge come from one scan."""
-    ends = F.explode(F.array(F.struct(F.col("post_id").alias("body_id"), F.col("synapses").alias("i"), F.lit(0).cast("long").alias("o")), F.struct(F.col("pre_id").alias("body_id"), F.lit(0).cast("long").alias("i"), F.col("synapses").alias("o"))))
-    rows = edges.select("dataset", "neuropil", "region", "hemisphere", ends.alias("e"))
-    return rows.groupBy("dataset", F.col("e.body_id").alias("body_id"), "neuropil", "region", "hemisphere").agg(F.sum("e.i").alias("input_synapses"), F.sum("e.o").alias("output_synapses"), F.sum(F.col("e.i") + F.col("e.o")).alias("total_synapses"))
+    """Synapses of each neuron in each neuropil, by direction."""
+    return ends(edges).groupBy("dataset", "body_id", "neuropil", "region", "hemisphere").agg(*[F.sum(c).alias(c) for c in ("input_synapses", "output_synapses", "total_synapses")])
 
 
 def neurons(members: DataFrame) -> DataFrame:
-    """One row per neuron with its regions and hemispheres, annotation columns still empty."""
+    """One row per neuron with its regions and hemispheres, annotation columns still empty.
+
+    ``members`` is the membership table where that has been written, else the
+    edges' ends, which saves a shuffle.
+    """
     out = members.groupBy("dataset", "body_id").agg(distinct_list(F.col("region")).alias("regions"), distinct_list(F.col("hemisphere")).alias("hemispheres"), *[F.sum(c).alias(c) for c in ("input_synapses", "output_synapses", "total_synapses")])
     empty = [F.lit("").alias(c) for c in ("primary_name", "instance", "cell_class", "glomerulus", "side", "aliases")]
     none = [x for k in (1, 2, 3) for x in (F.lit("").alias(f"top{k}_nt"), F.lit(None).cast("double").alias(f"top{k}_probability"))]
@@ -134,11 +144,10 @@ def build(raw: dict[str, DataFrame], instances: DataFrame | None = None, hierarc
     if not parts:
         raise ValueError("no connection table")
     edges = reduce(DataFrame.unionByName, parts)
-    members = membership(edges)
-    cells = neurons(members)
+    cells = neurons(ends(edges))
     for step, source in ((annotate_instances, instances), (annotate_hierarchy, hierarchy), (annotate_tags, tags)):
         cells = step(cells, source) if source is not None else cells
-    return {"provenance": provenance(raw, edges, store), "edges_by_neuropil": edges, "edges_total": edges_total(edges), "neuropil_membership": members, "neurons": cells, "annotations": cells.select(*ANNOTATION_COLUMNS)}
+    return {"provenance": provenance(raw, edges, store), "edges_by_neuropil": edges, "edges_total": edges_total(edges), "neuropil_membership": membership(edges), "neurons": cells, "annotations": cells.select(*ANNOTATION_COLUMNS)}
 
 
 # Where annotations are looked for, in order of preference.

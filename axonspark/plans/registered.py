@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import astuple, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from axonspark.operators import edges as ed
 from axonspark.operators import live, plotdata, predicates, search
 from axonspark.plans import adaptor as A
 from axonspark.plans import atlas, questions
+from axonspark.sources import bulk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,7 +150,7 @@ def membership(s: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {ROLLUP_CTE} SELECT dataset, body_id, {SUMS} FROM n0")
 def neurons_rollup(s: SparkSession, d: str) -> DataFrame:
-    return atlas.neurons(atlas.membership(_edges(s, d))).select("dataset", "body_id", *SUMS.split(", "))
+    return atlas.neurons(atlas.ends(_edges(s, d))).select("dataset", "body_id", *SUMS.split(", "))
 
 
 @register(f"WITH {HEMI_CTE} SELECT dataset, body_id, {LABELLED} FROM n1 WHERE dataset = 'hemibrain'")
@@ -448,11 +450,9 @@ def manifest_counts(s: SparkSession, d: str) -> DataFrame:
     return s.sql("SELECT r_name AS dataset FROM nation JOIN region ON n_regionkey = r_regionkey").groupBy("dataset").agg(F.count("*").alias("tables"))
 
 
-@register()
+@register(" UNION ALL ".join("SELECT " + ", ".join(f"'{v}' AS {f.name}" for f, v in zip(fields(bulk.Release), astuple(r), strict=True)) for r in bulk.RELEASES))
 def bulk_sources(s: SparkSession, d: str) -> DataFrame:
-    from axonspark.sources.bulk import releases
-
-    return releases(s)
+    return bulk.releases(s)
 
 
 @register("SELECT 'bodyId_pre' AS pre, 'bodyId_post' AS post, 'weight' AS weight, 'roi' AS roi UNION ALL SELECT 'pre_pt_root_id', 'post_pt_root_id', 'syn_count', 'neuropil'")
