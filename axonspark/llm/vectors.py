@@ -70,7 +70,7 @@ def query_blocks(queries: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     def run(t: pa.Table) -> pa.Table:
         first = t["block"][0].as_py()
         made = [pack(ids=i, v=m) for i, m in matrices(t.select(["id", "v"]).combine_chunks().to_batches(), 4 * QUERIES)]
-        return pa.table({"block": pa.array([first * 64 + k for k in range(len(made))], pa.int64()), "payload": pa.array(made, pa.binary())})
+        return pa.table({"block": pa.array([first << 20 | k for k in range(len(made))], pa.int64()), "payload": pa.array(made, pa.binary())})
 
     q = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).groupBy("block").applyInArrow(run, "block long, payload binary")
     q = scratch.keep(q, "queries")
