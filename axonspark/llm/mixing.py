@@ -133,7 +133,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     ahead = counts.select("place", "size", "part", "c", (F.sum("c").over(Window.partitionBy("place", "size").orderBy("part")) - F.col("c")).alias("ahead"))
     ahead = ahead.join(take, ["place", "size"]).select("place", "size", "part", "whole", F.least("c", F.greatest(F.lit(0).cast("long"), F.col("take") - F.col("ahead"))).alias("n"), "c")
     ahead = scratch.keep(ahead, "ahead")
-    full = placed.join(ahead, ["place", "size", "part"], "left")
+    # a row per (source, length, part) has no bound, so this side is never broadcast, at any size
+    full = placed.join(ahead.hint("merge"), ["place", "size", "part"], "left")
     rank = F.row_number().over(Window.partitionBy("place", "size", "part").orderBy("h"))
     sure = full.where("size = 0 or n = 0 or n = c").withColumn("copies", F.coalesce(F.col("whole") + F.when(F.col("n") == 0, 0).otherwise(1), F.lit(0)))
     split = full.where("size > 0 and n > 0 and n < c").withColumn("copies", F.col("whole") + (rank <= F.col("n")).cast("int"))
