@@ -101,9 +101,9 @@ def cmd_live(args: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def cmd_offline(args: argparse.Namespace, spark: SparkSession) -> int:
-    if args.action == "list":
+    if args.offline_action == "list":
         return _out(args, rows=[{k: str(x.get(k, "")) for k in ("dataset", "action", "key", "rows", "created_at", "path")} for x in sink.cached(args.cache_dir)])
-    skip = ("func", "command", "format", "cache_dir", "refresh", "offline_only", "data_dir", "env_file", "action", "dataset", "warehouse")
+    skip = ("func", "command", "format", "cache_dir", "refresh", "offline_only", "data_dir", "env_file", "offline_action", "action", "dataset", "warehouse")
     query = sink.payload({k: v for k, v in vars(args).items() if k not in skip})
     df, where = sink.get_or_fetch(spark, args.cache_dir, args.dataset, args.action, query, lambda: _live(args, spark, args.action), args.refresh, args.offline_only)
     if df is None:
@@ -208,19 +208,18 @@ def parser() -> argparse.ArgumentParser:
     hops = [many("--upstream-body-id"), many("--downstream-body-id"), opt("--min-weight", type=int, default=1)]
     roots = [many("--pre-root-id"), many("--post-root-id")]
     rows = [where, many("--in", dest="within"), select]
-    for name, actions in (("hemibrain", (("neurons", neurons, 20), ("connections", hops, 50), ("cypher", [opt("--query", required=True)], None))), ("flywire", (("tables", [], None), ("table", [table, *rows, version], 50), ("synapses", [*roots, version], 50)))):
-        group = top.add_parser(f"live-{name}").add_subparsers(dest="action", required=True)
+    query = opt("--query", required=True)
+    services = top.add_parser("live").add_subparsers(dest="service", required=True)
+    for name, actions in (("hemibrain", (("neurons", neurons, 20), ("connections", hops, 50), ("cypher", [query, opt("--limit", type=int)], None))), ("flywire", (("tables", [], None), ("table", [table, *rows, version], 50), ("synapses", [*roots, version], 50)))):
+        group = services.add_parser(name).add_subparsers(dest="action", required=True)
         for action, options, n in actions:
             add(group, action, cmd_live, *options, limit=n)
-            if n is None:
-                group.choices[action].set_defaults(limit=None)
     offline = top.add_parser("offline")
     offline.add_argument("--cache-dir", default="cache/live")
-    group = offline.add_subparsers(dest="action", required=True)
+    group = offline.add_subparsers(dest="offline_action", required=True)
     add(group, "list", cmd_offline)
-    fetch = group.add_parser("fetch").add_subparsers(dest="action", required=True)
-    for action, options in (("neurons", neurons), ("connections", hops), ("cypher", [opt("--query", required=True)]), ("tables", []), ("table", [table, *rows, version]), ("synapses", [*roots, version])):
-        add(fetch, action, cmd_offline, opt("--dataset", choices=DATASETS[:2], required=True), *options, flag("--refresh"), flag("--offline-only"), limit=50)
+    actions = opt("--action", choices=("neurons", "connections", "cypher", "tables", "table", "synapses"), required=True)
+    add(group, "fetch", cmd_offline, opt("--dataset", choices=DATASETS[:2], required=True), actions, *neurons, *hops, *roots, opt("--query"), opt("--table"), *rows, version, flag("--refresh"), flag("--offline-only"), limit=50)
 
     group = top.add_parser("bulk").add_subparsers(dest="action", required=True)
     weight = opt("--min-weight", type=int, default=1)

@@ -270,3 +270,28 @@ def test_drawing_needs_its_library(spark):
     except ImportError:
         with pytest.raises(SystemExit):
             plots.save(spark.range(1), "bar", "x")
+
+
+def test_atlas_and_cache_from_the_command_line(spark, tmp_path, capsys):
+    def run(*argv, code=0):
+        assert cli.main(["--env-file", "", *argv]) == code
+        return capsys.readouterr().out
+
+    (tmp_path / "e.csv").write_text("bodyId_pre,bodyId_post,roi,weight\n1001,2001,AL(R),12\n1002,2001,AL(L),5\n")
+    (tmp_path / "n.csv").write_text("bodyId,type,instance\n1001,ORN_DM1,ORN_DM1_R\n1002,ORN_DM1,ORN_DM1_L\n2001,DM1_lPN,DM1_lPN_R\n9,x,y\n")
+    run("bulk", "import", "--path", str(tmp_path / "e.csv"), "--table", "hemibrain_traced_roi_connections", "--replace")
+    run("bulk", "import", "--path", str(tmp_path / "n.csv"), "--table", "hemibrain_traced_neurons", "--replace")
+    built = run("olfaction", "build", "--prefix", "c1", "--dataset", "hemibrain", "--format", "csv")
+    assert "hemibrain,hemibrain_traced_roi_connections,2,imported" in built
+    sides = run("olfaction", "orn-inputs", "--prefix", "c1", "--glomerulus", "DM1", "--by-side", "--format", "csv").splitlines()
+    assert sides[1] == "hemibrain,2001,DM1_lPN,DM1,1,12,R,R,ipsi" and sides[2].endswith("5,R,L,contra")
+    assert "c1_neurons" in run("olfaction", "tables", "--prefix", "c1")
+    assert run("olfaction", "pns", "--prefix", "c1", "--format", "csv").count("\n") == 2
+    assert run("live", "hemibrain", "neurons", "--type-contains", "orn", "--format", "csv").count("\n") == 3
+    cache = ["offline", "--cache-dir", str(tmp_path / "cache")]
+    fetch = ["fetch", "--dataset", "hemibrain", "--action", "connections", "--upstream-body-id", "1001", "--format", "csv"]
+    run(*cache, *fetch, "--offline-only", code=1)
+    assert "DM1_lPN" in run(*cache, *fetch) and "DM1_lPN" in run(*cache, *fetch, "--offline-only")
+    assert "connections" in run(*cache, "list")
+    spark.sql("DROP TABLE hemibrain_traced_roi_connections")
+    spark.sql("DROP TABLE hemibrain_traced_neurons")
