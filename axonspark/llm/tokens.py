@@ -172,6 +172,8 @@ class Memo:
 
     PIECE = re.compile(r"\s*[^\s]+|\s+")
     ODD = re.compile("[\x1c-\x1f]")
+    #: Marks of no special string, and no apostrophe.
+    MARKS = ".,!?;:%$&*#)"
 
     def __init__(self, path: str, most: int = 1_500_000, longest: int = 40):
         self.t, self.path, self.most, self.longest = load(path), path, most, longest
@@ -207,6 +209,13 @@ class Memo:
             else:
                 cut.append(self.PIECE.findall(x))
         new = set().union(*cut).difference(kept)
+        # a letter or digit before these marks ends a token too, so a piece that ends in them is its stem's ids and theirs
+        ending = {}
+        for p in new - alone:
+            stem = p.rstrip(self.MARKS)
+            if len(stem) < len(p) and stem and stem[-1].isalnum():
+                ending[p] = stem
+        new = (new - alone).difference(ending).union(ending.values(), {p[len(x) :] for p, x in ending.items()}).difference(kept)
         alone |= {p for p in new if not p[0].isspace() or p[-1].isspace()}
         plain = list(new - alone)
         once = dict(zip(plain, self._together(plain), strict=True)) if plain else {}
@@ -214,6 +223,8 @@ class Memo:
         for p, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             once[p] = np.array(e.ids, dtype=self.kind).tobytes()
         kept.update(once)
+        for p, stem in ending.items():
+            once[p] = kept[p] = kept[stem] + kept[p[len(stem) :]]
         out = [np.frombuffer(b"".join(map(kept.__getitem__, pieces)), dtype=self.kind).astype("<u4") for pieces in cut]
         for p in once:
             if len(p) > self.longest:

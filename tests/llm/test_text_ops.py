@@ -32,7 +32,7 @@ def test_word_hashes():
 
 # -- token counts ----------------------------------------------------------------------------------------------------
 
-ODD = ["a\n  b   c \n d\t\te  ", "  lead", "", "<|endoftext|> x <|endoftext|>y", " \x1c a\x1f b", "é ü  中文 字 ", "x" * 700, " " * 60, " nb em  z", "it's 'll  we're\n\n\nok"]
+ODD = ["a\n  b   c \n d\t\te  ", "  lead", "", "<|endoftext|> x <|endoftext|>y", " \x1c a\x1f b", "é ü  中文 字 ", "x" * 700, " " * 60, " nb em  z", "it's 'll  we're\n\n\nok", "a, b. a b! (b). 3.14, it's. é! ²; ... ,x ok%%% <|endoftext|>. end|>, '.", "b, b. b"]
 
 
 @pytest.fixture(scope="module")
