@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonspark.llm import words
+from axonspark.llm import words, worker
 from axonspark.llm.names import unused
 from axonspark.llm.scratch import Scratch
 
@@ -110,6 +110,7 @@ def _spread(least: int, blocks: int):
     """Chunks of rows (block -1), and of each chunk every run's hash with its first document, twice if the chunk repeats it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("spans")
         part, turn, held = TaskContext.get().partitionId(), 0, 0
         kept: list[pa.RecordBatch] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -160,6 +161,7 @@ def _spread(least: int, blocks: int):
 
 def _answer(t: pa.Table) -> pa.Table:
     """Of one block: to each chunk those of its runs that occur again anywhere, with 1 where the first of all is the chunk's own."""
+    worker.begin("spans")
     chunk, got = t["chunk"].to_numpy(), [unpack(x) for x in t["payload"].to_pylist()]
     keys, doc = np.concatenate([k for k, _ in got]), np.concatenate([d for _, d in got])
     of = np.repeat(np.arange(len(got)), [len(k) for k, _ in got])
@@ -182,6 +184,7 @@ def _answer(t: pa.Table) -> pa.Table:
 
 def _apply(least: int, blocks: int, names: list[str]):
     def run(t: pa.Table) -> pa.Table:
+        worker.begin("spans")
         block, payload = t["block"].to_pylist(), t["payload"].to_pylist()
         known, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for b, x in zip(block, payload, strict=True):
