@@ -322,6 +322,7 @@ def links(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den:
         todo = scratch.keep(left.join(open_, "key", "left_semi").join(early, "key", "left_semi"), "todo")
         scratch.drop(label, left, chosen, pairs)
         turn += 1
+    scratch.drop(texts)
     if found is None:
         found = sets.sparkSession.createDataFrame([], "a binary, b binary")
     return sets, found
@@ -349,6 +350,7 @@ def ngram_jaccard(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     low = classes.where("root is not null").groupBy("root").agg(F.min("low").alias("least"))
     named = classes.join(low, "root", "left").where("c > 1 or root is not null").select("digest", F.coalesce("least", "low").alias("component_id"))
     named = scratch.keep(named, "named")
+    scratch.drop(label, classes)
     out = sets.join(named, "digest", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     none = src.where("id is null")
     nulls = _sets(none, size).select(F.col("id").alias(id), "n_shingles", F.col("id").alias("component_id"))
