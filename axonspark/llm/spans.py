@@ -28,6 +28,20 @@ _STOP[list(b".!?")] = True
 _CLOSE = np.zeros(256, dtype=bool)
 _CLOSE[list(b"\"')]}")] = True
 _ODD = 0xA0761D6478BD642F & ~7 | 5
+_ODD2 = 0xE7037ED1A0B428DB & ~7 | 5
+
+
+def _run_hashes(value: np.ndarray, a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
+    """64-bit hash of each run [a, b) of the words with hashes ``value``."""
+    n = len(value)
+    up = np.full(n + 1, odd, np.uint64)
+    up[0] = 1
+    up = np.cumprod(up, dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[:n], dtype=np.uint64)])
+    down = np.full(n + 1, pow(odd, -1, 2**64), np.uint64)
+    down[0] = 1
+    down = np.cumprod(down, dtype=np.uint64)
+    return words.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
 
 
 class Sentences:
@@ -70,17 +84,11 @@ class Sentences:
         run = np.concatenate([np.stack([index[forward], high[forward]], 1), np.stack([low[backward], index[backward] + 1], 1)]).reshape(-1, 2)
         run = np.unique(run, axis=0) if len(run) else run.astype(np.int64)
         self.low, self.high = run[:, 0], run[:, 1]
-        value = words.hashes(self.body, start, end)
-        up = np.full(n + 1, _ODD, np.uint64)
-        up[0] = 1
-        up = np.cumprod(up, dtype=np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[:n], dtype=np.uint64)])
-        down = np.full(n + 1, pow(_ODD, -1, 2**64), np.uint64)
-        down[0] = 1
-        down = np.cumprod(down, dtype=np.uint64)
         a = begin[self.low] if m else np.zeros(0, np.int64)
         b = stop[self.high - 1] if m else np.zeros(0, np.int64)
-        self.hash = words.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        # two independent hashes: together 128 bits stand for the words of a run
+        self.hash = _run_hashes(words.hashes(self.body, start, end), a, b, _ODD)
+        self.check = _run_hashes(words.hashes(self.body, start, end, second=True), a, b, _ODD2)
 
     def keep(self, gone: np.ndarray) -> pa.Array:
         """The texts without the sentences ``gone``."""
@@ -95,25 +103,47 @@ class Sentences:
         return pa.LargeStringArray.from_buffers(self.rows, pa.py_buffer(size.astype(np.int64).tobytes()), pa.py_buffer(self.body[left].tobytes())).cast(pa.string())
 
 
-def pack(keys: np.ndarray, first: np.ndarray) -> bytes:
-    """Ascending 32-bit keys and 64-bit numbers as compressed byte planes."""
-    gap = np.diff(keys, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gap).tobytes() + np.ascontiguousarray(first.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+def pack(keys: np.ndarray, checks: np.ndarray, first: np.ndarray) -> bytes:
+    """Ascending 64-bit keys, their second hashes and 64-bit numbers as compressed byte planes."""
+    planes = (np.diff(keys, prepend=np.uint64(0)).astype("<u8"), checks.astype("<u8"), first.astype("<i8"))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in planes))
+
+
+def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(24, -1)
+    gap, checks, first = (np.ascontiguousarray(body[k : k + 8].T).view(t).ravel() for k, t in ((0, "<u8"), (8, "<u8"), (16, "<i8")))
+    return np.cumsum(gap, dtype=np.uint64), checks, first
+
+
+def _same(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Of sorted runs: whether each is the same as the one before it."""
+    same = np.zeros(len(keys), bool)
+    same[1:] = (keys[1:] == keys[:-1]) & (checks[1:] == checks[:-1])
+    return same
 
 
-def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(12, -1)
-    return np.cumsum(np.ascontiguousarray(body[:4].T).view("<u4").ravel(), dtype=np.uint32), np.ascontiguousarray(body[4:].T).view("<i8").ravel()
+def _find(keys: np.ndarray, checks: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted runs ``keys``, ``checks``, which of ``key``, ``check`` are there)."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    while True:  # further only where different runs share the first hash
+        on = np.flatnonzero((keys[place] == key) & (checks[place] < check) & (place < len(keys) - 1))
+        if not len(on):
+            break
+        place[on] += 1
+    found = np.flatnonzero((keys[place] == key) & (checks[place] == check))
+    return place[found], found
 
 
 def _spread(least: int, blocks: int):
-    """Chunks of rows (block -1), and of each chunk every run's hash with its first document, twice if the chunk repeats it."""
+    """Chunks of rows (block -1), and of each chunk every run's hashes with its first document, twice if the chunk repeats it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("spans")
         part, turn, held = TaskContext.get().partitionId(), 0, 0
         kept: list[pa.RecordBatch] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = part << 24 | turn
@@ -122,19 +152,17 @@ def _spread(least: int, blocks: int):
                 for b in kept:
                     w.write_batch(b)
             rows = [(chunk, -1, out.getvalue().to_pybytes())]
-            h, doc = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-            block, low = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), h.astype(np.uint32)
-            order = np.lexsort((doc, low, block))
-            block, low, doc = block[order], low[order], doc[order]
-            again = np.zeros(len(low), np.int64)
-            again[1:] = (block[1:] == block[:-1]) & (low[1:] == low[:-1])
-            twice = again.copy()
-            twice[1:] &= ~again[:-1]
-            some = (again == 0) | (twice == 1)
-            block, low, doc = block[some], low[some], doc[some]
+            h, check, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+            order = np.lexsort((doc, check, h, block))
+            block, h, check, doc = block[order], h[order], check[order], doc[order]
+            again = _same(h, check)
+            some = ~again
+            some[1:] |= ~again[:-1]
+            block, h, check, doc = block[some], h[some], check[some], doc[some]
             at = np.flatnonzero(np.diff(block, prepend=-1)) if len(block) else []
             for i, j in zip(at, [*at[1:], len(block)] if len(block) else [], strict=True):
-                rows.append((chunk, int(block[i]), pack(low[i:j], doc[i:j])))
+                rows.append((chunk, int(block[i]), pack(h[i:j], check[i:j], doc[i:j])))
             for k in range(0, len(rows), 256):
                 a, b, c = zip(*rows[k : k + 256], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["chunk", "block", "payload"])
@@ -148,7 +176,7 @@ def _spread(least: int, blocks: int):
                 piece = b.slice(at, len(col))
                 ids = pa.compute.fill_null(piece.column(text - 1), 2**63 - 1).to_numpy(zero_copy_only=False)
                 kept.append(piece)
-                found.append((s.hash, ids[s.row[s.low]] if len(s.low) else np.zeros(0, np.int64)))
+                found.append((s.hash, s.check, ids[s.row[s.low]] if len(s.low) else np.zeros(0, np.int64)))
                 held += len(s.body)
                 if held >= CHUNK_BYTES:
                     yield from flush()
@@ -163,48 +191,42 @@ def _answer(t: pa.Table) -> pa.Table:
     """Of one block: to each chunk those of its runs that occur again anywhere, with 1 where the first of all is the chunk's own."""
     worker.begin("spans")
     chunk, got = t["chunk"].to_numpy(), [unpack(x) for x in t["payload"].to_pylist()]
-    keys, doc = np.concatenate([k for k, _ in got]), np.concatenate([d for _, d in got])
-    of = np.repeat(np.arange(len(got)), [len(k) for k, _ in got])
-    order = np.lexsort((chunk[of], doc, keys))
-    keys, of = keys[order], of[order]
-    head = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    keys, checks, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+    of = np.repeat(np.arange(len(got)), [len(k) for k, _, _ in got])
+    order = np.lexsort((chunk[of], doc, checks, keys))
+    keys, checks, of = keys[order], checks[order], of[order]
+    head = ~_same(keys, checks)
     group = np.cumsum(head) - 1
     many = np.bincount(group)[group] > 1 if len(keys) else head
-    keys, of, own = keys[many], of[many], (chunk[of] == chunk[of[np.flatnonzero(head)]][group])[many]
+    keys, checks, of, own = keys[many], checks[many], of[many], (chunk[of] == chunk[of[np.flatnonzero(head)]][group])[many]
     by = np.argsort(of, kind="stable")
-    keys, of, own = keys[by], of[by], own[by]
+    keys, checks, of, own = keys[by], checks[by], of[by], own[by]
     rows = []
     cuts = np.flatnonzero(np.diff(of, prepend=-1))
     for i, j in zip(cuts, [*cuts[1:], len(of)] if len(cuts) else [], strict=True):
-        key, at = np.unique(keys[i:j], return_index=True)
-        rows.append((int(chunk[of[i]]), int(t["block"][int(of[i])].as_py()), pack(key, own[i:j][at].astype(np.int64))))
+        at = i + np.flatnonzero(~_same(keys[i:j], checks[i:j]))
+        rows.append((int(chunk[of[i]]), int(t["block"][int(of[i])].as_py()), pack(keys[at], checks[at], own[at].astype(np.int64))))
     a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"chunk": pa.array(a, pa.int64()), "block": pa.array(b, pa.int32()), "payload": pa.array(c, pa.binary())})
 
 
-def _apply(least: int, blocks: int, names: list[str]):
+def _apply(least: int, names: list[str]):
     def run(t: pa.Table) -> pa.Table:
         worker.begin("spans")
         block, payload = t["block"].to_pylist(), t["payload"].to_pylist()
-        known, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for b, x in zip(block, payload, strict=True):
-            if b >= 0:
-                k, o = unpack(x)
-                known.append(np.uint64(b) << np.uint64(32) | k.astype(np.uint64))
-                own.append(o)
-        known, own = np.concatenate(known), np.concatenate(own)
-        order = np.argsort(known)
-        known, own = known[order], own[order]
+        known = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        known += [unpack(x) for b, x in zip(block, payload, strict=True) if b >= 0]
+        keys, checks, own = (np.concatenate(x) for x in zip(*known, strict=True))
+        order = np.lexsort((checks, keys))
+        keys, checks, own = keys[order], checks[order], own[order]
         rows = pa.ipc.open_stream(next(x for b, x in zip(block, payload, strict=True) if b < 0)).read_all().combine_chunks()
         text = rows.num_columns - 1
         pieces = [(at, Sentences(col, least)) for at, col in words.slices(rows[names[-1]])]
         ids = pa.compute.fill_null(rows.column(text - 1), 2**63 - 1).to_numpy()
         key, hit, where = [], [], []
         for p, (at, s) in enumerate(pieces):
-            full = (s.hash >> np.uint64(32)) % np.uint64(blocks) << np.uint64(32) | (s.hash & np.uint64(0xFFFFFFFF))
-            place = np.minimum(np.searchsorted(known, full), max(len(known) - 1, 0))
-            found = np.flatnonzero(known[place] == full) if len(known) else np.zeros(0, np.int64)
-            key.append(place[found])
+            place, found = _find(keys, checks, s.hash, s.check)
+            key.append(place)
             hit.append(np.stack([np.full(len(found), p), found], 1).reshape(-1, 2))
             where.append(np.stack([ids[at + s.row[s.low[found]]], at + s.row[s.low[found]], s.low[found]], 1).reshape(-1, 3))
         key, hit, where = np.concatenate(key), np.concatenate(hit), np.concatenate(where)
@@ -234,9 +256,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
 
     From each sentence on, and up to each sentence, the shortest run of
     sentences with ``least`` words is hashed (words with A-Z folded, white space
-    aside). A run that occurs more than once has its first occurrence, by id,
-    then by position; every sentence that any other occurrence covers is removed
-    with the white space after it. So a repeated passage of twice ``least``
+    aside; by two 64-bit hashes, compared whole). A run that occurs more than
+    once has its first occurrence, by id, then by position; every sentence that
+    any other occurrence covers is removed with the white space after it. So a repeated passage of twice ``least``
     words is covered whole, whatever stands around it; texts of fewer words have
     no runs.
 
@@ -260,5 +282,5 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
     answers = spread.where("block >= 0").repartition(max(parts, min(blocks, 8 * parts)), "block").groupBy("block").applyInArrow(_answer, "chunk long, block int, payload binary")
     both = spread.where("block < 0").unionByName(answers)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(body, T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = both.groupBy("chunk").applyInArrow(_apply(least, blocks, src.columns), schema)
+    out = both.groupBy("chunk").applyInArrow(_apply(least, src.columns), schema)
     return out.select(*[F.col(body).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c in keep or c == text], "n_sentences", "n_removed")

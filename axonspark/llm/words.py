@@ -20,6 +20,8 @@ SLICE_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Values of a second, independent hash.
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -91,14 +93,14 @@ def spans(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(start, ends)
 
 
-def hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
+def hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True, second: bool = False) -> np.ndarray:
+    """64-bit hash of each span of bytes, or the ``second``, independent one."""
     n = len(body)
     if not n or not len(start):
         return np.zeros(len(start), dtype=np.uint64)
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_FOLD[body] if fold else body] * up[:n], dtype=np.uint64, out=total[1:])
+    np.cumsum((_BYTE2 if second else _BYTE)[_FOLD[body] if fold else body] * up[:n], dtype=np.uint64, out=total[1:])
     return mix((total[end] - total[start]) * down[start])
 
 

@@ -218,6 +218,36 @@ def test_remove_repeats_mixed(mixed):
     assert all(x.text == "" for x in out.join(mixed.where("text is null").select("doc_id"), "doc_id").collect())
 
 
+def test_runs_that_share_the_low_bits_of_their_hash(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(11)
+    texts = [" ".join(map(str, x)) + "." for x in r.integers(0, 100000, (250_000, spans.LEAST_WORDS)).tolist()]
+    s = spans.Sentences(pa.array(texts, pa.large_string()), spans.LEAST_WORDS)
+    assert len(s.hash) == len(texts)
+    low = s.hash.astype(np.uint32)
+    order = np.argsort(low, kind="stable")
+    at = int(np.flatnonzero(low[order][1:] == low[order][:-1])[0])
+    x, y = order[at : at + 2].tolist()
+    assert low[x] == low[y] and s.hash[x] != s.hash[y] and texts[x] != texts[y]
+    docs = [(1, texts[x]), (2, texts[y]), (3, f"{texts[y]} more of it.")]
+    out = {d.doc_id: (d.text, d.n_removed) for d in spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: (texts[x], 0), 2: (texts[y], 0), 3: ("more of it.", 1)}
+
+
+def test_runs_that_share_the_first_hash():
+    import pyarrow as pa
+
+    u = lambda *x: np.array(x, np.uint64)
+    a = spans.pack(u(5, 5, 2**63), u(1, 3, 9), np.array([1, 1, 1]))
+    b = spans.pack(u(5, 5, 2**63 + 2**32), u(2, 3, 9), np.array([2, 2, 2]))
+    assert [x.tolist() for x in spans.unpack(b)] == [[5, 5, 2**63 + 2**32], [2, 3, 9], [2, 2, 2]]
+    got = spans._answer(pa.table({"chunk": [7, 8], "block": pa.array([0, 0], pa.int32()), "payload": pa.array([a, b], pa.binary())}))
+    assert [(c, [x.tolist() for x in spans.unpack(p)]) for c, p in zip(got["chunk"].to_pylist(), got["payload"].to_pylist(), strict=True)] == [(7, [[5], [3], [1]]), (8, [[5], [3], [0]])]
+    place, found = spans._find(u(5, 5, 5, 8), u(1, 3, 6, 2), u(5, 8, 5, 5, 8, 9), u(6, 2, 1, 4, 3, 2))
+    assert found.tolist() == [0, 1, 2] and place.tolist() == [2, 3, 0]
+
+
 # -- n-gram join -----------------------------------------------------------------------------------------------------
 
 
