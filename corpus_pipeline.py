@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonspark.llm import jaccard, mixing, packing, pii, quality
-from axonspark.llm.names import apart
+from axonspark.llm.names import apart, unused
 from axonspark.llm.scratch import Scratch
 
 #: The classifier, the draw of copies and the packer can't be expressed in SQL; the tests hold the stages against brute force.
@@ -26,14 +26,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id; documents without an id stay."""
-    found = jaccard.ngram_jaccard(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Of each component of near copies the row with the smallest id, null ids last.
+
+    Rows count by id and text: different texts of one id are different
+    documents, and rows without an id take part like all others. Texts without
+    words are copies of nothing; only repeats under the same id go.
+    """
+    key = unused([*docs.columns, "n_shingles", "component_id"], "key")
+    absent = F.col("doc_id").isNull()
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    keyed = docs.withColumn(key, F.struct(absent.alias("absent"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), digest.alias("digest")))
+    found = jaccard.ngram_jaccard(keyed, id=key)
+    gone = found.where(f"{key} <> component_id").select(key).distinct()
+    left = keyed.join(gone, key, "left_anti")
+    again = found.where(f"{key} = component_id and (n_shingles > 0 or not {key}.absent)").groupBy(key).count().where("count > 1").select(key)
+    if not again.isEmpty():
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+    return left.select(*[f"`{c}`" for c in docs.columns])
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,6 +322,19 @@ def test_pipeline(spark, folder):
     assert order(pieces) == order(whole) and sum(order(whole).values()) == len(mixes)
 
 
+def test_near_copies_under_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    near = lambda x: x + " end"
+    rows = [(3, a), (7, near(a)), (7, b), (5, c), (5, d), (5, d), (None, a), (None, e), (None, e), (None, near(e)), (None, ""), (None, ""), (None, None), (4, ""), (4, ""), (6, "")]
+    docs = spark.createDataFrame([(t, k, "x") for k, t in rows], "text string, doc_id long, key string").repartition(3)
+    out = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    of_e = [t for k, t in got.elements() if k is None and t]
+    assert len(of_e) == 1 and of_e[0] in (e, near(e))
+    assert got - Counter({(None, of_e[0]): 1}) == Counter([(3, a), (7, b), (5, c), (5, d), (None, ""), (None, ""), (None, None), (4, ""), (6, "")])
+
+
 def test_top_k_sql(vectors):
     c = duckdb.connect()
     embeddings = vectors.toPandas()  # noqa: F841
