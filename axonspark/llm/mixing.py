@@ -14,6 +14,8 @@ from axonspark.llm.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Budgets up to this many words are fitted by dynamic programming.
 EXACT = 1 << 16
+#: Where they are left with a gap, all documents of a source are fitted anew if the tables of sums take at most so many bits.
+TABLES = 1 << 31
 #: Sources are configuration: one row each on the driver, at most so many.
 MOST_SOURCES = 1_000_000
 
@@ -43,12 +45,38 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5
     return [(s, n, t) for (s, n), t in zip(order, out, strict=True)]
 
 
+def _knapsack(room: dict[int, int], goal: int, order: list[int]) -> dict[int, int]:
+    """Of each length at most ``room``, in sum as near below ``goal`` as possible: one bit a reachable sum."""
+    bound = (1 << (goal + 1)) - 1
+    reach, steps, take = 1, [], dict.fromkeys(room, 0)
+    for k in order:
+        n = min(room[k], goal // k) if k else 0
+        m = 1
+        while n > 0 and not reach >> goal & 1:
+            m = min(m, n)
+            steps.append((k, m, reach))
+            reach |= reach << k * m & bound
+            n -= m
+            m *= 2
+        if reach >> goal & 1:
+            break
+    at = reach.bit_length() - 1
+    for k, m, before in reversed(steps):
+        if not before >> at & 1:
+            take[k] += m
+            at -= k * m
+    return take
+
+
 def fit(counts: dict[int, int], budget: int, seed: int = 7) -> dict[int, int]:
     """How many documents of each length to take so that their lengths sum as near below ``budget`` as can be found.
 
     Every length first gives its even share, rounded down; lengths in seeded
-    order then give one more each while over EXACT words remain; the rest is a
-    bounded knapsack over reachable sums, one bit a sum.
+    order then give one more each while over EXACT words remain; where only
+    documents longer than the table of sums are left, the longest that fits is
+    taken; the rest is a bounded knapsack over reachable sums. If that leaves a
+    gap, a source whose sums fit TABLES (one of few, long documents) is solved
+    exactly over all its documents.
     """
     total = sum(k * n for k, n in counts.items())
     if budget >= total:
@@ -66,26 +94,17 @@ def fit(counts: dict[int, int], budget: int, seed: int = 7) -> dict[int, int]:
                 left -= k
         if left == before:
             break
-    left_over = max(0, left)
-    bound = (1 << (min(left_over, 4 * EXACT) + 1)) - 1
-    reach, steps = 1, []
-    goal = min(left_over, 4 * EXACT)
-    for k in order:
-        n = min(counts[k] - take[k], goal // k) if k else 0
-        m = 1
-        while n > 0 and not reach >> goal & 1:
-            m = min(m, n)
-            steps.append((k, m, reach))
-            reach |= reach << k * m & bound
-            n -= m
-            m *= 2
-        if reach >> goal & 1:
+    while left > 4 * EXACT:
+        k = max((k for k in order if take[k] < counts[k] and 0 < k <= left), default=0)
+        if not k:
             break
-    at = reach.bit_length() - 1
-    for k, m, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += m
-            at -= k * m
+        take[k] += 1
+        left -= k
+    more = _knapsack({k: n - take[k] for k, n in counts.items()}, min(max(0, left), 4 * EXACT), order)
+    take = {k: n + more[k] for k, n in take.items()}
+    gap = budget - sum(k * n for k, n in take.items())
+    if gap > 0 and budget * sum(min(n, budget // k).bit_length() for k, n in counts.items() if k) <= TABLES:
+        return _knapsack(counts, budget, order)
     return take
 
 

@@ -38,6 +38,31 @@ def test_fit():
     assert sum(k * n for k, n in mixing.fit(counts, 1_234_567).items()) == 1_234_567
 
 
+def test_fit_few_long_documents():
+    def taken(lengths, budget):
+        counts = Counter(lengths)
+        take = mixing.fit(counts, budget)
+        assert all(0 <= take[k] <= n for k, n in counts.items())
+        return sum(k * n for k, n in take.items())
+
+    assert taken([900000, 800000, 10], 820000) == 800010
+    assert taken([900000, 800000, 300001, 290000, 10], 310000) == 300011
+    assert taken([500000, 410000, 405000], 820000) == 815000
+    r = random.Random(8)
+    for _ in range(40):
+        lengths = [r.randint(1, 1_000_000) for _ in range(r.randint(1, 9))]
+        budget = r.randint(0, sum(lengths))
+        sums = {0}
+        for k in lengths:
+            sums |= {x + k for x in sums}
+        assert taken(lengths, budget) == max(x for x in sums if x <= budget)
+
+
+def test_fit_takes_the_longest_that_fits_without_tables(monkeypatch):
+    monkeypatch.setattr(mixing, "TABLES", 0)
+    assert sum(k * n for k, n in mixing.fit({900000: 1, 800000: 1, 10: 1}, 820000).items()) == 800010
+
+
 def test_mix(mixed):
     out = mixing.mix(mixed.drop("source").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b")))
     rows = out.collect()
