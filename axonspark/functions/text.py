@@ -25,6 +25,12 @@ def distinct_list(c: Column, separator: str = ",") -> Column:
     return F.when(F.count(c) > 0, F.array_join(F.array_sort(F.collect_set(c)), separator))
 
 
+def listed(values: Column, separator: str = ",") -> Column:
+    """``distinct_list`` of the values of an array."""
+    some = F.filter(values, lambda x: x.isNotNull())
+    return F.when(F.size(some) > 0, F.array_join(F.array_sort(F.array_distinct(some)), separator))
+
+
 def whole(c: Column) -> Column:
     """Cast to long the way SQL engines with round-half-even casts do; text goes by way of double."""
     return F.bround(c.cast("double"), 0).cast("long")

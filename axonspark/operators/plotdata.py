@@ -30,8 +30,8 @@ def points(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame
 
 
 def lines(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
-    """Line: the points of each group by x."""
-    return points(df, x, y, color).orderBy("color", "x", "y")
+    """Line: the points of each group, which whoever draws them joins by x."""
+    return points(df, x, y, color)
 
 
 def bars(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -27,7 +27,8 @@ def save(df: DataFrame, kind: str, output: str, formats: tuple[str, ...] = ("png
         groups = defaultdict(list)
         for r in made(df, **columns).collect():
             groups[r.color].append(r)
-        for name, rows in groups.items():
+        for name, rows in sorted(groups.items()):
+            rows = sorted(rows, key=lambda r: (r.x, r.y)) if kind == "line" else rows
             x, y = [r.x for r in rows], [r.y for r in rows]
             ax.plot(x, y, label=name) if kind == "line" else ax.scatter(x, y, s=[r.area for r in rows] if kind == "bubble" else None, label=name)
         if columns.get("color"):

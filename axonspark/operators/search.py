@@ -24,12 +24,12 @@ def any_contains(df: DataFrame, columns: tuple[str, ...], needle: str) -> DataFr
 
 
 def local_neurons(df: DataFrame, needle: str, limit: int | None = 200) -> DataFrame:
-    """Rows of a table with _rank, _dataset, _table, _file and _ordinal in which a preferred column contains ``needle``; the first such column is reported."""
+    """Rows of a table with _rank, _dataset, _table, _file and _ordinal in which a preferred column contains ``needle``; the first such column is reported. With a limit the first rows in that order, else all, unordered."""
     hits = [F.when(contains_folded(cell(df, c), needle), F.struct(F.lit(c).alias("c"), cell(df, c).alias("v"))) for c in PREFERRED]
     found = df.select("*", F.coalesce(*hits).alias("_hit")).where("_hit is not null")
     shown = [cell(df, c).alias(c) for c in SHOWN]
-    out = found.orderBy("_rank", "_file", "_ordinal").select(F.col("_dataset").alias("dataset"), F.col("_table").alias("file_id"), F.col("_hit.c").alias("matched_column"), F.col("_hit.v").alias("matched_value"), *shown)
-    return out if limit is None else out.limit(max(limit, 1))
+    found = found if limit is None else found.orderBy("_rank", "_file", "_ordinal").limit(max(limit, 1))
+    return found.select(F.col("_dataset").alias("dataset"), F.col("_table").alias("file_id"), F.col("_hit.c").alias("matched_column"), F.col("_hit.v").alias("matched_value"), *shown)
 
 
 def ranked_tables(catalog: Catalog, dataset: str | None = None) -> list[tuple[int, Table]]:
@@ -54,28 +54,24 @@ def compare(df: DataFrame, needle: str) -> DataFrame:
     return any_contains(df, COMPARED, needle)
 
 
-def partners_by_root(df: DataFrame, needle: str, kind: str) -> DataFrame:
+def partners_by_root(df: DataFrame, needle: str, kind: str, limit: int | None = None) -> DataFrame:
     """Summed synapses of the rows whose type, instance or root id contains ``needle``."""
     by = ["source_root_id", "LN_type", "analysis_hemisphere", "glomerulus", "input_relation" if kind == "orn" else "cell_sub_class"]
-    return aggregate(any_contains(df, ("LN_type", "LN_instance", "source_root_id"), needle), by, ["n_synapses"])
+    return aggregate(any_contains(df, ("LN_type", "LN_instance", "source_root_id"), needle), by, ["n_synapses"], limit=limit)
 
 
-def partners_by_file(df: DataFrame, kind: str) -> DataFrame:
+def partners_by_file(df: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
     """Summaries of the per-neuron tables; ``df`` has their rows and, for pn, the column table."""
     if kind == "orn":
-        return aggregate(df, ["LN_instance", "LN_bodyid", "glomerulus"], ["n_inputs", "n_ipsi_inputs", "n_contra_inputs"])
-    return aggregate(df, ["table", "glomerulus"], ["weight", "LN_total_connections"], ["LN_to_PN_perct"])
+        return aggregate(df, ["LN_instance", "LN_bodyid", "glomerulus"], ["n_inputs", "n_ipsi_inputs", "n_contra_inputs"], limit=limit)
+    return aggregate(df, ["table", "glomerulus"], ["weight", "LN_total_connections"], ["LN_to_PN_perct"], limit=limit)
 
 
 def find_partners(catalog: Catalog, dataset: str, name: str, kind: str, limit: int | None = 100) -> DataFrame | None:
     """Partner summaries by dataset; every collection whose name holds the family's is read, its variants too."""
     if dataset == "flywire":
         t = catalog.resolve(f"flywire:source_audit/{kind}_partner_counts_by_hemisphere")
-        out = partners_by_root(catalog.open(t), name, kind)
-    else:
-        family = "ln_orn_by_glomerulus" if kind == "orn" else "ln_to_pn_connections"
-        chosen = [t for t in catalog.tables("hemibrain") if family in t.collection and name.lower() in t.relative_path.lower()]
-        if not chosen:
-            return None
-        out = partners_by_file(catalog.open(*chosen).withColumnRenamed("_table", "table"), kind)
-    return out if limit is None else out.limit(limit)
+        return partners_by_root(catalog.open(t), name, kind, limit)
+    family = "ln_orn_by_glomerulus" if kind == "orn" else "ln_to_pn_connections"
+    chosen = [t for t in catalog.tables("hemibrain") if family in t.collection and name.lower() in t.relative_path.lower()]
+    return partners_by_file(catalog.open(*chosen).withColumnRenamed("_table", "table"), kind, limit) if chosen else None

@@ -6,8 +6,15 @@ written once.
 
 from __future__ import annotations
 
+import csv
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from axonspark.sources.catalog import Catalog, write_manifest
+
 DATASET = "CASE WHEN l_returnflag = 'A' THEN 'hemibrain' ELSE 'flywire' END"
 NEUROPIL = (
     "concat(CASE WHEN l_linenumber IN (1, 2) THEN 'AL' WHEN l_linenumber = 3 THEN 'LH' WHEN l_linenumber = 4 THEN 'MB_CA' WHEN l_linenumber = 5 THEN 'MB(+ACA)' ELSE 'GNG' END, "
@@ -49,3 +56,25 @@ def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def annotations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"instances": load(spark, sf_dir, INSTANCES), "hierarchy": load(spark, sf_dir, HIERARCHY), "tags": load(spark, sf_dir, TAGS)}
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """A small catalog of CSV files made from ``nation``, whose rows don't grow: below the session's shared folder, or a temporary one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    root = os.path.join(shared.removeprefix("file://") if shared.startswith(("file:", "/")) else tempfile.gettempdir(), f"catalog-{uuid.uuid4().hex[:12]}")
+    rows = [(r.n_nationkey, r.n_name, r.n_regionkey) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+    files: dict[str, list[tuple]] = {
+        "flywire/full_summary.csv": [("LN_type", "hemisphere"), *((n, "right" if k % 2 else "left") for k, n, _ in rows if k % 3 == 0)],
+        "flywire/flywire_ln_aliases.csv": [("bodyId", "comparison_name"), *((k, n) for k, n, _ in rows if k % 3 == 1)],
+        "comparison/shared_type_comparison.csv": [("comparison_name",), *((n,) for k, n, _ in rows if k % 3 == 2)],
+    }
+    for k, _, r in rows:
+        one = files.setdefault(f"hemibrain/ln_orn_by_glomerulus/lns_['x{r}'].csv", [("LN_instance", "LN_bodyid", "glomerulus", "n_inputs", "n_ipsi_inputs", "n_contra_inputs")])
+        one.append((f"x{r}", r, f"DM{k % 3}", k, k // 2, k - k // 2))
+    for name, body in files.items():
+        path = os.path.join(root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows(body)
+    write_manifest(spark, root)
+    return Catalog(spark, root)

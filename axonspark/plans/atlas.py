@@ -1,7 +1,7 @@
 """The derived atlas: region edges, membership, neurons with labels, totals and provenance.
 
 The build is one plan. Annotations that elsewhere would be updates in place are
-left joins with sources made unique first, so no join multiplies rows.
+aggregated to one row an id and joined once, so no join multiplies rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonspark.functions import labels as L
-from axonspark.functions.text import distinct_list, whole
+from axonspark.functions.text import distinct_list, listed, whole
 from axonspark.operators.edges import identifier
 
 
@@ -35,6 +35,8 @@ SPECS = (
     Spec("flywire", "flywire_proofread_connections", "pre_pt_root_id", "post_pt_root_id", "neuropil", "syn_count"),
 )
 TABLES = ("provenance", "edges_by_neuropil", "edges_total", "neuropil_membership", "neurons", "annotations")
+#: What the rows of a written table are sorted by inside each file.
+ORDER = {"edges_by_neuropil": ("pre_id", "post_id"), "edges_total": ("pre_id", "post_id"), "neuropil_membership": ("body_id",), "neurons": ("cell_class", "glomerulus"), "annotations": ("body_id",)}
 NEURON_COLUMNS = (
     "dataset", "body_id", "regions", "hemispheres", "input_synapses", "output_synapses", "total_synapses", "primary_name", "instance", "cell_class", "glomerulus", "side", "aliases",
     "top1_nt", "top1_probability", "top2_nt", "top2_probability", "top3_nt", "top3_probability",
@@ -76,56 +78,63 @@ def neurons(members: DataFrame) -> DataFrame:
     return out.select("*", *empty, *none)
 
 
-def _annotated(base: DataFrame, found: DataFrame, dataset: str, changes: dict) -> DataFrame:
-    """``base`` with ``changes`` on the rows of ``dataset`` that ``found`` (unique by body_id, with column hit) matches."""
-    found = found.withColumns({"dataset": F.lit(dataset), "hit": F.lit(True)})
-    joined = base.join(found, ["dataset", "body_id"], "left")
-    return joined.select(*[F.when(F.col("hit"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in NEURON_COLUMNS])
-
-
-def annotate_instances(base: DataFrame, source: DataFrame) -> DataFrame:
-    """Names, class, glomerulus and side from (bodyId, type, instance); of repeated ids the smallest (type, instance) is taken."""
-    kind, name = F.col("type").cast("string"), F.col("instance").cast("string")
-    one = source.where("bodyId is not null").groupBy(F.col("bodyId").cast("string").alias("body_id")).agg(F.min(F.struct(F.coalesce(kind, F.lit("")), F.coalesce(name, F.lit("")), kind.alias("t"), name.alias("i"))).alias("a"))
-    one = one.select("body_id", F.col("a.t").alias("t"), F.col("a.i").alias("i"))
-    empty = F.lit("")
-    changes = {
-        "primary_name": F.coalesce("t", empty), "instance": F.coalesce("i", empty), "aliases": F.coalesce("t", empty),
-        "cell_class": L.cell_class(F.coalesce("t", "i", empty)), "glomerulus": L.glomerulus(F.coalesce("t", "i", empty)), "side": L.side(F.coalesce("i", "t", empty)),
-    }
-    return _annotated(base, one, "hemibrain", changes)
-
-
-def annotate_hierarchy(base: DataFrame, source: DataFrame) -> DataFrame:
-    """From (pt_root_id, classification_system, cell_type): a value that is found replaces, an empty one leaves what was there."""
-    system, value = F.col("classification_system"), F.col("cell_type")
-    one = source.where("pt_root_id is not null").groupBy(F.col("pt_root_id").cast("string").alias("body_id")).agg(
-        distinct_list(value, "; ").alias("n"), F.min(F.when(system == "cell_type", value)).alias("p"), F.min(F.when(system == "cell_class", value)).alias("k"))
-    empty = F.lit("")
-    over = lambda new, old: F.coalesce(F.nullif(new, empty), F.col(old))
-    name = F.coalesce("p", "n", empty)
-    changes = {
-        "primary_name": over(F.col("p"), "primary_name"), "aliases": over(F.col("n"), "aliases"), "cell_class": over(L.cell_class(F.coalesce("k", "p", "n", empty)), "cell_class"),
-        "glomerulus": over(L.glomerulus(name), "glomerulus"), "side": over(L.side(name), "side"),
-    }
-    return _annotated(base, one, "flywire", changes)
-
-
-def annotate_tags(base: DataFrame, source: DataFrame) -> DataFrame:
-    """From (pt_root_id, tag): fills what is empty; the tags are appended to the aliases."""
-    one = source.where("pt_root_id is not null").groupBy(F.col("pt_root_id").cast("string").alias("body_id")).agg(distinct_list(F.col("tag"), "; ").alias("g"))
-    g, empty = F.col("g"), F.lit("")
-    fill = lambda old, new: F.coalesce(F.nullif(F.col(old), empty), new)
-    changes = {
-        "aliases": F.trim(F.concat_ws("; ", F.nullif(F.col("aliases"), empty), g)), "primary_name": fill("primary_name", F.split_part(g, F.lit(";"), F.lit(1))),
-        "cell_class": fill("cell_class", L.cell_class(g)), "glomerulus": fill("glomerulus", L.glomerulus(g)), "side": fill("side", L.side(g)),
-    }
-    return _annotated(base, one, "flywire", changes)
+def labels(instances: DataFrame | None = None, hierarchy: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame | None:
+    """(dataset, body_id) with primary_name, instance, cell_class, glomerulus, side and aliases of every annotated id, from one aggregation of all sources.
+
+    ``instances`` (bodyId, type, instance) name the first dataset; of repeated
+    ids the smallest (type, instance) is taken. In the second the values of
+    ``hierarchy`` (pt_root_id, classification_system, cell_type) come first, and
+    ``tags`` (pt_root_id, tag) fill what these leave empty and are appended to
+    the aliases. None without any source.
+    """
+    text, empty, none = (lambda c: F.col(c).cast("string")), F.lit(""), F.lit(None).cast("string")
+    made = ("source", "a", "b")
+    parts = []
+    if instances is not None:
+        parts.append(instances.where("bodyId is not null").select(F.lit("hemibrain").alias("dataset"), text("bodyId").alias("body_id"), *[x.alias(c) for c, x in zip(made, (F.lit("instance"), text("type"), text("instance")), strict=True)]))
+    if hierarchy is not None:
+        parts.append(hierarchy.where("pt_root_id is not null").select(F.lit("flywire").alias("dataset"), text("pt_root_id").alias("body_id"), *[x.alias(c) for c, x in zip(made, (F.lit("value"), text("cell_type"), text("classification_system")), strict=True)]))
+    if tags is not None:
+        parts.append(tags.where("pt_root_id is not null").select(F.lit("flywire").alias("dataset"), text("pt_root_id").alias("body_id"), *[x.alias(c) for c, x in zip(made, (F.lit("tag"), text("tag"), none), strict=True)]))
+    if not parts:
+        return None
+    a, b, of = F.col("a"), F.col("b"), (lambda name: F.col("source") == name)
+    least = F.min(F.when(of("instance"), F.struct(F.coalesce(a, empty), F.coalesce(b, empty), a.alias("t"), b.alias("i"))))
+    values = F.collect_set(F.when(~of("instance"), F.struct("source", "a")))
+    one = reduce(DataFrame.unionByName, parts).groupBy("dataset", "body_id").agg(least.alias("least"), values.alias("values"), F.min(F.when(of("value") & (b == "cell_type"), a)).alias("p"), F.min(F.when(of("value") & (b == "cell_class"), a)).alias("k"))
+    some = lambda name: listed(F.transform(F.filter("values", lambda x: x["source"] == name), lambda x: x["a"]), "; ")
+    one = one.select("dataset", "body_id", F.col("least.t").alias("t"), F.col("least.i").alias("i"), F.col("least").isNotNull().alias("named"), "p", "k", some("value").alias("n"), some("tag").alias("g"), F.exists("values", lambda x: x["source"] == "tag").alias("hit"))
+    t, i, p, k, n, g = (F.col(c) for c in "tipkng")
+    filled = lambda x: F.nullif(x, empty)
+    first = F.coalesce(p, n, empty)
+    tagged = lambda f: F.when(g.isNotNull(), f(g)).otherwise(empty)
+    return one.select(
+        "dataset", "body_id",
+        F.when(F.col("named"), F.coalesce(t, empty)).otherwise(F.coalesce(filled(p), F.split_part(g, F.lit(";"), F.lit(1)), empty)).alias("primary_name"),
+        F.coalesce(i, empty).alias("instance"),
+        F.when(F.col("named"), L.cell_class(F.coalesce(t, i, empty))).otherwise(F.coalesce(filled(L.cell_class(F.coalesce(k, first))), tagged(L.cell_class))).alias("cell_class"),
+        F.when(F.col("named"), L.glomerulus(F.coalesce(t, i, empty))).otherwise(F.coalesce(filled(L.glomerulus(first)), tagged(L.glomerulus))).alias("glomerulus"),
+        F.when(F.col("named"), L.side(F.coalesce(i, t, empty))).otherwise(F.coalesce(filled(L.side(first)), tagged(L.side))).alias("side"),
+        F.when(F.col("named"), F.coalesce(t, empty)).when(~F.col("hit"), F.coalesce(n, empty)).otherwise(F.trim(F.concat_ws("; ", filled(n), g))).alias("aliases"),
+    )
+
+
+def annotate(base: DataFrame, **sources: DataFrame | None) -> DataFrame:
+    """The neurons ``base`` with the ``labels`` of ``sources``: one join, and none without a source."""
+    found = labels(**sources)
+    if found is None:
+        return base
+    names = ("primary_name", "instance", "cell_class", "glomerulus", "side", "aliases")
+    joined = base.drop(*names).join(found, ["dataset", "body_id"], "left")
+    return joined.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in names else F.col(c) for c in NEURON_COLUMNS])
 
 
 def edges_total(edges: DataFrame) -> DataFrame:
-    lists = [distinct_list(F.col(c)).alias(f"{c}s") for c in ("neuropil", "region", "hemisphere")]
-    return edges.groupBy("dataset", "pre_id", "post_id").agg(*lists, F.sum("synapses").alias("synapses"), distinct_list(F.col("source_table")).alias("source_tables"))
+    """One row a pair of neurons; all its lists come from one set."""
+    names = ("neuropil", "region", "hemisphere", "source_table")
+    out = edges.groupBy("dataset", "pre_id", "post_id").agg(F.collect_set(F.struct(*names)).alias("set"), F.sum("synapses").alias("synapses"))
+    lists = {f"{c}s": listed(F.col(f"set.{c}")) for c in names}
+    return out.select("dataset", "pre_id", "post_id", *[lists[f"{c}s"].alias(f"{c}s") for c in names[:3]], "synapses", lists["source_tables"].alias("source_tables"))
 
 
 def provenance(raw: dict[str, DataFrame], edges: DataFrame, store: str = "") -> DataFrame:
@@ -144,9 +153,7 @@ def build(raw: dict[str, DataFrame], instances: DataFrame | None = None, hierarc
     if not parts:
         raise ValueError("no connection table")
     edges = reduce(DataFrame.unionByName, parts)
-    cells = neurons(ends(edges))
-    for step, source in ((annotate_instances, instances), (annotate_hierarchy, hierarchy), (annotate_tags, tags)):
-        cells = step(cells, source) if source is not None else cells
+    cells = annotate(neurons(ends(edges)), instances=instances, hierarchy=hierarchy, tags=tags)
     return {"provenance": provenance(raw, edges, store), "edges_by_neuropil": edges, "edges_total": edges_total(edges), "neuropil_membership": membership(edges), "neurons": cells, "annotations": cells.select(*ANNOTATION_COLUMNS)}
 
 
@@ -159,7 +166,9 @@ def build_tables(spark: SparkSession, datasets: tuple[str, ...] = ("hemibrain",
     """Writes the derived tables of the session's catalog; returns a row per source, then per table.
 
     Edges and neurons are written first and read back by what depends on them,
-    partitioned by dataset. A rebuild holds only the chosen datasets.
+    partitioned by dataset and sorted in each file by what questions filter on,
+    so that their statistics skip row groups. A rebuild holds only the chosen
+    datasets.
     """
     prefix = identifier(prefix)
     name = lambda t: f"{prefix}_{t}"
@@ -178,16 +187,13 @@ def build_tables(spark: SparkSession, datasets: tuple[str, ...] = ("hemibrain",
         return rows
 
     def write(t: str, df: DataFrame) -> DataFrame:
-        w = df.write.mode("overwrite").format("parquet")
+        w = df.sortWithinPartitions("dataset", *ORDER[t]).write.mode("overwrite").format("parquet") if t in ORDER else df.write.mode("overwrite").format("parquet")
         (w.partitionBy("dataset") if "dataset" in df.columns and t != "provenance" else w).saveAsTable(name(t))
         return spark.table(name(t)).select(*df.columns)
 
     edges = write("edges_by_neuropil", reduce(DataFrame.unionByName, [edges_by_neuropil(raw[s.dataset], s) for s in SPECS if s.dataset in raw]))
     members = write("neuropil_membership", membership(edges))
-    cells = neurons(members)
-    for step, source in ((annotate_instances, found(*INSTANCE_TABLES)), (annotate_hierarchy, found(HIERARCHY_TABLE)), (annotate_tags, found(TAG_TABLE))):
-        cells = step(cells, source) if source is not None else cells
-    cells = write("neurons", cells)
+    cells = write("neurons", annotate(neurons(members), instances=found(*INSTANCE_TABLES), hierarchy=found(HIERARCHY_TABLE), tags=found(TAG_TABLE)))
     write("annotations", cells.select(*ANNOTATION_COLUMNS))
     write("edges_total", edges_total(edges))
     write("provenance", provenance(raw, edges))

@@ -58,6 +58,8 @@ def edge_list(edges: DataFrame, dataset: str | None = None, region: str | None =
 def receptor_inputs(edges: DataFrame, neurons: DataFrame, dataset: str | None = None, glomerulus: str | None = None, pn_type: str | None = None, by_side: bool = False, limit: int | None = 50) -> DataFrame:
     """Receptor neurons onto projection neurons: how many, with how many synapses, and with ``by_side`` on which side.
 
+    ``neurons`` is the derived table or, since an edge proves that its neurons
+    are there, the ``labels`` alone, which saves the rollup of all edges.
     Filters on the dataset and the two classes reach both scans. Which side of a
     join is small is left to the optimizer, which knows the sizes.
     """

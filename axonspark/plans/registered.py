@@ -34,31 +34,29 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 # -- SQL pieces ------------------------------------------------------------------------------------------------------
 
 
-def _case(tests: list[tuple[str, str]]) -> str:
-    return "CASE " + " ".join(f"WHEN {t} THEN '{v}'" for t, v in tests) + " ELSE '' END"
-
-
 def sql_region(c: str) -> str:
-    return _case([(f"upper({c}) LIKE '{r}%'", r) for r in L.REGIONS])
+    return f"CASE WHEN starts_with(upper({c}), 'AL') THEN 'AL' WHEN starts_with(upper({c}), 'LH') THEN 'LH' WHEN starts_with(upper({c}), 'MB') THEN 'MB' ELSE '' END"
 
 
 def sql_hemisphere(c: str) -> str:
-    return _case([(" OR ".join(f"upper({c}) LIKE '{p.format(s)}'" for p in L.HEMISPHERE), s) for s in ("R", "L")])
+    """R before L: in brackets, after any one character at the end, or inside, between any two."""
+    return f"CASE WHEN regexp_matches(upper({c}), '\\(R\\)|.R$|.R.') THEN 'R' WHEN regexp_matches(upper({c}), '\\(L\\)|.L$|.L.') THEN 'L' ELSE '' END"
 
 
 def sql_class(c: str) -> str:
-    return _case([(" OR ".join(f"upper({c}) LIKE '{p}'" for p in ps), k) for k, ps in L.CLASSES])
+    return f"""CASE WHEN regexp_matches({c}, 'ORN', 'i') THEN 'ORN' WHEN regexp_matches({c}, 'PN|PROJECTION NEURON', 'i') THEN 'PN' WHEN regexp_matches({c}, 'LN|LOCAL', 'i') THEN 'LN' WHEN regexp_matches({c}, '^KC|KENYON', 'i') THEN 'KC'
+        WHEN regexp_matches({c}, 'MBON', 'i') THEN 'MBON' WHEN regexp_matches({c}, 'APL', 'i') THEN 'APL' WHEN regexp_matches({c}, 'DAN|PAM|PPL', 'i') THEN 'DAN' ELSE '' END"""
 
 
 def sql_glomerulus(c: str) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, '{p}', {g}), '')" for p, g in L.GLOMERULUS) + ", '')"
+    return f"""CASE WHEN regexp_matches({c}, 'ORN_[^_;, ]') THEN regexp_extract({c}, 'ORN_([^_;, ]+)', 1) WHEN regexp_matches({c}, '(^|[ ;,])[^_;, ]+_ORN') THEN regexp_extract({c}, '(^|[ ;,])([^_;, ]+)_ORN', 2)
+        WHEN regexp_matches({c}, '(^|[ ;,])[^_;, ]+_[lvm]?PN') THEN regexp_extract({c}, '(^|[ ;,])([^_;, ]+)_[lvm]?PN', 2) WHEN regexp_matches({c}, 'PN_[^_;, ]') THEN regexp_extract({c}, 'PN_([^_;, ]+)', 1) ELSE '' END"""
 
 
 def sql_side(c: str) -> str:
-    tests = []
-    for s, w in (("R", "right"), ("L", "left")):
-        tests.append((" OR ".join([*(f"regexp_matches(upper({c}), '{p.format(s)}')" for p in L.SIDE), f"upper({c}) LIKE '% {w.upper()}%'", f"lower({c}) = '{w}'"]), s))
-    return _case(tests)
+    """A word that is R or L, or ends in one after _ or -, or the side spelt out."""
+    return f"""CASE WHEN regexp_matches(upper({c}), '(^|[ ;,])([^ ;,]*[_-])?R($|[ ;,])') OR contains(upper({c}), ' RIGHT') OR lower({c}) = 'right' THEN 'R'
+        WHEN regexp_matches(upper({c}), '(^|[ ;,])([^ ;,]*[_-])?L($|[ ;,])') OR contains(upper({c}), ' LEFT') OR lower({c}) = 'left' THEN 'L' ELSE '' END"""
 
 
 EDGE_CTE = f"""
@@ -218,20 +216,17 @@ _COUNTS = "e.dataset, p.body_id AS pn_id, p.primary_name AS pn_name, p.glomerulu
 
 @register(f"WITH {TAG_CTE} SELECT {_COUNTS} {_JOIN} AND (o.glomerulus = 'DM1' OR p.glomerulus = 'DM1') GROUP BY e.dataset, p.body_id, p.primary_name, p.glomerulus")
 def orn_inputs(s: SparkSession, d: str) -> DataFrame:
-    t = _build(s, d)
-    return questions.receptor_inputs(t["edges_by_neuropil"], t["neurons"], glomerulus="DM1", limit=None)
+    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), glomerulus="DM1", limit=None)
 
 
 @register(f"WITH {TAG_CTE} SELECT {_COUNTS}, p.side AS pn_side, {_SIDE} AS orn_side, {_RELATION} AS side_relation {_JOIN} GROUP BY e.dataset, p.body_id, p.primary_name, p.glomerulus, p.side, {_SIDE}, {_RELATION}")
 def orn_inputs_by_side(s: SparkSession, d: str) -> DataFrame:
-    t = _build(s, d)
-    return questions.receptor_inputs(t["edges_by_neuropil"], t["neurons"], by_side=True, limit=None)
+    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), by_side=True, limit=None)
 
 
 @register(f"WITH {TAG_CTE} SELECT {_COUNTS} {_JOIN} AND e.dataset = 'flywire' AND (p.primary_name = 'DM2_lPN' OR p.instance = 'DM2_lPN' OR p.aliases ILIKE '%DM2_lPN%') GROUP BY e.dataset, p.body_id, p.primary_name, p.glomerulus")
 def orn_inputs_pn_type(s: SparkSession, d: str) -> DataFrame:
-    t = _build(s, d)
-    return questions.receptor_inputs(t["edges_by_neuropil"], t["neurons"], dataset="flywire", pn_type="DM2_lPN", limit=None)
+    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), dataset="flywire", pn_type="DM2_lPN", limit=None)
 
 
 # -- connection tables -----------------------------------------------------------------------------------------------
@@ -304,9 +299,9 @@ def query_exact(s: SparkSession, d: str) -> DataFrame:
     return predicates.project(predicates.where(_summary(s, d), [("LN_type", "R"), ("analysis_hemisphere", "L")]), ["glomerulus", "n_synapses", "no_such_column"])
 
 
-@register("SELECT CAST(p_partkey AS STRING) AS p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_brand), 'd#1') AND contains(lower(p_name), '1')")
+@register("SELECT CAST(p_partkey AS STRING) AS p_partkey, p_type, p_brand FROM part WHERE contains(lower(p_brand), 'd#1') AND contains(lower(CAST(p_partkey AS STRING)), '1')")
 def query_contains(s: SparkSession, d: str) -> DataFrame:
-    return predicates.project(predicates.where(s.read.parquet(f"{d}/part.parquet"), contains=[("p_brand", "D#1"), ("p_name", "1")]), ["p_partkey", "p_name", "p_brand"])
+    return predicates.project(predicates.where(s.read.parquet(f"{d}/part.parquet"), contains=[("p_brand", "D#1"), ("p_partkey", "1")]), ["p_partkey", "p_type", "p_brand"])
 
 
 @register("SELECT CAST(p_partkey AS STRING) AS p_partkey, p_name FROM part ORDER BY part.p_partkey LIMIT 10")
@@ -444,10 +439,31 @@ def bar_heights(s: SparkSession, d: str) -> DataFrame:
 # -- catalogs --------------------------------------------------------------------------------------------------------
 
 
-@register("SELECT r_name AS dataset, count(*) AS tables FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+_FILES = "SELECT 'hemibrain' AS dataset, count(DISTINCT n_regionkey) AS tables FROM nation UNION ALL SELECT 'flywire', 2 UNION ALL SELECT 'comparison', 1"
+
+
+@register(_FILES)
 def manifest_counts(s: SparkSession, d: str) -> DataFrame:
-    A.views(s, d, "nation", "region")
-    return s.sql("SELECT r_name AS dataset FROM nation JOIN region ON n_regionkey = r_regionkey").groupBy("dataset").agg(F.count("*").alias("tables"))
+    return A.catalog(s, d).datasets()
+
+
+@register("""SELECT concat('x', CAST(n_regionkey AS STRING)) AS "LN_instance", CAST(n_regionkey AS STRING) AS "LN_bodyid", concat('DM', CAST(n_nationkey % 3 AS STRING)) AS glomerulus, count(*) AS count,
+    CAST(sum(n_nationkey) AS DOUBLE) AS sum_n_inputs, CAST(sum(n_nationkey // 2) AS DOUBLE) AS sum_n_ipsi_inputs, CAST(sum(n_nationkey - n_nationkey // 2) AS DOUBLE) AS sum_n_contra_inputs FROM nation GROUP BY n_regionkey, n_nationkey % 3""")
+def orn_file_summary(s: SparkSession, d: str) -> DataFrame:
+    return search.find_partners(A.catalog(s, d), "hemibrain", "lns_", "orn", None)
+
+
+_FAMILY = """SELECT 0 AS rank, 'flywire_full_summary' AS file_id, n_nationkey AS k, n_name AS "LN_type", '' AS "bodyId", '' AS comparison_name, n_comment AS hemisphere FROM named WHERE n_nationkey % 3 = 0
+    UNION ALL SELECT 2, 'flywire_flywire_ln_aliases', n_nationkey, '', CAST(n_nationkey AS STRING), n_name, '' FROM named WHERE n_nationkey % 3 = 1
+    UNION ALL SELECT 6, 'comparison_shared_type_comparison', n_nationkey, '', '', n_name, '' FROM named WHERE n_nationkey % 3 = 2"""
+
+
+@register(f"""WITH named AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'left' ELSE 'right' END AS n_comment FROM nation), t AS ({_FAMILY}),
+    f AS (SELECT * FROM t WHERE contains(concat("LN_type", ' ', comparison_name, ' ', "bodyId"), '1') ORDER BY rank, file_id, k LIMIT 9)
+    SELECT CASE WHEN rank = 6 THEN 'comparison' ELSE 'flywire' END AS dataset, file_id, CASE WHEN rank = 0 THEN 'LN_type' ELSE 'comparison_name' END AS matched_column, CASE WHEN rank = 0 THEN "LN_type" ELSE comparison_name END AS matched_value,
+    "LN_type", '' AS "combined_LN_type", comparison_name, '' AS recommended_match_group, "bodyId", '' AS root_id, hemisphere, '' AS input_preference, '' AS top_nt, '' AS top_nt_conf FROM f""")
+def ln_families(s: SparkSession, d: str) -> DataFrame:
+    return search.find_local_neurons(A.catalog(s, d), "1", limit=9)
 
 
 @register(" UNION ALL ".join("SELECT " + ", ".join(f"'{v}' AS {f.name}" for f, v in zip(fields(bulk.Release), astuple(r), strict=True)) for r in bulk.RELEASES))

@@ -28,12 +28,12 @@ class Release:
 
 # The public releases.
 RELEASES = (
-    Release("flywire", "post-neuropil-counts", "feather", "per_neuron_neuropil_count_post_783.feather", "flywire_post_neuropil_counts", "Postsynapse counts per neuron and neuropil.", "https://zenodo.org/records/10676866/files/per_neuron_neuropil_count_post_783.feather?download=1"),
-    Release("flywire", "pre-neuropil-counts", "feather", "per_neuron_neuropil_count_pre_783.feather", "flywire_pre_neuropil_counts", "Presynapse counts per neuron and neuropil.", "https://zenodo.org/records/10676866/files/per_neuron_neuropil_count_pre_783.feather?download=1"),
-    Release("flywire", "proofread-connections", "feather", "proofread_connections_783.feather", "flywire_proofread_connections", "Proofread connections of neurons by neuropil.", "https://zenodo.org/records/10676866/files/proofread_connections_783.feather?download=1"),
-    Release("flywire", "synapses", "feather", "flywire_synapses_783.feather", "flywire_synapses", "All released synapses with transmitter probabilities.", "https://zenodo.org/records/10676866/files/flywire_synapses_783.feather?download=1"),
-    Release("hemibrain", "compact-adjacencies", "tar.gz", "exported-traced-adjacencies-v1.2.tar.gz", "hemibrain_traced_roi_connections", "Compact adjacencies of traced neurons, v1.2.", "https://storage.googleapis.com/hemibrain/v1.2/exported-traced-adjacencies-v1.2.tar.gz"),
-    Release("hemibrain", "neo4j-inputs", "zip", "hemibrain_v1.2_neo4j_inputs.zip", "hemibrain_neo4j_inputs", "Graph import files, v1.2.", "https://storage.googleapis.com/hemibrain-release/neuprint/hemibrain_v1.2_neo4j_inputs.zip"),
+    Release("flywire", "proofread-connections", "feather", "proofread_connections_783.feather", "flywire_proofread_connections", "FlyWire proofread neuron-neuron connections by neuropil.", "https://zenodo.org/records/10676866/files/proofread_connections_783.feather?download=1"),
+    Release("flywire", "synapses", "feather", "flywire_synapses_783.feather", "flywire_synapses", "FlyWire all released synapses with NT probabilities.", "https://zenodo.org/records/10676866/files/flywire_synapses_783.feather?download=1"),
+    Release("flywire", "pre-neuropil-counts", "feather", "per_neuron_neuropil_count_pre_783.feather", "flywire_pre_neuropil_counts", "FlyWire presynapse counts per neuron and neuropil.", "https://zenodo.org/records/10676866/files/per_neuron_neuropil_count_pre_783.feather?download=1"),
+    Release("flywire", "post-neuropil-counts", "feather", "per_neuron_neuropil_count_post_783.feather", "flywire_post_neuropil_counts", "FlyWire postsynapse counts per neuron and neuropil.", "https://zenodo.org/records/10676866/files/per_neuron_neuropil_count_post_783.feather?download=1"),
+    Release("hemibrain", "compact-adjacencies", "tar.gz", "exported-traced-adjacencies-v1.2.tar.gz", "hemibrain_traced_roi_connections", "Hemibrain v1.2 compact traced neuron adjacency CSV bundle.", "https://storage.googleapis.com/hemibrain/v1.2/exported-traced-adjacencies-v1.2.tar.gz"),
+    Release("hemibrain", "neo4j-inputs", "zip", "hemibrain_v1.2_neo4j_inputs.zip", "hemibrain_neo4j_inputs", "Hemibrain v1.2 neuPrint Neo4j import CSV bundle.", "https://storage.googleapis.com/hemibrain-release/neuprint/hemibrain_v1.2_neo4j_inputs.zip"),
 )
 
 

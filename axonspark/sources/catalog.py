@@ -53,20 +53,16 @@ def file_id(relative_path: str) -> str:
 def read_csv(spark: SparkSession, root: str, names: list[str], columns: list[str]) -> DataFrame:
     """All cells as text of files below ``root`` that share one header; ``_file`` is the relative path, ``_ordinal`` the order inside a file.
 
-    Names may hold brackets and quotes, so the directory is read and files are
-    chosen by name; null cells are empty.
+    The reader gets the wanted paths alone, with the signs that would match
+    other names escaped, so that no other file is opened; null cells are empty.
     """
-    wanted = {n: i for i, n in enumerate(names)}
     df = spark.read.schema(text_schema(columns)).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
-    if len(names) == 1:
-        path = re.sub(r"([\[\]{}*?\\])", r"\\\1", os.path.join(root, names[0]))
-        got = df.csv(path)
-        return got.select(F.lit(names[0]).alias("_file"), F.monotonically_increasing_id().alias("_ordinal"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
-    got = df.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
+    root = os.path.realpath(root)
+    got = df.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", os.path.join(root, n)) for n in names])
     decoded = F.try_url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    prefix = "file:" + os.path.realpath(root) + "/"
-    got = got.select(F.regexp_replace(decoded, "^file:/+", "file:/").alias("_p"), F.monotonically_increasing_id().alias("_ordinal"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
-    return got.withColumn("_file", F.expr(f"substring(_p, {len(prefix) + 1})")).where(F.col("_file").isin(list(wanted))).drop("_p").select("_file", "_ordinal", *[F.col(f"`{c}`") for c in columns])
+    below = F.substring(F.regexp_replace(decoded, "^file:/+", "/"), len(root) + 2, 1 << 20)
+    file = F.lit(names[0]) if len(names) == 1 else below
+    return got.select(file.alias("_file"), F.monotonically_increasing_id().alias("_ordinal"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
 class Catalog:
@@ -93,20 +89,18 @@ class Catalog:
         return [t for t in self.entries if (dataset is None or t.dataset == dataset) and needle in f"{t.file_id} {t.relative_path} {t.collection}".lower()]
 
     def resolve(self, ref: str) -> Table:
-        """By id, dataset:path, dataset:collection/stem, path or path suffix; one match exactly."""
+        """The one table called ``ref``: its id, path, dataset:path or dataset:collection/stem, or, with a dataset before the first colon, the end of its path."""
         want = ref.removesuffix(".csv")
+        dataset, colon, tail = want.partition(":")
 
-        def fits(t: Table) -> bool:
-            if want in (t.file_id, t.stem, f"{t.dataset}:{t.stem}", f"{t.dataset}:{t.collection}/{os.path.basename(t.stem)}"):
-                return True
-            dataset, colon, tail = want.rpartition(":")
-            return (not colon or t.dataset == dataset) and t.stem.endswith(tail)
+        def names(t: Table) -> tuple[str, ...]:
+            return t.file_id, t.stem, f"{t.dataset}:{t.stem}", f"{t.dataset}:{t.collection}/{os.path.basename(t.stem)}"
 
-        found = [t for t in self.entries if fits(t)]
+        found = [t for t in self.entries if want in names(t) or (colon and dataset and dataset == t.dataset and t.stem.endswith(tail))]
         if not found:
             raise KeyError(f"no table matches {ref}")
         if len(found) > 1:
-            raise ValueError(f"{ref} matches {len(found)} tables: " + ", ".join(t.relative_path for t in found[:10]))
+            raise ValueError(f"{ref} matches {len(found)} tables: " + ", ".join(t.file_id for t in found[:10]))
         return found[0]
 
     def path(self, ref: str) -> str:

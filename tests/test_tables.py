@@ -3,6 +3,7 @@
 import csv
 import io
 import json
+import os
 import tarfile
 import zipfile
 
@@ -50,7 +51,7 @@ def test_filters_and_projection(spark):
 
 def test_aggregate(spark):
     df = spark.createDataFrame([("b", "2"), ("a", ""), ("a", "x"), ("a", "3"), ("c", "")], "k string, v string")
-    assert [tuple(r) for r in aggregate(df, ["k"], ["v"], ["v"]).collect()] == [("a", 3, 3.0, 1.5), ("b", 1, 2.0, 2.0), ("c", 1, 0.0, None)]
+    assert [tuple(r) for r in aggregate(df, ["k"], ["v"], ["v"], limit=9).collect()] == [("a", 3, 3.0, 1.5), ("b", 1, 2.0, 2.0), ("c", 1, 0.0, None)]
     with pytest.raises(ValueError, match="group"):
         aggregate(df, [])
 
@@ -58,7 +59,7 @@ def test_aggregate(spark):
 def test_roles():
     assert edges.roles(["Upstream_BodyId", "downstream_bodyId", "roi", "weight", "count"]) == edges.Roles("Upstream_BodyId", "downstream_bodyId", "weight", "roi")
     assert edges.roles(["pre", "post", "synapses"]).roi == ""
-    with pytest.raises(ValueError, match="none of"):
+    with pytest.raises(ValueError, match="no column for post"):
         edges.roles(["pre", "weight"])
     assert [edges.identifier(x) for x in ("a-b.c", "1a", "")] == ["a_b_c", "t_1a", "t_"]
 
@@ -111,12 +112,18 @@ def test_manifest_and_catalog(spark, tmp_path):
     assert [tuple(r) for r in c.datasets().collect()] == [("comparison", 1), ("flywire", 2), ("hemibrain", 3)]
     t = c.resolve("flywire:full_summary")
     assert (t.collection, t.rows, t.columns, t.file_id) == ("root", 2, ("LN_type", "bodyId", "cell.type"), "flywire_full_summary")
-    assert c.resolve("matched_ln_class_similarity.csv").dataset == "comparison"
+    assert c.resolve("comparison:matched_ln_class_similarity.csv").dataset == "comparison"
     assert [x.file_id for x in c.tables("hemibrain", "INDIVIDUAL")] == ["hemibrain_ln_orn_by_glomerulus_individual_lns_a_b"]
     with pytest.raises(KeyError):
         c.resolve("nothing")
-    with pytest.raises(ValueError, match="matches 6"):
+    with pytest.raises(KeyError):
         c.resolve("")
+    with pytest.raises(KeyError):
+        c.resolve("full_summary")
+    assert c.resolve("flywire:summary") == t == c.resolve("flywire/full_summary.csv")
+    with pytest.raises(ValueError, match="matches 2"):
+        c.resolve("flywire:")
+    assert c.resolve("comparison_matched_ln_class_similarity").dataset == "comparison"
     one = c.open(c.resolve("comparison:matched_ln_class_similarity")).collect()[0]
     assert one["flywire_raw_LN_types"] == "a, b" and one["note"] == 'say "hi"'
     assert predicates.project(c.open(t), ["cell.type"]).collect()[0][0] == "q"
@@ -130,6 +137,30 @@ def test_manifest_and_catalog(spark, tmp_path):
     assert search.compare(c.open(c.resolve("comparison:matched_ln_class_similarity")), "LLN").count() == 1
 
 
+def test_references_that_end_alike(spark, tmp_path):
+    for name in ("a/full.csv", "b/a/full.csv", "c/not:so/x.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x,y\n1,2\n")
+    catalog.write_manifest(spark, str(tmp_path))
+    c = catalog.Catalog(spark, str(tmp_path))
+    assert c.resolve("a/full").relative_path == "a/full.csv"
+    assert c.resolve("b:full").relative_path == c.resolve("b:a/full").relative_path == "b/a/full.csv"
+    assert c.resolve("c:not:so/x").relative_path == "c/not:so/x.csv"
+    with pytest.raises(KeyError):
+        c.resolve("full")
+
+
+def test_family_scan_opens_its_files_alone(spark, tmp_path):
+    root = make_catalog(tmp_path)
+    catalog.write_manifest(spark, str(root))
+    (root / "hemibrain/ln_orn_by_glomerulus/not in the manifest.csv").write_text("never,read\n1,2\n")
+    c = catalog.Catalog(spark, str(root))
+    wanted = [t for t in c.tables("hemibrain") if "ln_orn" in t.collection]
+    df = c.open(*wanted)
+    assert len(wanted) == 2 and sorted(os.path.basename(f) for f in catalog.read_csv(spark, c.root, [t.relative_path for t in wanted], list(wanted[0].columns)).inputFiles()) == ["A(+b).csv", "A_%5B'x_R'%5D_y.csv"]
+    assert sorted({(r._file, r._table) for r in df.collect()}) == sorted((t.relative_path, t.file_id) for t in wanted)
+
+
 def test_imports(spark, tmp_path):
     (tmp_path / "x.csv").write_text("id,w\n720575940607198898,3\n1,4\n")
     assert bulk.load(spark, str(tmp_path / "x.csv"), "imp-x", replace=True) == ("imp_x", 2)
