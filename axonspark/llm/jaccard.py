@@ -34,10 +34,12 @@ from axonspark.llm.scratch import Scratch
 #: N-grams of documents that are counted together before they move, and of a column block at the receiver.
 CHUNK_GRAMS = 1 << 20
 BLOCK_GRAMS = 1 << 21
-#: Pairs whose sets are in memory together.
-PAIRS = 64
-#: A list with so many early entries or fewer is completed in the second turn.
-FEW = 64
+#: Bytes of text behind an n-gram, for the number of column blocks alone.
+GRAM_BYTES = 6
+#: N-grams of a block of the product, on either side.
+CELL_GRAMS = 1 << 18
+#: A list with so many early entries or fewer is completed in the first turn after blocks by label.
+FEW = 256
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -68,24 +70,11 @@ def prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, digest) of each row; an empty set has no digest."""
+def _chunks(docs: DataFrame, size: int, blocks: int) -> DataFrame:
+    """A row per document (its set's size and digest; an empty set has none), and of each chunk its texts (block -1) and column counts by column block.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker.begin("jaccard")
-        for b in batches:
-            for at, col in words.slices(b.column(1)):
-                values, first = words.shingle_sets(col, size)
-                n = np.diff(first)
-                d = [digest(values[i:j]) if j > i else None for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(col)), pa.array(n, pa.int64()), pa.array(d, pa.binary())], names=["id", "n_shingles", "digest"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_shingles long, digest binary")
-
-
-def _count(docs: DataFrame, size: int, blocks: int) -> DataFrame:
-    """Chunks of texts, and each chunk's column counts by column block (block -1: the texts themselves)."""
+    A chunk has each of its different sets once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("jaccard")
@@ -120,20 +109,25 @@ def _count(docs: DataFrame, size: int, blocks: int) -> DataFrame:
 
         def batch(rows):
             a, b, c = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["chunk", "block", "payload"])
+            none = [pa.nulls(len(rows), t) for t in (kind, pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=names)
 
-        held = 0
+        held, kind = 0, None
         for b in batches:
-            for _, col in words.slices(b.column(0)):
+            kind = b.schema.field(0).type
+            for at, col in words.slices(b.column(1)):
                 values, first = words.shingle_sets(col, size)
-                fresh = []
+                dig, fresh = [], []
                 for k, (i, j) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    d = digest(values[i:j])
-                    if j > i and d not in seen:
+                    d = digest(values[i:j]) if j > i else None
+                    dig.append(d)
+                    if d is not None and d not in seen:
                         seen.add(d)
                         fresh.append(k)
                         grams.append(values[i:j])
                         held += j - i
+                m = len(col)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, m), pa.array(np.diff(first), pa.int64()), pa.array(dig, pa.binary()), pa.array(np.full(m, part << 24 | turn), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
                 if fresh:
                     texts.append(col.take(pa.array(fresh)))
                 if held >= CHUNK_GRAMS:
@@ -142,7 +136,8 @@ def _count(docs: DataFrame, size: int, blocks: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "chunk long, block int, payload binary")
+    names = ["id", "n_shingles", "digest", "chunk", "block", "payload"]
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, digest binary, chunk long, block int, payload binary")
 
 
 def _answer(t: pa.Table) -> pa.Table:
@@ -167,11 +162,17 @@ def _answer(t: pa.Table) -> pa.Table:
 
 
 def _heads(size: int, num: int, den: int, blocks: int):
-    """Of one chunk: a row for each non-unique n-gram in the head of a document, and the text of each document that has one."""
+    """Of one chunk: a row for each n-gram in the head of a document that another has too, and the text of each document that has one.
+
+    ``s`` is the number of a document's n-grams that another has too. A set that
+    lies in several chunks (``m`` of them, block -2) is left to the first; its
+    n-grams count ``m`` times without being another's.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         worker.begin("jaccard")
         block, payload = t["block"].to_pylist(), t["payload"].to_pylist()
+        copies = {x: (m, own) for b, x, m, own in zip(block, payload, t["m"].to_pylist(), t["own"].to_pylist(), strict=True) if b == -2}
         known, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
         for b, x in zip(block, payload, strict=True):
             if b >= 0:
@@ -181,9 +182,9 @@ def _heads(size: int, num: int, den: int, blocks: int):
         known, df = np.concatenate(known), np.concatenate(df)
         order = np.argsort(known)
         known, df = known[order], df[order]
-        key, dig, n_of, pos, texts, text_of = [], [], [], [], [], []
+        key, dig, n_of, s_of, pos, texts, text_of = [], [], [], [], [], [], []
         for b, x in zip(block, payload, strict=True):
-            if b >= 0 or not len(known):
+            if b != -1 or not len(known):
                 continue
             for _, col in words.slices(pa.ipc.open_stream(x).read_all()["text"]):
                 values, first = words.shingle_sets(col, size)
@@ -194,53 +195,72 @@ def _heads(size: int, num: int, den: int, blocks: int):
                 shared = np.bincount(row[count > 1], minlength=len(first) - 1)
                 for r in np.flatnonzero(shared):
                     i, j = first[r], first[r + 1]
-                    n = int(j - i)
-                    alone, head = n - int(shared[r]), prefix(n, num, den)
-                    if alone >= head:
-                        continue
                     v, c = values[i:j], count[i:j]
-                    v, c = v[c > 1], c[c > 1]
+                    d = digest(v)
+                    m, own = copies.get(d, (1, True))
+                    n, s = int(j - i), int((c > m).sum())
+                    alone, head = n - s, prefix(n, num, den)
+                    if alone >= head or not own:
+                        continue
+                    v, c = v[c > m], c[c > m]
                     v = v[np.lexsort((v, c))][: head - alone]
-                    d = digest(values[i:j])
                     key.append(v.astype(np.int64))
                     dig += [d] * len(v)
                     n_of.append(np.full(len(v), n))
+                    s_of.append(np.full(len(v), s))
                     pos.append(np.arange(alone + 1, alone + 1 + len(v)))
                     texts.append(col[r].as_py())
                     text_of.append(d)
-        m = len(texts)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        k = len(texts)
+        cat = lambda x: pa.concat_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()), pa.nulls(k, pa.int64())])
         return pa.table(
-            {
-                "key": pa.concat_arrays([pa.array(cat(key), pa.int64()), pa.nulls(m, pa.int64())]),
-                "digest": pa.array(dig + text_of, pa.binary()),
-                "n": pa.concat_arrays([pa.array(cat(n_of), pa.int64()), pa.nulls(m, pa.int64())]),
-                "pos": pa.concat_arrays([pa.array(cat(pos), pa.int64()), pa.nulls(m, pa.int64())]),
-                "text": pa.concat_arrays([pa.nulls(len(dig), pa.string()), pa.array(texts, pa.string())]),
-            }
+            {"key": cat(key), "digest": pa.array(dig + text_of, pa.binary()), "n": cat(n_of), "s": cat(s_of), "pos": cat(pos), "text": pa.concat_arrays([pa.nulls(len(dig), pa.string()), pa.array(texts, pa.string())])}
         )
 
     return run
 
 
-def _overlap(size: int, num: int, den: int):
-    """Accumulates the overlap of each pair over all its n-grams and keeps the pairs that reach the threshold."""
+def multiply(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """One block of the product: the rows ``left`` against the rows ``right`` of the incidence [first, first + 1).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The overlaps of a row with all of the other side are accumulated over its
+    columns, then the pairs below the bound go. Of the links that remain, those
+    that join rows not yet joined are returned: fewer than there are rows.
+    """
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    cols, of = values[right[row]], row[right[row]]
+    order = np.argsort(cols, kind="stable")
+    cols, of = cols[order], of[order]
+    low = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else np.zeros(0, np.int64)
+    high, cols = np.append(low[1:], len(of)), cols[low]
+    label, out = np.arange(len(n)), []
+    for r in np.flatnonzero(left) if len(cols) else ():
+        c = values[first[r] : first[r + 1]]
+        p = np.minimum(np.searchsorted(cols, c), len(cols) - 1)
+        p = p[cols[p] == c]
+        size = high[p] - low[p]
+        ends = np.cumsum(size)
+        at = np.repeat(low[p] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        both = np.bincount(of[at], minlength=len(n))
+        linked = np.flatnonzero((den * both >= num * (n[r] + n - both)) & (both > 0) & (label != label[r]))
+        if len(linked):
+            names, one = np.unique(label[linked], return_index=True)
+            out += [(int(r), int(x)) for x in linked[one]]
+            label[np.isin(label, names)] = label[r]
+    return out
+
+
+def _product(size: int, num: int, den: int):
+    """Links of one block of the product, whose rows are made from its texts: these take less room on their way than hashes."""
+
+    def run(t: pa.Table) -> pa.Table:
         worker.begin("jaccard")
-        for b in batches:
-            for at in range(0, b.num_rows, PAIRS):
-                part = b.slice(at, PAIRS)
-                x, fx = words.shingle_sets(part.column(2).cast(pa.large_string()), size)
-                y, fy = words.shingle_sets(part.column(3).cast(pa.large_string()), size)
-                n = part.num_rows
-                row = np.concatenate([np.repeat(np.arange(n), np.diff(fx)), np.repeat(np.arange(n), np.diff(fy))])
-                v = np.concatenate([x, y])
-                order = np.lexsort((v, row))
-                v, row = v[order], row[order]
-                both = np.bincount(row[1:][(v[1:] == v[:-1]) & (row[1:] == row[:-1])], minlength=n)
-                union = np.diff(fx) + np.diff(fy) - both
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(den * both >= num * union)) for c in part.columns[:2]], names=["a", "b"])
+        parts = [words.shingle_sets(col, size) for _, col in words.slices(t["text"])]
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+        side = [t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "right")]
+        made, d = multiply(np.concatenate([v for v, _ in parts]), first, *side, num, den), t["digest"].to_pylist()
+        return pa.table({"a": pa.array([min(d[x], d[y]) for x, y in made], pa.binary()), "b": pa.array([max(d[x], d[y]) for x, y in made], pa.binary())})
 
     return run
 
@@ -250,81 +270,139 @@ def _index(num: int, den: int):
     return (num + den) * (F.col("n") - F.col("pos") + 1) >= 2 * num * F.col("n")
 
 
-def _products(todo: DataFrame, turn: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _most(num: int, den: int):
+    """The size of the largest text that may reach the threshold with this one: of both, the n-grams that others have too are at least the overlap."""
+    return F.expr(f"{num + den} * s div {num} - n")
+
+
+def _open(todo: DataFrame, num: int, den: int, scratch: Scratch, label: bool = False) -> DataFrame:
+    """The lists that may still join different components, without the entries too poor in shared n-grams for any other."""
+    for _ in range(2):
+        lists = todo.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max(_index(num, den)).alias("some"), *([F.min("label").alias("one"), F.max("label").alias("two")] if label else []))
+        lists = lists.where("lo <> hi and some" + " and one <> two" * label).select("key", "least")
+        todo = todo.join(lists, "key").where(_most(num, den) >= F.col("least")).drop("least")
+    return scratch.keep(todo, "todo")
+
+
+def _pivots(todo: DataFrame, turn: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(pivots of each list, the lists with ``last``: whether this turn completes them).
 
-    First come two pivots a list, the same for all lists of a family as far as
-    can be. Lists still open after that have all their early entries for pivots
-    if these are few, else a share that grows fourfold with each turn.
+    First come two pivots a list: the text richest in shared n-grams, which in a
+    family of near copies is the nearest to all, and one that is the same for
+    all lists of a family as far as can be. Lists still open when blocks by
+    label are done have all their early entries for pivots if these are few,
+    else a share that grows fourfold with each turn.
     """
     early = todo.where(_index(num, den))
     if turn == 0:
-        least = [F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("o"), "digest", "n", "pos", "comp")) for k in range(2)]
+        h, all_ = F.xxhash64("digest"), ("digest", "n", "s", "pos", "comp")
+        least = [F.min(F.struct(o.alias("o"), h.alias("h"), *all_)) for o in (F.lit(1) - F.col("s") / F.col("n"), F.lit(0.0))]
         both = early.groupBy("key").agg(*[a.alias(f"p{k}") for k, a in enumerate(least)])
-        one = [F.struct(*[F.col(f"p{k}.{c}") for c in ("digest", "n", "pos", "comp")]) for k in range(2)]
+        one = [F.struct(*[F.col(f"p{k}.{c}") for c in all_]) for k in range(2)]
         chosen = both.select("key", F.explode(F.array_distinct(F.array(*one))).alias("p")).select("key", "p.*")
         return scratch.keep(chosen, "pivots"), todo.withColumn("last", F.lit(False))
     counts = scratch.keep(early.groupBy("key").agg(F.count("*").alias("i"), F.min("digest").alias("least")), "early")
-    step = F.ceil(F.col("i") / F.lit(float(FEW * 4 ** (turn - 1))))
+    step = F.ceil(F.col("i") / F.lit(float(FEW * 4 ** max(0, turn - 2))))
     chosen = early.join(counts, "key").where((F.pmod(F.xxhash64("digest", F.lit(turn)), step) == 0) | (F.col("digest") == F.col("least")))
-    chosen = scratch.keep(chosen.select("key", "digest", "n", "pos", "comp"), "pivots")
+    chosen = scratch.keep(chosen.drop("i", "least"), "pivots")
     return chosen, todo.join(counts.select("key", (step == 1).alias("last")), "key")
 
 
+def _of_pivots(todo: DataFrame, chosen: DataFrame, turn: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Blocks of the product (block, digest, left, right) in which pivots meet the entries of their lists that no bound sets apart."""
+    x, y = todo.alias("x"), chosen.alias("y")
+    size = F.col("x.n") + F.col("y.n")
+    bound = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    pairs = x.join(y, "key").where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.digest") != F.col("y.digest")))
+    pairs = pairs.where((den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & ((num + den) * F.least(bound, F.col("x.s"), F.col("y.s")) >= num * size))
+    if turn:
+        pairs = pairs.where("x.label <> y.label")
+    pairs = scratch.keep(pairs.select(F.col("y.digest").alias("pivot"), "x.digest", "x.n").distinct(), "pairs")
+    mine = pairs.groupBy("pivot").agg(F.sum("n").alias("grams"))
+    slices = scratch.keep(mine.select("pivot", "grams", F.ceil(F.col("grams") / CELL_GRAMS).alias("slices")), "slices")
+    blocks = _blocks(slices.agg(F.sum("grams")).first()[0])
+    at = lambda s: F.pmod(F.xxhash64("pivot", s), F.lit(blocks)).alias("block")
+    right = pairs.join(slices, "pivot").select(at(F.pmod(F.xxhash64("digest"), F.col("slices"))), "digest", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    left = slices.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select(at(F.col("slice")), F.col("pivot").alias("digest"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    return left.unionByName(right).groupBy("block", "digest").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+
+
+def _labelled(todo: DataFrame, scratch: Scratch) -> DataFrame:
+    """``todo`` with ``label``: the least digest that two steps over the lists reach, the same for nearly all of a family."""
+    label = todo.select("digest").distinct().withColumn("label", F.col("digest"))
+    for _ in range(2):
+        least = todo.join(label, "digest").groupBy("key").agg(F.min("label").alias("label"))
+        label = scratch.keep(todo.select("key", "digest").join(least, "key").groupBy("digest").agg(F.min("label").alias("label")), "label")
+    return scratch.keep(todo.join(label, "digest"), "todo")
+
+
+def _of_labels(todo: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks of the product in which, of the texts of one label, all outside its largest component meet all of them."""
+    texts = scratch.keep(todo.select("label", "digest", "n", "comp").distinct(), "texts")
+    sizes = texts.groupBy("label", "comp").agg(F.sum("n").alias("grams"))
+    most = sizes.groupBy("label").agg(F.sum("grams").alias("all"), F.max(F.struct("grams", "comp")).alias("most"))
+    most = most.where("all > most.grams").select("label", "all", (F.col("all") - F.col("most.grams")).alias("out"), F.col("most.comp").alias("largest"))
+    most = scratch.keep(most.select("label", "largest", F.ceil(F.col("out") / CELL_GRAMS).alias("rows"), F.ceil(F.col("all") / CELL_GRAMS).alias("columns"), (F.col("out") + F.col("all")).alias("grams")), "labels")
+    blocks = _blocks(most.agg(F.sum("grams")).first()[0])
+    texts = texts.join(most, "label")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("digest"), F.col(c))
+    left = texts.where("comp <> largest").select("label", "digest", own("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = texts.select("label", "digest", every("rows").alias("i"), own("columns").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    block = F.pmod(F.xxhash64("label", "i", "j"), F.lit(blocks)).alias("block")
+    return left.unionByName(right).groupBy(block, "digest").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+
+
+def _blocks(grams: int | None) -> int:
+    return max(1, -(-(grams or 0) // CELL_GRAMS))
+
+
 def links(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Of ``docs`` (id, text): (sets of each row, links between different sets).
+    """Of ``docs`` (id, text): (sets of each row, for each set that links with another the least of its component).
 
-    The links join all that reach ``num / den`` into the same components; of a
-    group whose members a pivot already joins, the other pairs aren't expanded.
+    Of a group whose members a pivot already joins, the other pairs aren't
+    looked at.
     """
-    sets = scratch.keep(_sets(docs, size), "sets")
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_GRAMS))
-    counted = scratch.keep(_count(docs, size, blocks), "counted")
-    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    answers = scratch.keep(counted.where("block >= 0").repartition(max(parts, min(blocks, 8 * parts)), "block").groupBy("block").applyInArrow(_answer, "chunk long, block int, payload binary"), "answers")
-    heads = counted.where("block < 0").unionByName(answers).groupBy("chunk").applyInArrow(_heads(size, num, den, blocks), "key long, digest binary, n long, pos long, text string")
+    spark = docs.sparkSession
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-volume // (GRAM_BYTES * BLOCK_GRAMS)))
+    counted = scratch.keep(_chunks(docs, size, blocks), "counted")
+    sets = scratch.keep(counted.where("block is null").select("id", "n_shingles", "digest"), "sets")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    answers = scratch.keep(counted.where("block >= 0").select("chunk", "block", "payload").repartition(max(parts, min(blocks, 8 * parts)), "block").groupBy("block").applyInArrow(_answer, "chunk long, block int, payload binary"), "answers")
+    seen = counted.where("block is null and digest is not null").select("chunk", "digest").distinct()
+    several = seen.groupBy("digest").agg(F.count("*").alias("m"), F.min("chunk").alias("owner")).where("m > 1")
+    several = seen.join(several, "digest").select("chunk", F.lit(-2).alias("block"), F.col("digest").alias("payload"), "m", (F.col("chunk") == F.col("owner")).alias("own"))
+    none = [F.lit(None).cast("long").alias("m"), F.lit(None).cast("boolean").alias("own")]
+    each = counted.where("block = -1").select("chunk", "block", "payload", *none).unionByName(answers.select("*", *none)).unionByName(several)
+    chunks = counted.where("block = -1").count()
+    heads = each.repartition(max(parts, -(-chunks // 4)), "chunk").groupBy("chunk").applyInArrow(_heads(size, num, den, blocks), "key long, digest binary, n long, s long, pos long, text string")
     heads = scratch.keep(heads, "heads")
     scratch.drop(counted, answers)
-    texts = scratch.keep(heads.where("key is null").groupBy("digest").agg(F.first("text").alias("text")), "texts")
-    posts = heads.where("key is not null").select("key", "digest", "n", "pos").dropDuplicates(["key", "digest"])
-    posts = scratch.keep(posts, "posts")
-    many = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    todo = scratch.keep(posts.join(many, "key", "left_semi").withColumn("comp", F.col("digest")), "todo")
-    scratch.drop(heads, posts)
+    texts = heads.where("key is null").select("digest", "text")
+    todo = heads.where("key is not null").select("key", "digest", "n", "s", "pos", F.col("digest").alias("comp"))
+    todo = _open(todo, num, den, scratch)
     found: DataFrame | None = None
     turn = 0
     while not todo.isEmpty():
-        chosen, todo = _products(todo, turn, num, den, scratch)
-        x, y = todo.alias("x"), chosen.alias("y")
-        bound = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-        pairs = (
-            x.join(y, "key")
-            .where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.digest") != F.col("y.digest")))
-            .where((den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & ((num + den) * bound >= num * (F.col("x.n") + F.col("y.n"))))
-            .select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
-            .distinct()
-        )
-        pairs = scratch.keep(pairs, "pairs")
-        with_a = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-        with_b = with_a.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        fresh = scratch.keep(with_b.mapInArrow(_overlap(size, num, den), "a binary, b binary"), "links")
-        found = fresh if found is None else found.unionByName(fresh)
-        left = todo.where("not last").join(chosen.select("key", "digest"), ["key", "digest"], "left_anti")
-        if turn and left.isEmpty():
-            scratch.drop(chosen, pairs)
-            break
-        label = scratch.keep(components(found, scratch), "labels")
-        left = left.drop("comp").join(label, left.digest == label.node, "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("comp"))
-        left = scratch.keep(left, "left")
-        early = left.where(_index(num, den)).select("key").distinct()
-        open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        todo = scratch.keep(left.join(open_, "key", "left_semi").join(early, "key", "left_semi"), "todo")
-        scratch.drop(label, left, chosen, pairs)
+        mark = scratch.mark()
+        if turn == 1:
+            todo = _labelled(todo, scratch)
+            cells, left = _of_labels(todo, scratch), todo
+        else:
+            chosen, todo = _pivots(todo, turn, num, den, scratch)
+            cells = _of_pivots(todo, chosen, turn, num, den, scratch)
+            left = todo.where("not last").drop("last").join(chosen.select("key", "digest"), ["key", "digest"], "left_anti")
+        made = cells.join(texts, "digest").repartition(parts, "block").groupBy("block").applyInArrow(_product(size, num, den), "a binary, b binary")
+        made = made if found is None else found.unionByName(made)
+        label = scratch.keep(components(made, scratch), "roots")
+        found = label.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        left = left.drop("comp").join(label, left.digest == label.node, "left").select(*[c for c in left.columns if c != "comp"], F.coalesce("root", "digest").alias("comp"))
+        todo = _open(left, num, den, scratch, label=turn > 0)
+        scratch.sweep(mark, todo, label)
         turn += 1
-    scratch.drop(texts)
     if found is None:
-        found = sets.sparkSession.createDataFrame([], "a binary, b binary")
+        found = spark.createDataFrame([], "a binary, b binary")
     return sets, found
 
 
@@ -353,5 +431,5 @@ def ngram_jaccard(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     scratch.drop(label, classes)
     out = sets.join(named, "digest", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     none = src.where("id is null")
-    nulls = _sets(none, size).select(F.col("id").alias(id), "n_shingles", F.col("id").alias("component_id"))
+    nulls = _chunks(none, size, 1).where("block is null").select(F.col("id").alias(id), "n_shingles", F.col("id").alias("component_id"))
     return out.unionByName(nulls)

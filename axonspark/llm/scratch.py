@@ -38,6 +38,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` once and return the table as read back."""
@@ -46,8 +47,18 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept.append(out)
         return out
 
+    def mark(self) -> int:
+        """The number of tables written so far, for ``sweep``."""
+        return len(self.kept)
+
+    def sweep(self, mark: int, *but: DataFrame) -> None:
+        """Delete the tables written since ``mark``, except ``but``."""
+        self.drop(*[t for t in self.kept[mark:] if not any(t is b for b in but)])
+        self.kept[mark:] = but
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark._jvm

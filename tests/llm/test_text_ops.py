@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -361,3 +362,53 @@ def test_pack(spark, mixed, library):
             for at in range(start, start + length):
                 cover[at] += k
         assert all(cover[at] == c for at in range(n))
+
+
+def family(r, size, changed, count, words):
+    """Texts of one template with ``changed`` words each replaced."""
+    base, out = [f"b{k}" for k in range(size)], []
+    for _ in range(count):
+        x = base[:]
+        for k in r.sample(range(size), changed):
+            x[k] = r.choice(words)
+        out.append(" ".join(x))
+    return out
+
+
+@pytest.mark.parametrize("few", ["all in one label", "every label its own"])
+def test_families_just_below_the_threshold(spark, monkeypatch, few):
+    """400 texts of one template at a similarity of about 0.75, some of them linked: no quadratic pairs, in bounded time."""
+    r = random.Random(7)
+    rows = list(enumerate(family(r, 180, 3, 400, [f"v{k}" for k in range(6)])))
+    if few == "every label its own":
+        rows = rows[:90]
+        monkeypatch.setattr(jaccard, "FEW", 16)
+        monkeypatch.setattr(jaccard, "_labelled", lambda todo, scratch: scratch.keep(todo.withColumn("label", F.col("digest")), "todo"))
+    made = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": made.append((name, keep(self, df, name))) or made[-1][1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
+    began = time.time()
+    got = {x.doc_id: x.component_id for x in jaccard.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 240
+    assert got == {k: c for k, (_, c) in plain_components(rows).items()}
+    assert 1 < len(set(got.values())) < len(rows)
+    if few == "all in one label":
+        assert sum(t.count() for name, t in made if name == "pairs") <= 12 * len(rows)
+
+
+def test_product_block():
+    r = random.Random(2)
+    sets = [sorted(r.sample(range(40), r.randint(0, 25))) for _ in range(60)]
+    sets += [sets[3], sets[4][:-1], sets[5] + [99]]
+    first = np.cumsum([0, *map(len, sets)])
+    left, right = np.arange(len(sets)) % 3 > 0, np.arange(len(sets)) % 4 > 0
+    got = jaccard.multiply(np.array([x for s in sets for x in s], np.uint64), first, left, right, 60, 100)
+    links = {(a, b) for a in np.flatnonzero(left) for b in np.flatnonzero(right) if a != b and sets[a] and 100 * len({*sets[a]} & {*sets[b]}) >= 60 * len({*sets[a]} | {*sets[b]})}
+    assert {*got} <= links and len(got) < len(sets)
+    root = {k: {k} for k in range(len(sets))}
+    for a, b in got:
+        both = root[a] | root[b]
+        for k in both:
+            root[k] = both
+    assert all(b in root[a] for a, b in links)
