@@ -1,17 +1,18 @@
 """Quality classifier: importance resampling with hashed n-gram generative models.
 
-A document's log importance weight is the log ratio of a target model (labelled
-documents of good quality that aren't toxic) to a model of other text:
-
-* fluency: unigrams and bigrams against the raw text of all documents, the mean
-  log ratio a feature, so that length doesn't count for a document;
-* rejects: distinct words against the labelled rejects, the sum of those log
-  ratios alone that are beyond a fitted cut, so that a few telling words count however
-  long the text around them is.
-
-Both are measured from cut points that are fitted to left-one-out weights of the
-labelled documents; the smaller of the two is the weight. A Gumbel top-k draw
-without replacement keeps as many documents as have a positive weight.
+A document's log importance weight is the log ratio of two generative models of
+its n-grams, the sum over all of them:
+
+* the target, from labelled documents of good quality that aren't toxic;
+* raw text, from all documents, in which the labelled rejects have a fixed
+  share, so that what is rare in all text but typical of rejects is seen.
+
+N-grams are hashed words, pairs of words, and the event that a word repeats the
+one before it. The two models share the estimate of an n-gram, so that its ratio
+is 1, unless the numbers of good and of rejected documents with it differ beyond
+chance; without that, the noise of thousands of common words would outweigh a few
+telling ones in long texts. A Gumbel top-k draw without replacement then keeps
+as many documents as are likelier target than not.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
@@ -31,16 +31,18 @@ from axonspark.llm import words, worker
 from axonspark.llm.names import unused
 from axonspark.llm.scratch import Scratch
 
-#: Hashed features of the two models.
-FLUENT, TELLING = 1 << 20, 1 << 22
-#: Pseudo-features and -documents behind each count, and the log ratios from which a word may tell (one of them is fitted).
-PRIOR_FLUENT, PRIOR_TELLING, CUTS = 20.0, 0.5, (2.0, 2.5, 3.0, 3.5, 4.0)
+#: Hashed n-grams. The first stands for a word that repeats the one before it.
+BITS = 21
+#: Occurrences added to each count.
+PRIOR = 0.1
+#: The share of the labelled rejects in the raw model.
+REJECTS = 0.1
+#: The likelihood ratio statistic from which an n-gram has estimates of its own in both models.
+BEYOND_CHANCE = 12.0
 #: The models are fitted to so many labelled rows at most (those of the smallest hashes).
 LABELLED = 200_000
-#: Counts move in slices of so many features.
+#: Counts move in slices of so many n-grams.
 SLICE = 1 << 16
-#: The draw is from the weights to the power 1 / TEMPERATURE.
-TEMPERATURE = 0.05
 
 
 def pack(at: np.ndarray, n: np.ndarray) -> bytes:
@@ -54,40 +56,47 @@ def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(body[:2].T).view("<u2").ravel(), dtype=np.int64), np.ascontiguousarray(body[2:].T).view("<i8").ravel()
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice of texts: (fluency features, their rows, distinct words, their rows)."""
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of a slice of texts: (hashed n-grams, their rows)."""
     body, ends = words.raw(column)
     start, end, first = words.spans(body, ends)
     exact = words.hashes(body, start, end, fold=False)
-    rows = np.arange(len(column))
-    made, of = [], []
-    for size in (1, 2):
-        g, at = words.grams(exact, first, size)
-        made.append((g >> np.uint64(44)).astype(np.int64))
+    made, of, rows = [], [], np.arange(len(column))
+    shift = np.uint64(64 - BITS)
+    for size, source in ((1, words.hashes(body, start, end)), (2, exact)):
+        g, at = words.grams(source, first, size)
+        g = np.maximum(g >> shift, 1).astype(np.int64)
+        made.append(g)
         of.append(np.repeat(rows, np.diff(at)))
-    folded = words.hashes(body, start, end, fold=True)
-    w, at = words.row_sets(folded >> np.uint64(42), first)
-    return np.concatenate(made), np.concatenate(of), w.astype(np.int64), np.repeat(rows, np.diff(at))
+    row = of[0]
+    again = row[1:][(exact[1:] == exact[:-1]) & (row[1:] == row[:-1])]
+    return np.concatenate([*made, np.zeros(len(again), np.int64)]), np.concatenate([*of, again])
+
+
+#: What is counted: occurrences in all, good and rejected documents, and good and rejected documents with the n-gram.
+KINDS = ("all", "good", "bad", "good_documents", "bad_documents")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: feature counts of all text and of the target, document counts of the target's and the rejects' words. Column 0: text, column 1: good (null: not labelled)."""
+    """Per task: the counts of KINDS, and the numbers of labelled documents. Column 0: text, column 1: good (null: not labelled)."""
     worker.begin("quality")
-    raw, target = np.zeros(FLUENT, np.int64), np.zeros(FLUENT, np.int64)
-    good_df, bad_df = np.zeros(TELLING, np.int32), np.zeros(TELLING, np.int32)
+    size = 1 << BITS
+    made = [np.zeros(size, np.int64 if k == "all" else np.int32) for k in KINDS]
     n = np.zeros(2, np.int64)
     for b in batches:
         label = b.column(1).to_pandas()
-        known, good = label.notna().to_numpy(), label.eq(True).to_numpy()
+        good, bad = label.eq(True).to_numpy(), label.eq(False).to_numpy()
         for at, col in words.slices(b.column(0)):
-            g, gr, w, wr = features(col)
-            ok, lab = good[at : at + len(col)], known[at : at + len(col)]
-            raw += np.bincount(g, minlength=FLUENT)
-            target += np.bincount(g[ok[gr]], minlength=FLUENT)
-            np.add.at(good_df, w[ok[wr]], 1)
-            np.add.at(bad_df, w[(lab & ~ok)[wr]], 1)
-        n += [int(good.sum()), int((known & ~good).sum())]
-    for kind, a in enumerate((raw, target, good_df, bad_df, n)):
+            g, row = features(col)
+            made[0] += np.bincount(g, minlength=size)
+            for k, side in ((1, good), (2, bad)):
+                mine = side[at : at + len(col)]
+                if mine.any():
+                    x = g[mine[row]]
+                    np.add.at(made[k], x, 1)
+                    np.add.at(made[k + 2], np.unique(row[mine[row]] << BITS | x) & (size - 1), 1)
+        n += [int(good.sum()), int(bad.sum())]
+    for kind, a in enumerate((*made, n)):
         hit = np.flatnonzero(a)
         if not len(hit):
             continue
@@ -106,101 +115,52 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"kind": t["kind"][:1], "slice": t["slice"][:1], "payload": pa.array([pack(hit, a[hit])])})
 
 
+def differs(a: np.ndarray, n: float, b: np.ndarray, m: float) -> np.ndarray:
+    """The likelihood ratio statistic of ``a`` of ``n`` against ``b`` of ``m`` having one rate."""
+
+    def fit(x, size):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / size), 0.0)
+
+    if not n or not m:
+        return np.zeros(len(a))
+    return 2 * (fit(a, n) + fit(n - a, n) + fit(b, m) + fit(m - b, m) - fit(a + b, n + m) - fit(n + m - a - b, n + m))
+
+
+def ratios(counts: dict[str, np.ndarray], n_good: int, n_bad: int) -> np.ndarray:
+    """The log ratio of the target's to the raw model's rate of each n-gram; 0 where they share one estimate."""
+    total = {k: float(counts[k].sum()) for k in KINDS}
+    out = np.zeros(len(counts["all"]), np.float32)
+    for at in range(0, len(out), SLICE):  # little memory at a time
+        c = {k: counts[k][at : at + SLICE].astype(np.float64) for k in KINDS}
+        own = differs(c["good_documents"], n_good, c["bad_documents"], n_bad) >= BEYOND_CHANCE
+        rate = {k: (c[k][own] + PRIOR) / (total[k] + 2 * PRIOR) for k in KINDS[:3]}
+        out[at : at + SLICE][own] = np.log(rate["good"] / ((1 - REJECTS) * rate["all"] + REJECTS * rate["bad"]))
+    return out
+
+
 class Model:
-    """The counts, and weights from them."""
+    """The log ratios, and from which log weight on a document is likelier target than not."""
 
     def __init__(self, parts: list):
-        size = (FLUENT, FLUENT, TELLING, TELLING, 2)
-        self.a = [np.zeros(n, np.int32 if k in (2, 3) else np.int64) for k, n in enumerate(size)]
+        made = [np.zeros(1 << BITS, np.int64 if k == "all" else np.int32) for k in KINDS] + [np.zeros(2, np.int64)]
         for p in parts:
             at, n = unpack(p["payload"])
-            self.a[p["kind"]][p["slice"] * SLICE + at] = n
-        self.cuts = (-np.inf, -np.inf)
-        self.tells = len(CUTS) - 1
-        self._tables: tuple[np.ndarray, np.ndarray] | None = None
+            made[p["kind"]][p["slice"] * SLICE + at] = n
+        good, bad = made[-1].tolist()
+        self.ratio = ratios(dict(zip(KINDS, made, strict=False)), good, bad)
+        self.even = -float(np.log(good / bad)) if good and bad else 0.0
 
     def __getstate__(self) -> dict:
         """Compressed, since every executor keeps what is broadcast."""
-        c = zstandard.ZstdCompressor(level=3)
-        return {"a": [(x.dtype.str, c.compress(x.tobytes())) for x in self.a], "cuts": self.cuts, "tells": self.tells}
+        return {"ratio": zstandard.ZstdCompressor(level=3).compress(self.ratio.tobytes()), "even": self.even}
 
     def __setstate__(self, state: dict) -> None:
-        d = zstandard.ZstdDecompressor()
-        self.a = [np.frombuffer(d.decompress(x), dtype) for dtype, x in state["a"]]
-        self.cuts, self.tells, self._tables = state["cuts"], state["tells"], None
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """The log ratio of each fluency feature, and of each word that tells (else 0)."""
-        if self._tables is None:
-            tell, seen = np.zeros(TELLING, np.float32), np.flatnonzero(self.a[3])
-            ratio = self._telling(seen, 0, 0)
-            tell[seen] = np.where(ratio < -CUTS[self.tells], ratio, 0.0)
-            self._tables = self._fluency(np.arange(FLUENT), 0.0, False).astype(np.float32), tell
-        return self._tables
-
-    def _fluency(self, g: np.ndarray, own: np.ndarray | float, is_good: np.ndarray | bool) -> np.ndarray:
-        raw, target = self.a[0], self.a[1]
-        share = max(target.sum(), 1) / max(raw.sum(), 1)
-        t = target[g] - own * is_good
-        return np.log((t + PRIOR_FLUENT) / ((raw[g] - own) * share + PRIOR_FLUENT))
-
-    def _telling(self, w: np.ndarray, is_good: np.ndarray | int, is_bad: np.ndarray | int) -> np.ndarray:
-        n = self.a[4]
-        share = n / max(n.sum(), 1)
-        good = (self.a[2][w] - is_good + 2 * PRIOR_TELLING * share[0]) / (n[0] + 1)
-        bad = self.a[3][w] - is_bad
-        return np.where(bad > 0, np.log(np.maximum(good, 1e-12) / ((bad + 2 * PRIOR_TELLING * share[1]) / (n[1] + 1) + 1e-12)), 0.0)
-
-    def parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: (fluency features, their mean log ratio, sum over telling words)."""
-        g, gr, w, wr = features(column)
-        n = len(column)
-        fluent, tell = self.tables()
-        size = np.bincount(gr, minlength=n)
-        mean = np.bincount(gr, weights=fluent[g], minlength=n) / np.maximum(size, 1)
-        return size, mean, np.bincount(wr, weights=tell[w], minlength=n)
-
-    def left_out(self, column: pa.Array, good: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Per labelled text, without its own counts: (mean log ratio, sums over telling words by cut)."""
-        g, gr, w, wr = features(column)
-        n = len(column)
-        _, back, times = np.unique(gr * FLUENT + g, return_inverse=True, return_counts=True)
-        size = np.bincount(gr, minlength=n)
-        ratio = self._fluency(g, times[back].astype(float), good[gr])
-        tell = self._telling(w, good[wr], ~good[wr])
-        return np.bincount(gr, weights=ratio, minlength=n) / np.maximum(size, 1), [np.bincount(wr, weights=np.where(tell < -c, tell, 0.0), minlength=n) for c in CUTS]
-
-    def fit(self, rows: pd.DataFrame) -> None:
-        """Cut points between the labelled good and rejected documents, for fluency between those that no word tells apart.
-
-        Each has the fewest errors, a lost good document counting ten times, and
-        lies nearer to the rejects.
-        """
-        good = rows["good"].to_numpy(dtype=bool)
-        tells = [self._edge(rows[f"tell{k}"].to_numpy(), good) for k in range(len(CUTS))]
-        self.tells = min(range(len(CUTS)), key=lambda k: (tells[k][0], -k))
-        cut = tells[self.tells][1]
-        left = rows[f"tell{self.tells}"].to_numpy() >= cut
-        self._tables = None
-        self.cuts = (self._edge(rows["mean"].to_numpy()[left], good[left])[1], cut)
-
-    @staticmethod
-    def _edge(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-        """(cost, cut point) of the best cut."""
-        order = np.argsort(x, kind="stable")
-        x, good = x[order], good[order]
-        cost = np.concatenate([[0], np.cumsum(good)]) * 10 + (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
-        edge = np.r_[True, x[1:] != x[:-1], True] if len(x) else np.array([True])
-        cost = np.where(edge, cost, np.inf)
-        k = int(np.argmin(cost))
-        return float(cost[k]), -np.inf if k == 0 else x[k - 1] + (x[k] - x[k - 1]) / 4 if k < len(x) else np.inf
+        self.ratio, self.even = np.frombuffer(zstandard.ZstdDecompressor().decompress(state["ratio"]), np.float32), state["even"]
 
     def weights(self, column: pa.Array) -> np.ndarray:
-        """Log importance weights; at least 0 on the side of the target."""
-        size, mean, tell = self.parts(column)
-        big = 1e6
-        fluent = np.clip(np.where(size > 0, size, 1) * (mean - self.cuts[0]), -big, big)
-        return np.minimum(np.where(size > 0, fluent, 0.0), np.clip(tell - self.cuts[1], -big, big))
+        """The log importance weight of each text."""
+        g, row = features(column)
+        return np.bincount(row, weights=self.ratio[g], minlength=len(column))
 
 
 def gumbel(column: pa.Array, ids: np.ndarray, seed: int) -> np.ndarray:
@@ -230,18 +190,21 @@ def kth_largest(values: DataFrame, k: int) -> float:
     return lo
 
 
-def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 5) -> DataFrame:
-    """Every row of ``docs`` with log_weight and keep.
+def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 5, carry: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` (its columns ``carry``, or all) with log_weight and keep.
 
     ``labels`` has (id, quality, toxic); good is quality 1 and toxic 0, a null
-    in either leaves the row out, and of repeated ids one is used. Null and
-    empty texts have no features and weight as the cut points say for none;
+    in either leaves the row out, and a repeated id is good if all its rows are.
+    Null and empty texts have no n-grams and the log weight 0;
     null ids draw like id 0; rows with the same id and text share their fate.
-    Without labels all rows are kept; an empty table gives an empty result. A
-    column of ``docs`` named log_weight or keep is replaced.
+    Without good or without rejected labels all weights are 0 and all rows are
+    kept; an empty table gives an empty result. A column of ``docs`` named
+    log_weight or keep is replaced.
 
     Documents aren't shuffled: the bounded sample of labels is broadcast, each
-    task adds up its counts, and the models, of a fixed size, go to all.
+    task adds up its counts, and the log ratios, of a fixed size, go to all.
+    Each text is scored once, and the rows are written with their weights;
+    the draw then needs counts of the written weights alone.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -251,46 +214,22 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")
     marked = docs.select(body, F.col(f"`{id}`").alias("__id")).join(F.broadcast(good), "__id", "left").select("__text", "__good")
     kind = "kind int, slice int, payload binary"
-    counted = marked.mapInArrow(_count, kind)
-    model = Model(counted.groupBy("kind", "slice").applyInArrow(_add, kind).collect())
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Model(marked.mapInArrow(_count, kind).groupBy("kind", "slice").applyInArrow(_add, kind).collect()))
+    keep = [c for c in carry or docs.columns if c not in ("log_weight", "keep")]
+    key = unused(docs.columns, "draw_key")
 
-    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("quality")
         for b in batches:
-            label = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            ids = pa.compute.fill_null(b.column(1).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+            w, drawn = [np.zeros(0)], [np.zeros(0)]
             for at, col in words.slices(b.column(0)):
-                here = label[at : at + len(col)]
-                mean, tells = shared.value.left_out(col, here)
-                yield pa.RecordBatch.from_arrays([pa.array(mean), *map(pa.array, tells), pa.array(here)], names=names)
-
-    names = ["mean", *(f"tell{k}" for k in range(len(CUTS))), "good"]
-    kind = ", ".join(f"{c} {'boolean' if c == 'good' else 'double'}" for c in names)
-    del counted
-    rows = marked.where("__good is not null").mapInArrow(left_out, kind).toPandas()
-    model.fit(rows)
-    shared.unpersist()
-    fitted = spark.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("log_weight", "keep")]
-    rank = unused(docs.columns, "draw_key")
-    made = [T.StructField("log_weight", T.DoubleType()), T.StructField(rank, T.DoubleType())]
-
-    def scorer(names: list[str]):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            worker.begin("quality")
-            for b in batches:
-                ids = pa.compute.fill_null(b.column(1).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
-                w, key = [np.zeros(0)], [np.zeros(0)]
-                for at, col in words.slices(b.column(0)):
-                    w.append(fitted.value.weights(col))
-                    key.append(w[-1] / TEMPERATURE + gumbel(col, ids[at : at + len(col)], seed))
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(np.concatenate(w)), pa.array(np.concatenate(key))], names=names)
-
-        return score
+                w.append(shared.value.weights(col))
+                drawn.append(w[-1] + gumbel(col, ids[at : at + len(col)], seed))
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(np.concatenate(w)), pa.array(np.concatenate(drawn))], names=[*keep, "log_weight", key])
 
     whole = docs.select(body.alias(unused(docs.columns, "body")), F.col(f"`{id}`").alias(unused(docs.columns, "row_id")), *[F.col(f"`{c}`") for c in keep])
-    scored = whole.mapInArrow(scorer([*keep, "log_weight", rank]), T.StructType([docs.schema[c] for c in keep] + made))
-    keys = scratch.keep(docs.select(body, F.col(f"`{id}`").alias("__id")).mapInArrow(scorer(["log_weight", "key"]), "log_weight double, key double"), "keys")
-    k = keys.where("log_weight >= 0").count()
-    least = kth_largest(keys, k) if k else float("inf")
-    return scored.withColumn("keep", F.col(rank) >= least).drop(rank)
+    scored = scratch.keep(whole.mapInArrow(score, T.StructType([*(docs.schema[c] for c in keep), T.StructField("log_weight", T.DoubleType()), T.StructField(key, T.DoubleType())])), "scored")
+    k = scored.where(F.col("log_weight") >= shared.value.even).count()
+    least = kth_largest(scored.select(F.col(f"`{key}`").alias("key")), k) if k else float("inf")
+    return scored.withColumn("keep", F.col(f"`{key}`") >= least).drop(key)

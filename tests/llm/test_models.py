@@ -1,5 +1,6 @@
 """Mixing, vector searches, page extraction, the classifier and the pipeline."""
 
+import math
 import pickle
 import random
 import re
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from llm_helpers import WORD, shingles
+from llm_helpers import WORD, fold, shingles
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -260,26 +261,68 @@ def test_classify(spark):
     assert {r.doc_id: r.keep for r in quality.classify(docs.repartition(5), labels).collect()} == {r.doc_id: r.keep for r in rows}
 
 
-def test_left_out_weights_are_those_without_the_document():
+def plain_ngrams(text):
+    """Words (A-Z folded), pairs of words as they are, and repeats, by themselves and not as hashes."""
+    w = WORD.findall(text or "")
+    pairs = [(x, y) for x, y in zip(w, w[1:], strict=False)] if len(w) > 1 else [(x, None) for x in w]
+    return [("word", fold(x)) for x in w] + [("pair", p) for p in pairs] + [("again", None) for x, y in zip(w, w[1:], strict=False) if x == y]
+
+
+def plain_weights(texts, good):
+    """Log weights by the formulas, with plain counts; ``good`` by place, None where not labelled."""
+    grams = [Counter(plain_ngrams(t)) for t in texts]
+    total = {k: sum((c for c, g in zip(grams, good, strict=True) if k is None or g is k), Counter()) for k in (None, True, False)}
+    inside = {k: Counter(x for c, g in zip(grams, good, strict=True) if g is k for x in c) for k in (True, False)}
+    n = {k: sum(g is k for g in good) for k in (True, False)}
+
+    def part(x, size):
+        return x * math.log(x / size) if x else 0.0
+
+    def ratio(x):
+        a, b = inside[True][x], inside[False][x]
+        g = 2 * sum(part(p, q) for p, q in ((a, n[True]), (n[True] - a, n[True]), (b, n[False]), (n[False] - b, n[False])))
+        g -= 2 * (part(a + b, n[True] + n[False]) + part(n[True] + n[False] - a - b, n[True] + n[False]))
+        if g < quality.BEYOND_CHANCE:
+            return 0.0
+        rate = {k: (t[x] + quality.PRIOR) / (sum(t.values()) + 2 * quality.PRIOR) for k, t in total.items()}
+        return math.log(rate[True] / ((1 - quality.REJECTS) * rate[None] + quality.REJECTS * rate[False]))
+
+    return [sum(v * ratio(x) for x, v in c.items()) for c in grams], -math.log(n[True] / n[False])
+
+
+def test_weights_and_draw_by_brute_force(spark):
+    import pyarrow as pa
+
+    docs, labels, _, _ = made_corpus(spark, 400)
+    odd = [(9000, None, "c"), (9001, "", "c"), (9002, "word1", "c"), (9003, "vile " * 3000, "c"), (9004, "word1", "c"), (9004, "word1", "c"), (None, "word2 awful", "c")]
+    rows = [tuple(r) for r in docs.collect()] + odd
+    known = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in labels.where("doc_id is not null and quality is not null").collect()}
+    docs = spark.createDataFrame(rows, docs.schema).repartition(3)
+    want, even = plain_weights([t for _, t, _ in rows], [known.get(i) for i, _, _ in rows])
+    noise = [float(quality.gumbel(pa.array([t or ""], pa.large_string()), np.array([i or 0]), 5)[0]) for i, t, _ in rows]
+    key = [w + g for w, g in zip(want, noise, strict=True)]
+    k = sum(w >= even for w in want)
+    least = sorted(key, reverse=True)[k - 1]
+    got = quality.classify(docs, labels, carry=["doc_id", "text"]).collect()
+    assert len(got) == len(rows) and 0 < k < len(rows)
+    expected = {(i, t): (w, x >= least) for (i, t, _), w, x in zip(rows, want, key, strict=True)}
+    for r in got:
+        w, keep = expected[r.doc_id, r.text]
+        assert abs(r.log_weight - w) < 1e-3 * max(1, abs(w)) and r.keep == keep
+    assert abs(expected[9003, "vile " * 3000][0]) > 1000 and expected[9000, None][0] == 0
+
+
+def test_gumbel_noise():
     import pyarrow as pa
 
-    r = random.Random(2)
-    texts = [" ".join(r.choice("abcdefgh") for _ in range(30)) for _ in range(12)]
-    good = np.array([k % 3 > 0 for k in range(12)])
-
-    def model(rows):
-        out = []
-        for b in quality._count(iter([pa.RecordBatch.from_arrays([pa.array([texts[k] for k in rows]), pa.array([bool(good[k]) for k in rows])], names=["t", "g"])])):
-            out += b.to_pylist()
-        return quality.Model(out)
-
-    full, without = model(range(12)), model([k for k in range(12) if k != 1])
-    col = pa.array([texts[1]], pa.large_string())
-    mean, _ = full.left_out(col, np.array([True]))
-    want = without.parts(col)[1]
-    assert np.allclose(mean, want, atol=0.02) and not np.allclose(mean, full.parts(col)[1], atol=1e-6)
-    again = pickle.loads(pickle.dumps(full))
-    assert all((a == b).all() for a, b in zip(again.a, full.a, strict=True)) and np.array_equal(again.weights(col), full.weights(col))
+    x = quality.gumbel(pa.array([f"text {k}" for k in range(20000)], pa.large_string()), np.arange(20000), 3)
+    assert abs(x.mean() - 0.5772) < 0.03 and abs(x.var() - np.pi**2 / 6) < 0.06
+
+
+def test_model_travels():
+    model = quality.Model([{"kind": 5, "slice": 0, "payload": quality.pack(np.array([0, 1]), np.array([30, 10]))}])
+    again = pickle.loads(pickle.dumps(model))
+    assert np.array_equal(again.ratio, model.ratio) and again.even == model.even == -math.log(3)
 
 
 def test_kth_largest(spark):
