@@ -21,7 +21,7 @@ from axonspark.llm.scratch import whole_texts
 
 #: The base kinds as the digest lists them, then those that only the method finds.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 
 Span = tuple[int, int]
 
@@ -109,6 +109,13 @@ _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])")
 
 
+#: Keys, tokens and passwords: long runs of letters and digits, and what is assigned to a telling name.
+_KEY = re.compile(r"(?<![0-9A-Za-z_+/=.-])(?=[0-9A-Za-z_+/=-]*[0-9])(?=[0-9A-Za-z_+/=-]*[A-Za-z])[0-9A-Za-z_+/-]{16,}+=*+(?![0-9A-Za-z_])")
+_ASSIGNED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key)[\"']?[ ]?(?:=|:=|:|=>)[ ]?[\"']?([^\s\"',;]{6,}+)", re.I)
+_ASSIGNED_CUES = ("pass", "pwd", "secret", "token", "key")
+_PREFIX = re.compile(r"(?:AKIA|ASIA|sk[-_]|pk[-_]|rk[-_]|gh[pousr]_|glpat-|xox[abprs]-|AIza|ya29\.|eyJ)")
+
+
 _CUES = (" dot ", "[dot", "(dot", "{dot", "<dot", "[ dot", "( dot", "[at", "(at", "{at", "<at", "[ at", "( at")
 
 
@@ -121,7 +128,10 @@ def candidates(text: str) -> list[tuple[int, str, int]]:
     if _DIGIT.search(text):
         for kind, p in (("phone", _LOCAL_PHONE), ("ip", _IPV6), ("card", _GROUPS), ("iban", _IBAN), ("ssn", _SSN)):
             found += [(m.start(), kind, m.end()) for m in p.finditer(text)]
-    return found
+        found += [(m.start(), "secret", m.end()) for m in _KEY.finditer(text)]
+    if any(x in folded for x in _ASSIGNED_CUES):
+        found += [(m.start(1), "secret", m.end(1)) for m in _ASSIGNED.finditer(text)]
+    return list(dict.fromkeys(found))
 
 
 def mod97(text: str) -> bool:
@@ -136,8 +146,10 @@ _WORDS = {
     "ip": frozenset("ip ipv6 host server address from client login".split()),
     "iban": frozenset("iban account bank transfer konto compte cuenta".split()),
     "ssn": frozenset("ssn social security sin taxpayer".split()),
-    "other": frozenset("order invoice version isbn part model serial page ref article build ticket section release date since lot sku case no number nr fig table chapter".split()),
+    "secret": frozenset("token key apikey api_key secret password passwd pwd passphrase credential credentials bearer auth authorization access private".split()),
+    "other": frozenset("order invoice version isbn part model serial page ref article build ticket section release date since lot sku case no number nr fig table chapter commit sha sha1 sha256 md5 checksum hash digest uuid revision file url path".split()),
 }
+_SET = re.compile(r"(?:=|:|>)[ ]?[\"']?$")
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)?")
 
 
@@ -157,6 +169,8 @@ def features(text: str, start: int, kind: str, end: int) -> list[float]:
         float(bool(near & _WORDS[kind])), float(bool(near & _WORDS["other"])), float(any(w in _WORDS[kind] for w in before[-1:])),
         float(groups[:1] == [4] and d[:2] in ("19", "20")), float(body.lower().count("dot")), float(kind == "email" and ("at]" in body.lower() or "at)" in body.lower() or "at}" in body.lower() or "at>" in body.lower())),
         float(groups[-3:] == [3, 3, 4]), float(d[:3] in ("000", "666") or d[:1] == "9"), float(body.count("::")),
+        float(kind == "secret" and _PREFIX.match(body) is not None), float(kind == "secret" and text[max(0, start - 1) : start] in "\"'"), float(kind == "secret" and _SET.search(text[max(0, start - 6) : start]) is not None),
+        float(len(set(body)) if kind == "secret" else 0), float(len(d) / len(body) if kind == "secret" else 0), float(kind == "secret" and body.lower() != body and body.upper() != body), float(kind == "secret" and body.count("/") + body.count("-") + body.count("_")),
         float(re.search(r"(com|org|net|edu|gov|io|de|fr|es|uk|eu)$", body.lower()) is not None), float(text[max(0, start - 1) : start] in "$€£#"),
     ]
 
@@ -246,6 +260,18 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, str, int, int]]:
         ("iban", lambda: iban(True), lambda: iban(False)),
         ("ssn", lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", lambda: f"{r.choice(['000', '666', '9' + num(2)])}-{num(2)}-{num(4)}"),
     ]
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    mixed = lambda k, of=signs: "".join(r.choice(of) for _ in range(k - 2)) + r.choice(signs[:52]) + r.choice("0123456789")
+    hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k - 2)) + "a7"
+
+    def secret() -> str:
+        return r.choice([lambda: hexed(r.choice([32, 40, 64])), lambda: mixed(r.randint(16, 64)), lambda: r.choice(["AKIA", "sk_live_", "ghp_", "xoxb-", "AIza"]) + mixed(r.randint(16, 36))])()
+
+    def no_secret() -> str:
+        path = lambda: "/".join(name() for _ in range(r.randint(3, 5))) + num(2)
+        return r.choice([path, lambda: "-".join(name() for _ in range(4)) + "-" + num(4), lambda: f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", lambda: "_".join(name() for _ in range(3)) + num(2), lambda: num(16) + r.choice("abk")])()
+
+    makers.append(("secret", secret, no_secret))
     out = []
     for _ in range(n):
         kind, good, bad = r.choice(makers)
@@ -256,9 +282,10 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, str, int, int]]:
         elif case < 0.75:
             body, cue, y = bad(), word() if r.random() < 0.6 else r.choice(other), 0
         else:
-            body, cue, y = good() if kind in ("phone", "ssn") else bad(), r.choice(other), 0
-        left = " ".join(word() for _ in range(r.randint(2, 6))) + f" {cue}{r.choice([':', '', '', ' is'])} "
-        text = left + body + " " + " ".join(word() for _ in range(3))
+            body, cue, y = good() if kind in ("phone", "ssn", "secret") else bad(), r.choice(other), 0
+        tie, close = r.choice([(": ", ""), (" ", ""), (" ", ""), (" is ", "")] if kind != "secret" else [(": ", ""), (' = "', '"'), ("=", ""), (" is ", ""), (": '", "'"), (" ", "")])
+        left = " ".join(word() for _ in range(r.randint(2, 6))) + f" {cue}{tie}"
+        text = left + body + close + " " + " ".join(word() for _ in range(3))
         for s, k, e in candidates(text):
             if s < len(left) + len(body) and e > len(left):
                 out.append((text, s, k, e, int(y and k == kind)))
@@ -266,7 +293,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, str, int, int]]:
 
 
 @lru_cache(maxsize=1)
-def model(n: int = 3000, precision: float = 0.98) -> tuple[Boosted, dict[str, float]]:
+def model(n: int = 4000, precision: float = 0.98) -> tuple[Boosted, dict[str, float]]:
     """The trees, and for each kind the lowest threshold that keeps ``precision`` on held-out examples (over 1: the kind adds none)."""
     rows = labelled(n, 1)
     trees = Boosted().fit(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
@@ -341,8 +368,8 @@ def find(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
 
     Null and empty texts have no spans; repeated rows each keep theirs; columns
     named like the added ones are replaced; an empty table gives an empty
-    result. Narrow: no shuffle, one text at a time. The trees are trained once
-    in each worker on the same made-up examples.
+    result. Narrow: no shuffle, one text at a time. The trees are trained on the
+    driver, on made-up examples, and go with the tasks.
     """
     whole_texts(docs.sparkSession)
     made = [*(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
@@ -352,9 +379,10 @@ def find(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
     tail = [T.StructField(body, T.StringType())] if clean else []
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(body))
 
+    chosen = model()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("pii")
-        chosen = model()
         for b in batches:
             rows = []
             for x in b.column(b.num_columns - 1):

@@ -262,10 +262,10 @@ def test_classify(spark):
 
 
 def plain_ngrams(text):
-    """Words (A-Z folded), pairs of words as they are, and repeats, by themselves and not as hashes."""
+    """Words (A-Z folded), pairs of words as they are, and third times in a row, by themselves and not as hashes."""
     w = WORD.findall(text or "")
     pairs = [(x, y) for x, y in zip(w, w[1:], strict=False)] if len(w) > 1 else [(x, None) for x in w]
-    return [("word", fold(x)) for x in w] + [("pair", p) for p in pairs] + [("again", None) for x, y in zip(w, w[1:], strict=False) if x == y]
+    return [("word", fold(x)) for x in w] + [("pair", p) for p in pairs] + [("again", None) for x, y, z in zip(w, w[1:], w[2:], strict=False) if x == y == z]
 
 
 def plain_weights(texts, good):

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from llm_helpers import WORD, fold, shingles
+from pii_sentences import SENTENCES
 from pyspark.sql import functions as F
 
 from axonspark.llm import jaccard, packing, pii, spans, tokens, words
@@ -412,3 +413,28 @@ def test_product_block():
         for k in both:
             root[k] = both
     assert all(b in root[a] for a, b in links)
+
+
+def marked(sentence):
+    """(text, spans) of a sentence whose spans stand in [[kind|text]]."""
+    text, found = "", []
+    for part in re.split(r"(\[\[\w+\|.*?\]\])", sentence):
+        m = re.fullmatch(r"\[\[(\w+)\|(.*)\]\]", part)
+        if m:
+            found.append((len(text), m[1], len(text) + len(m[2])))
+        text += m[2] if m else part
+    return text, found
+
+
+def test_added_spans_on_sentences_labelled_by_hand():
+    same = lambda a, b: a[1] == b[1] and a[0] < b[2] and b[0] < a[2]
+    asked = made = right = caught = 0
+    for s in SENTENCES:
+        text, want = marked(s)
+        sure, every = pii.spans(text, pii.model())
+        want = [w for w in want if not any(w[0] < b[2] and b[0] < w[2] for b in sure)]
+        more = [x for x in every if x not in sure]
+        asked, made = asked + len(want), made + len(more)
+        caught += sum(any(same(w, g) for g in more) for w in want)
+        right += sum(any(same(g, w) for w in want) for g in more)
+    assert asked >= 20 and caught >= 0.9 * asked and right >= 0.9 * made
