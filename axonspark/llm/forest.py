@@ -14,10 +14,10 @@ from axonspark.llm.scratch import Scratch
 
 #: Vectors of one forest; every block of the table has its own, and every row is in one.
 BLOCK = 8192
-TREES = 96
+TREES = 64
 BITS = 32
 #: A query ascends until it has met this share of its block. Vectors without clusters, as here, need most of it for a high recall.
-SHARE = 0.6
+SHARE = 0.5
 SEED = 11
 
 
@@ -42,34 +42,46 @@ class Forest:
         return out
 
     def candidates(self, q: np.ndarray, want: int) -> Iterator[np.ndarray]:
-        """Each query's rows: from the longest common prefixes of all trees upward, in step, until ``want`` of them are met."""
+        """Each query's rows. In every tree it descends to its longest matching prefix; then all trees ascend together.
+
+        At a depth a query meets the rows that share so many first bits with it
+        in any tree: one range of each sorted array. All trees always stand at
+        the same depth, and go one bit up until ``want`` different rows are met.
+        """
         keys = self.hash(q)
         lo = np.zeros((self.bits + 1, len(q), self.trees), np.int32)
         hi = np.zeros_like(lo)
         full = (1 << self.bits) - 1
-        for depth in range(self.bits + 1):
+        deepest = self.longest(keys)
+        for depth in range(int(deepest.max(initial=0)) + 1):
             mask = np.uint64(full >> (self.bits - depth) << (self.bits - depth))
             low = keys & mask
             high = low | (np.uint64(full) ^ mask)
             for t in range(self.trees):
                 lo[depth, :, t] = np.searchsorted(self.keys[:, t], low[:, t], "left")
                 hi[depth, :, t] = np.searchsorted(self.keys[:, t], high[:, t], "right")
-        met = (hi - lo).sum(2)
-        enough = met >= want
-        deepest = np.where(enough.any(0), self.bits - np.argmax(enough[::-1], axis=0), 0)
         for r in range(len(q)):
             seen = np.zeros(len(self.m), bool)
-            depth = min(int(deepest[r]) + 1, self.bits)
-            for t in range(self.trees):
-                seen[self.order[lo[depth, r, t] : hi[depth, r, t], t]] = True
-            while depth > 0 and np.count_nonzero(seen) < want:
-                depth -= 1
-                for t in range(self.trees):
-                    seen[self.order[lo[depth, r, t] : hi[depth, r, t], t]] = True
-                    if t % 4 == 3 and np.count_nonzero(seen) >= want:
+            depth = int(deepest[r].max(initial=0))
+            while True:
+                if (hi[depth, r] - lo[depth, r]).sum() >= want or not depth:
+                    for t in range(self.trees):
+                        seen[self.order[lo[depth, r, t] : hi[depth, r, t], t]] = True
+                    if not depth or np.count_nonzero(seen) >= want:
                         break
+                depth -= 1
             yield np.flatnonzero(seen)
 
+    def longest(self, keys: np.ndarray) -> np.ndarray:
+        """By query and tree the length of the longest prefix that any row shares: one of the two neighbours in the order has it."""
+        out = np.zeros(keys.shape, np.int64)
+        for t in range(self.trees):
+            at = np.searchsorted(self.keys[:, t], keys[:, t])
+            for place in (at - 1, at):
+                other = self.keys[np.clip(place, 0, len(self.keys) - 1), t] ^ keys[:, t]
+                out[:, t] = np.maximum(out[:, t], self.bits - np.ceil(np.log2(other.astype(np.float64) + 1)).astype(np.int64))
+        return out
+
 
 def _search(k: int, trees: int, bits: int, share: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,8 @@ BLOCKS = frozenset("address article aside blockquote center details dialog dd di
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = {"li": frozenset(["ul", "ol", "menu", "dir"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
 _TAG = re.compile(r"([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop|aria-label|type)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+#: One attribute with its value, whatever its name: so that no name is ever looked for inside the value of another.
+_ATTR = re.compile(r"([^\s\"'=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?|\"[^\"]*+\"|'[^']*+'")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -154,10 +155,10 @@ def described(tag: str, attrs: str) -> tuple[tuple[str, ...], str, bool]:
     out, words, hidden = [f"tag:{tag}"], set(), False
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role", "itemprop", "aria-label"):
                 words |= {w.lower() for w in _WORD.findall(value)}
-            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 hidden = True
     for w in sorted(words):
         for group, stems in GROUPS.items():

@@ -7,8 +7,8 @@ its n-grams, the sum over all of them:
 * raw text, from all documents, in which the labelled rejects have a fixed
   share, so that what is rare in all text but typical of rejects is seen.
 
-N-grams are hashed words, pairs of words, and the event that a word repeats the
-one before it. The two models share the estimate of an n-gram, so that its ratio
+N-grams are hashed words, pairs of words, and the event that a word stands there
+for the third time in a row. The two models share the estimate of an n-gram, so that its ratio
 is 1, unless the numbers of good and of rejected documents with it differ beyond
 chance; without that, the noise of thousands of common words would outweigh a few
 telling ones in long texts. A Gumbel top-k draw without replacement then keeps
@@ -31,10 +31,10 @@ from axonspark.llm import words, worker
 from axonspark.llm.names import unused
 from axonspark.llm.scratch import Scratch
 
-#: Hashed n-grams. The first stands for a word that repeats the one before it.
+#: Hashed n-grams. The first stands for any word for the third time in a row.
 BITS = 21
 #: Occurrences added to each count.
-PRIOR = 0.1
+PRIOR = 0.03
 #: The share of the labelled rejects in the raw model.
 REJECTS = 0.1
 #: The likelihood ratio statistic from which an n-gram has estimates of its own in both models.
@@ -69,7 +69,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         made.append(g)
         of.append(np.repeat(rows, np.diff(at)))
     row = of[0]
-    again = row[1:][(exact[1:] == exact[:-1]) & (row[1:] == row[:-1])]
+    again = row[2:][(exact[2:] == exact[1:-1]) & (exact[1:-1] == exact[:-2]) & (row[2:] == row[:-2])]
     return np.concatenate([*made, np.zeros(len(again), np.int64)]), np.concatenate([*of, again])
 
 

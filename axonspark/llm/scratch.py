@@ -14,12 +14,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="axonspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="axonspark-"))
+        found = _local[0]
     return found.rstrip("/")
 
 

@@ -268,7 +268,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
 
     A chunk's runs move as one compressed row a block, each run at most twice
     however often the chunk repeats it, so that a line that all documents share
-    costs two numbers a chunk. The chunks then get back only what repeats.
+    costs two numbers a chunk. The chunks then get back only what repeats, four of
+    them, about 32 MB of text, to a task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "spans")
@@ -282,5 +283,6 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
     answers = spread.where("block >= 0").repartition(max(parts, min(blocks, 8 * parts)), "block").groupBy("block").applyInArrow(_answer, "chunk long, block int, payload binary")
     both = spread.where("block < 0").unionByName(answers)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(body, T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = both.groupBy("chunk").applyInArrow(_apply(least, src.columns), schema)
+    chunks = spread.where("block < 0").count()
+    out = both.repartition(max(parts, -(-chunks // 4)), "chunk").groupBy("chunk").applyInArrow(_apply(least, src.columns), schema)
     return out.select(*[F.col(body).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c in keep or c == text], "n_sentences", "n_removed")

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from llm_helpers import WORD, fold, shingles
+from pages_by_hand import PAGES
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -49,6 +50,7 @@ def test_fit_few_long_documents():
     assert taken([900000, 800000, 10], 820000) == 800010
     assert taken([900000, 800000, 300001, 290000, 10], 310000) == 300011
     assert taken([500000, 410000, 405000], 820000) == 815000
+    assert taken([480000, 490000], 500000) == 490000 and taken([500000, 450000], 500000) == 500000
     r = random.Random(8)
     for _ in range(40):
         lengths = [r.randint(1, 1_000_000) for _ in range(r.randint(1, 9))]
@@ -155,6 +157,19 @@ def test_nearest(vectors):
     assert hits >= 0.9 * sum(len(v) for v in want.values())
 
 
+@pytest.mark.parametrize("size", [64 << 20, 0])
+def test_several_query_blocks(vectors, monkeypatch, size):
+    """Blocks of few queries, broadcast or joined by (block, slice), over blocks of few vectors: the same rows."""
+    q = vectors.where("vec_id % 9 = 0")
+    want = {tuple(r) for r in forest.nearest(q, vectors, 10, block=64).collect()}
+    exact = {tuple(r) for r in topk.exact_top_k(q, vectors).collect()}
+    monkeypatch.setattr(forest.V, "QUERIES", 7)
+    monkeypatch.setattr(forest.V, "BROADCAST_BYTES", size)
+    assert {tuple(r) for r in topk.exact_top_k(q, vectors).collect()} == exact
+    found = {tuple(r) for r in forest.nearest(q, vectors, 10, block=64).collect()}
+    assert len(found & want) >= 0.8 * len(want) and len({(r[0], r[1]) for r in found}) == len(found)
+
+
 def test_forest_recall_on_clusters():
     r = np.random.default_rng(1)
     m = (r.standard_normal((40, 32))[r.integers(0, 40, 4000)] + 0.3 * r.standard_normal((4000, 32)))
@@ -227,6 +242,24 @@ def test_main_text(spark):
     assert [(r.page_id, r.text, r.n_chars) for r in html.main_text(df).orderBy("page_id").collect()] == [(1, "Some longer words here.", 23), (2, "", 0), (2, "", 0)]
 
 
+def test_hidden_is_an_attribute_and_not_a_word():
+    m = html.model()
+    shown = [' href="/hidden-gems"', ' title="hidden"', ' data-hidden="false"', ' data-state="hidden"', " data-x='hidden'", ' class="x hidden"', " href=hidden", ' title = "a hidden b"', ' data-a="b hidden=1 c"', ' alt="display:none"']
+    gone = [" hidden", ' hidden=""', ' aria-hidden="true"', " aria-hidden=true", ' style="color:red; display: none"', ' style="visibility:hidden"', ' title="x" hidden', " HIDDEN"]
+    page = "<article><p>A first plain paragraph with some words in it.</p><p{}>The second one says a little more than the first.</p></article>"
+    both = "A first plain paragraph with some words in it. The second one says a little more than the first."
+    assert [a for a in shown if html.extract(page.format(a), m) != both] == []
+    assert [a for a in gone if html.extract(page.format(a), m) != both[:46]] == []
+    link = '<article><p>See <a href="/hidden-gems">our guide to lesser known places</a> for more of the same.</p></article>'
+    assert html.extract(link, m) == "See our guide to lesser known places for more of the same."
+
+
+def test_pages_by_hand():
+    """Pages unlike the generator's: all words of the main text, and no others."""
+    m = html.model()
+    assert [k for k, (page, text) in enumerate(PAGES) if html.extract(page, m) != text] == []
+
+
 # -- classifier ------------------------------------------------------------------------------------------------------
 
 

@@ -214,6 +214,14 @@ def test_a_passage_is_caught_wherever_it_stands(spark):
     assert all(out[k].n_removed >= 4 and len(out[k].text) < len(docs[k][1]) / 1.5 for k in range(1, 5))
 
 
+def test_nothing_goes_from_unique_text_at_volume(spark):
+    """About 1.6 million different runs in 60 MB: a key of few bits would take some of them for repeats."""
+    word = lambda i: F.concat(F.lower(F.hex(F.col("id") * 600 + i)), F.when(i % 6 == 5, ".").otherwise(""))
+    docs = spark.range(0, 14000, 1, 8).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(599)), word), " ").alias("text"))
+    out = spans.remove_repeats(docs).agg(F.sum("n_sentences"), F.sum("n_removed"), F.count("*")).first()
+    assert tuple(out) == (1_400_000, 0, 14000)
+
+
 def test_remove_repeats_mixed(mixed):
     out = spans.remove_repeats(mixed)
     assert out.columns == [*mixed.columns, "n_sentences", "n_removed"] and out.count() == mixed.count()
