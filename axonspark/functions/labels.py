@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The regions, the classes with the upper-case LIKE patterns that mark them (first match wins), and the patterns of glomeruli and sides.
+# The regions, the classes with the patterns that mark them in upper-cased names (first match wins), and the patterns of glomeruli, hemispheres and sides.
 REGIONS = ("AL", "LH", "MB")
-CLASSES = (
-    ("ORN", ("%ORN%",)),
-    ("PN", ("%PN%", "%PROJECTION NEURON%")),
-    ("LN", ("%LN%", "%LOCAL%")),
-    ("KC", ("KC%", "%KENYON%")),
-    ("MBON", ("%MBON%",)),
-    ("APL", ("%APL%",)),
-    ("DAN", ("%DAN%", "%PAM%", "%PPL%")),
-)
+CLASSES = (("ORN", "ORN"), ("PN", "PN|PROJECTION NEURON"), ("LN", "LN|LOCAL"), ("KC", "^KC|KENYON"), ("MBON", "MBON"), ("APL", "APL"), ("DAN", "DAN|PAM|PPL"))
 GLOMERULUS = (("ORN_([^_;, ]+)", 1), ("(^|[ ;,])([^_;, ]+)_ORN", 2), ("(^|[ ;,])([^_;, ]+)_[lvm]?PN", 2), ("PN_([^_;, ]+)", 1))
-HEMISPHERE = ("%({0})%", "%_{0}", "%_{0}_%")
+HEMISPHERE = r"(?s)\({0}\)|.{0}\z|.{0}."
 SIDE = ("(^|[ ;,])[^ ;,]*(_|-){0}($|[ ;,])", "(^|[ ;,]){0}($|[ ;,])")
 
 
@@ -31,23 +23,15 @@ def region(roi: Column) -> Column:
 
 
 def hemisphere(roi: Column) -> Column:
-    """R before L. The underscores of the patterns are wildcards, so any R or L that ends a name, or is inside one, counts."""
-    up, out = F.upper(roi), F
-    for side in ("R", "L"):
-        hit = F.lit(False)
-        for p in HEMISPHERE:
-            hit = hit | up.like(p.format(side))
-        out = out.when(hit, side)
-    return out.otherwise("")
+    """R before L. Any R or L counts that is in brackets, ends a name or is inside one."""
+    up = F.upper(roi)
+    return F.when(up.rlike(HEMISPHERE.format("R")), "R").when(up.rlike(HEMISPHERE.format("L")), "L").otherwise("")
 
 
 def cell_class(name: Column) -> Column:
     up, out = F.upper(name), F
-    for label, patterns in CLASSES:
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | up.like(p)
-        out = out.when(hit, label)
+    for label, pattern in CLASSES:
+        out = out.when(up.rlike(pattern), label)
     return out.otherwise("")
 
 

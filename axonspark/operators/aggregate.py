@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonspark.functions.numeric import number
-from axonspark.operators.predicates import Pairs, cell, where
+from axonspark.operators.predicates import Pairs, cell, first, where
 
 
 def aggregate(df: DataFrame, by: list[str], sums: list[str] = (), means: list[str] = (), exact: Pairs = (), contains: Pairs = (), limit: int | None = None) -> DataFrame:
-    """by, count, sum_*, mean_*; with a limit the first groups in the order of their keys, else all, unordered.
+    """by, count, sum_*, mean_*; with a limit the first groups in the order of their keys (all but the last ones where it is negative), else all, unordered.
 
     A mean's denominator counts the cells that aren't empty, so that text which
     isn't a number weighs as 0; a group without such cells has a null mean.
@@ -22,5 +22,4 @@ def aggregate(df: DataFrame, by: list[str], sums: list[str] = (), means: list[st
     made = [F.count("*").alias("count")]
     made += [F.sum(number(cell(kept, c))).alias(f"sum_{c}") for c in sums]
     made += [(F.sum(number(cell(kept, c))) / F.nullif(F.count_if(cell(kept, c) != ""), F.lit(0))).alias(f"mean_{c}") for c in means]
-    out = kept.groupBy(*keys).agg(*made)
-    return out if limit is None else out.orderBy(*[F.col(f"`{c}`").asc() for c in by]).limit(limit)
+    return first(kept.groupBy(*keys).agg(*made), [F.col(f"`{c}`").asc() for c in by], limit)

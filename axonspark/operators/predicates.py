@@ -43,6 +43,13 @@ def project(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*[cell(df, c).alias(c) for c in columns]) if columns else df
 
 
+def first(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """The first rows by ``order``; a negative limit leaves out so many at the end. Without a limit all rows, and no global sort."""
+    if limit is None:
+        return df
+    return df.orderBy(*order).limit(limit if limit >= 0 else max(df.count() + limit, 0))
+
+
 def head(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows, at least one."""
     return df.limit(max(n, 1))

@@ -52,6 +52,7 @@ def test_filters_and_projection(spark):
 def test_aggregate(spark):
     df = spark.createDataFrame([("b", "2"), ("a", ""), ("a", "x"), ("a", "3"), ("c", "")], "k string, v string")
     assert [tuple(r) for r in aggregate(df, ["k"], ["v"], ["v"], limit=9).collect()] == [("a", 3, 3.0, 1.5), ("b", 1, 2.0, 2.0), ("c", 1, 0.0, None)]
+    assert [r.k for r in aggregate(df, ["k"], limit=-1).collect()] == ["a", "b"] and aggregate(df, ["k"], limit=-5).count() == 0
     with pytest.raises(ValueError, match="group"):
         aggregate(df, [])
 
