@@ -102,16 +102,22 @@ def create_views(spark: SparkSession, table: str, prefix: str | None = None) ->
     return [f"{prefix}_edges", f"{prefix}_partners"]
 
 
-def optimize(spark: SparkSession, table: str, prefix: str | None = None, buckets: int = 64) -> list[dict[str, str]]:
-    """Lays the table out for neighbour queries: copies bucketed and sorted by either end, and column statistics."""
+def buckets_for(size: int, each: int = 256 << 20) -> int:
+    """A power of two of buckets for ``size`` bytes, so that each holds about ``each``: at least 8, at most 65,536."""
+    return 1 << min(16, max(3, (-(-size // each) - 1).bit_length()))
+
+
+def optimize(spark: SparkSession, table: str, prefix: str | None = None, buckets: int | None = None) -> list[dict[str, str]]:
+    """Lays the table out for neighbour queries: copies bucketed (as many buckets as its size asks for) and sorted by either end, and column statistics."""
     table = identifier(table)
     prefix = identifier(prefix or table)
     df = spark.table(table)
     r = roles(df.columns)
+    buckets = buckets or buckets_for(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     done = []
     for role, c in (("pre", r.pre), ("post", r.post)):
         name = f"{prefix}_by_{role}"
-        df.write.mode("overwrite").bucketBy(buckets, c).sortBy(c).format("parquet").saveAsTable(name)
+        df.repartition(buckets, c).write.mode("overwrite").bucketBy(buckets, c).sortBy(c).format("parquet").saveAsTable(name)
         done.append({"action": "bucket", "name": name, "column": c})
     for name in (table, *(x["name"] for x in done[:2])):
         spark.sql(f"ANALYZE TABLE `{name}` COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -57,6 +57,10 @@ def test_aggregate(spark):
         aggregate(df, [])
 
 
+def test_buckets_follow_the_size():
+    assert [edges.buckets_for(x) for x in (0, 1, 8 << 28, (8 << 28) + 1, 1 << 40, 10**18)] == [8, 8, 8, 16, 4096, 65536]
+
+
 def test_roles():
     assert edges.roles(["Upstream_BodyId", "downstream_bodyId", "roi", "weight", "count"]) == edges.Roles("Upstream_BodyId", "downstream_bodyId", "weight", "roi")
     assert edges.roles(["pre", "post", "synapses"]).roi == ""
