@@ -34,9 +34,9 @@ from axonspark.llm.scratch import Scratch
 #: Hashed n-grams. The first stands for any word for the third time in a row.
 BITS = 21
 #: Occurrences added to each count.
-PRIOR = 0.03
+PRIOR = 0.02
 #: The share of the labelled rejects in the raw model.
-REJECTS = 0.1
+REJECTS = 0.02
 #: The likelihood ratio statistic from which an n-gram has estimates of its own in both models.
 BEYOND_CHANCE = 12.0
 #: The models are fitted to so many labelled rows at most (those of the smallest hashes).
