@@ -276,12 +276,16 @@ def _most(num: int, den: int):
 
 
 def _open(todo: DataFrame, num: int, den: int, scratch: Scratch, label: bool = False) -> DataFrame:
-    """The lists that may still join different components, without the entries too poor in shared n-grams for any other."""
+    """The lists that may still join different components, without the entries too poor in shared n-grams for any other.
+
+    Written after the join by list, so that what is aggregated next is added up
+    in each task before it moves and no list has to be in one task.
+    """
     for _ in range(2):
         lists = todo.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max(_index(num, den)).alias("some"), *([F.min("label").alias("one"), F.max("label").alias("two")] if label else []))
         lists = lists.where("lo <> hi and some" + " and one <> two" * label).select("key", "least")
-        todo = todo.join(lists, "key").where(_most(num, den) >= F.col("least")).drop("least")
-    return scratch.keep(todo, "todo")
+        todo = scratch.keep(todo.join(lists, "key").where(_most(num, den) >= F.col("least")).drop("least"), "todo")
+    return todo
 
 
 def _pivots(todo: DataFrame, turn: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
