@@ -80,7 +80,7 @@ def tokenised(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
         for b in batches:
             for first, col in words.slices(b.column(1)):
                 rows: list[tuple] = []
-                for ids in tokens.memo(path).encode(col.to_pylist()):
+                for ids in tokens.memo(path).encode(col):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     whole, rest = divmod(len(ids), size)
                     crcs = [zlib.crc32(ids[k * size : (k + 1) * size].tobytes()) for k in range(whole)]

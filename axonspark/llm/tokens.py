@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonspark.llm import worker
+from axonspark.llm import words, worker
 from axonspark.llm.names import unused
 from axonspark.llm.scratch import whole_texts
 
@@ -161,75 +161,117 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
 
 
 
-
 class Memo:
     """Ids of whole texts by way of their stable pieces.
 
-    A piece is white space and the non-space run after it, so every border
-    between pieces is ``stable`` and the ids of a text are those of its pieces.
-    Pieces repeat, and a bounded cache of the worker keeps them.
+    A piece is white space and the non-space run after it, without the marks
+    that may end the run, which are a piece of their own: white space after
+    non-space is ``stable``, and so is a mark after a letter or digit where only
+    marks follow up to white space. So the ids of a text are those of its
+    pieces. Pieces repeat: a bounded cache of the worker keeps their ids under a
+    64-bit hash, of ``most`` pieces at a time, and texts are cut and put
+    together by arrays. Texts with other white space than ASCII's are encoded whole.
     """
 
-    PIECE = re.compile(r"\s*[^\s]+|\s+")
-    ODD = re.compile("[\x1c-\x1f]")
-    #: Marks of no special string, and no apostrophe.
+    ODD = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    #: Marks of no special string, and no apostrophe; so many at most are cut off.
     MARKS = ".,!?;:%$&*#)"
+    FEW = 8
 
     def __init__(self, path: str, most: int = 1_500_000, longest: int = 40):
         self.t, self.path, self.most, self.longest = load(path), path, most, longest
         self.whole = not (str(path).endswith(".json") and _byte_level(path))
-        self.kept: dict[str, bytes] = {}
         if not self.whole:
             vocabulary = self.t.get_vocab(with_added_tokens=True)
             self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
             for token, k in vocabulary.items():
                 self.size[k] = len(token)  # a byte-level token has a character for each byte
-            self.kind = "<u2" if len(self.size) <= 65536 else "<u4"
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that all begin with white space and end without: as one text, cut again by bytes."""
-        ids = np.array(self.t.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum(self.size[ids])
-        cut = np.searchsorted(ends, np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])) + 1
-        width = 4 if self.kind == "<u4" else 2
-        body, at = ids.astype(self.kind).tobytes(), [0, *(cut * width).tolist()]
-        return [body[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.mark, self.letter = np.zeros(256, bool), np.zeros(256, bool)
+        self.mark[list(self.MARKS.encode())] = True
+        self.letter[[c for c in range(128) if chr(c).isalnum()]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.n, self.used = 0, 0
+        self.at, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def _append(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Adds the ids of pieces and returns their places; piece k has the ids [at[k], at[k + 1])."""
+        while self.n + len(size) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[self.n + 1 : self.n + 1 + len(size)] = self.used + np.cumsum(size)
+        places = self.n + np.arange(len(size))
+        self.n, self.used = self.n + len(size), self.used + len(ids)
+        return places
+
+    def _pieces(self, body: np.ndarray, ends: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of a slice of texts start and end."""
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[ends[:-1][ends[:-1] < ends[1:]]] = True
+        start = np.flatnonzero(begins)
+        stop = np.append(start[1:], len(body))[: len(start)]
+        left = np.flatnonzero(self.mark[body[stop - 1]])
+        at = stop[left]
+        for _ in range(self.FEW):
+            at = np.where((at > start[left]) & self.mark[body[at - 1]], at - 1, at)
+        last, ahead = body[at - 1], body[np.maximum(at - 2, 0)]
+        latin = (ahead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        begins[at[(at > start[left]) & (self.letter[last] | latin)]] = True
+        start = np.flatnonzero(begins)
+        return start, np.append(start[1:], len(body))[: len(start)]
+
+    def _together(self, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and their numbers, of pieces that all begin with white space and end without: as one text, cut again by bytes."""
+        size = end - start
+        upto = np.cumsum(size)
+        text = body[np.repeat(start - upto + size, size) + np.arange(upto[-1])].tobytes().decode("utf-8")
+        ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), upto) + 1, prepend=0)
+
+    def _alone(self, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [body[a:b].tobytes().decode("utf-8") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        made = [e.ids for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([x for ids in made for x in ids], np.uint32), np.array([len(ids) for ids in made], np.int64)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Each text's ids as unsigned 32-bit numbers."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
         if self.whole:
-            return [np.array(x, dtype="<u4") for x in encode_all(texts, self.path)]
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        kept, cut, alone = self.kept, [], set()
-        for x in texts:
-            if self.ODD.search(x):
-                cut.append([x])
-                alone.add(x)
-            else:
-                cut.append(self.PIECE.findall(x))
-        new = set().union(*cut).difference(kept)
-        # a letter or digit before these marks ends a token too, so a piece that ends in them is its stem's ids and theirs
-        ending = {}
-        for p in new - alone:
-            stem = p.rstrip(self.MARKS)
-            if len(stem) < len(p) and stem and stem[-1].isalnum():
-                ending[p] = stem
-        new = (new - alone).difference(ending).union(ending.values(), {p[len(x) :] for p, x in ending.items()}).difference(kept)
-        alone |= {p for p in new if not p[0].isspace() or p[-1].isspace()}
-        plain = list(new - alone)
-        once = dict(zip(plain, self._together(plain), strict=True)) if plain else {}
-        rest = list(alone)
-        for p, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            once[p] = np.array(e.ids, dtype=self.kind).tobytes()
-        kept.update(once)
-        for p, stem in ending.items():
-            once[p] = kept[p] = kept[stem] + kept[p[len(stem) :]]
-        out = [np.frombuffer(b"".join(map(kept.__getitem__, pieces)), dtype=self.kind).astype("<u4") for pieces in cut]
-        for p in once:
-            if len(p) > self.longest:
-                del kept[p]
-        return out
+            return [np.array(x, dtype="<u4") for x in encode_all(column.to_pylist(), self.path)]
+        odd = pa.compute.match_substring_regex(column, self.ODD).to_numpy(zero_copy_only=False).astype(bool)
+        alone = dict(zip(np.flatnonzero(odd).tolist(), encode_all(column.filter(pa.array(odd)).to_pylist(), self.path), strict=True)) if odd.any() else {}
+        body, ends = words.raw(pa.compute.if_else(pa.array(odd), "", column) if alone else column)
+        if self.n > self.most:
+            self._clear()
+        space = words.spaces(body)
+        start, end = self._pieces(body, ends, space)
+        found, first, back = np.unique(words.hashes(body, start, end, fold=False), return_index=True, return_inverse=True)
+        places = np.array(list(map(self.place.get, found.tolist(), repeat(-1))), np.int64)
+        new = np.flatnonzero(places < 0)
+        a, b = start[first[new]], end[first[new]]
+        kept, inner = b - a <= self.longest, space[a] & ~space[b - 1]
+        state = self.n, self.used
+        for keep in (True, False):
+            for many, encoded in ((inner, self._together), (~inner, self._alone)):
+                k = np.flatnonzero((kept == keep) & many)
+                if len(k):
+                    places[new[k]] = self._append(*encoded(body, a[k], b[k]))
+            if keep:
+                self.place.update(zip(found[new[kept]].tolist(), places[new[kept]].tolist(), strict=True))
+                state = self.n, self.used
+        places = places[back]
+        low = self.at[places]
+        size = self.at[places + 1] - low
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(low - upto[:-1], size) + np.arange(upto[-1])].astype("<u4")
+        self.n, self.used = state
+        cut = upto[np.searchsorted(start, ends)]
+        return [np.array(alone[k], dtype="<u4") if k in alone else ids[cut[k] : cut[k + 1]] for k in range(len(column))]
 
 
 @lru_cache(maxsize=2)

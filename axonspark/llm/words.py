@@ -74,6 +74,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, ends - ends[0]
 
 
+def spaces(body: np.ndarray) -> np.ndarray:
+    """Whether each byte is white space."""
+    return _SPACE[body]
+
+
 def spans(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, words before each row boundary) of all words of a slice."""
     n = len(body)
