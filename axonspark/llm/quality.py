@@ -4,8 +4,7 @@ A document's log importance weight is the log ratio of two generative models of
 its n-grams, the sum over all of them:
 
 * the target, from labelled documents of good quality that aren't toxic;
-* raw text, from all documents, in which the labelled rejects have a fixed
-  share, so that what is rare in all text but typical of rejects is seen.
+* raw text, from all documents.
 
 N-grams are hashed words, pairs of words, and the event that a word stands there
 for the third time in a row. The two models share the estimate of an n-gram, so that its ratio
@@ -35,8 +34,6 @@ from axonspark.llm.scratch import Scratch
 BITS = 21
 #: Occurrences added to each count.
 PRIOR = 0.02
-#: The share of the labelled rejects in the raw model.
-REJECTS = 0.02
 #: The likelihood ratio statistic from which an n-gram has estimates of its own in both models.
 BEYOND_CHANCE = 12.0
 #: The models are fitted to so many labelled rows at most (those of the smallest hashes).
@@ -73,8 +70,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*made, np.zeros(len(again), np.int64)]), np.concatenate([*of, again])
 
 
-#: What is counted: occurrences in all, good and rejected documents, and good and rejected documents with the n-gram.
-KINDS = ("all", "good", "bad", "good_documents", "bad_documents")
+#: What is counted: occurrences in all and in good documents, and good and rejected documents with the n-gram.
+KINDS = ("all", "good", "good_documents", "bad_documents")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,12 +86,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, col in words.slices(b.column(0)):
             g, row = features(col)
             made[0] += np.bincount(g, minlength=size)
-            for k, side in ((1, good), (2, bad)):
+            for k, side in ((2, good), (3, bad)):
                 mine = side[at : at + len(col)]
                 if mine.any():
                     x = g[mine[row]]
-                    np.add.at(made[k], x, 1)
-                    np.add.at(made[k + 2], np.unique(row[mine[row]] << BITS | x) & (size - 1), 1)
+                    np.add.at(made[k], np.unique(row[mine[row]] << BITS | x) & (size - 1), 1)
+                    if k == 2:
+                        np.add.at(made[1], x, 1)
         n += [int(good.sum()), int(bad.sum())]
     for kind, a in enumerate((*made, n)):
         hit = np.flatnonzero(a)
@@ -128,13 +126,13 @@ def differs(a: np.ndarray, n: float, b: np.ndarray, m: float) -> np.ndarray:
 
 def ratios(counts: dict[str, np.ndarray], n_good: int, n_bad: int) -> np.ndarray:
     """The log ratio of the target's to the raw model's rate of each n-gram; 0 where they share one estimate."""
-    total = {k: float(counts[k].sum()) for k in KINDS}
+    total = {k: float(counts[k].sum()) for k in KINDS[:2]}
     out = np.zeros(len(counts["all"]), np.float32)
     for at in range(0, len(out), SLICE):  # little memory at a time
         c = {k: counts[k][at : at + SLICE].astype(np.float64) for k in KINDS}
         own = differs(c["good_documents"], n_good, c["bad_documents"], n_bad) >= BEYOND_CHANCE
-        rate = {k: (c[k][own] + PRIOR) / (total[k] + 2 * PRIOR) for k in KINDS[:3]}
-        out[at : at + SLICE][own] = np.log(rate["good"] / ((1 - REJECTS) * rate["all"] + REJECTS * rate["bad"]))
+        rate = {k: (c[k][own] + PRIOR) / (total[k] + 2 * PRIOR) for k in KINDS[:2]}
+        out[at : at + SLICE][own] = np.log(rate["good"] / rate["all"])
     return out
 
 

@@ -304,7 +304,7 @@ def plain_ngrams(text):
 def plain_weights(texts, good):
     """Log weights by the formulas, with plain counts; ``good`` by place, None where not labelled."""
     grams = [Counter(plain_ngrams(t)) for t in texts]
-    total = {k: sum((c for c, g in zip(grams, good, strict=True) if k is None or g is k), Counter()) for k in (None, True, False)}
+    total = {k: sum((c for c, g in zip(grams, good, strict=True) if k is None or g is k), Counter()) for k in (None, True)}
     inside = {k: Counter(x for c, g in zip(grams, good, strict=True) if g is k for x in c) for k in (True, False)}
     n = {k: sum(g is k for g in good) for k in (True, False)}
 
@@ -318,7 +318,7 @@ def plain_weights(texts, good):
         if g < quality.BEYOND_CHANCE:
             return 0.0
         rate = {k: (t[x] + quality.PRIOR) / (sum(t.values()) + 2 * quality.PRIOR) for k, t in total.items()}
-        return math.log(rate[True] / ((1 - quality.REJECTS) * rate[None] + quality.REJECTS * rate[False]))
+        return math.log(rate[True] / rate[None])
 
     return [sum(v * ratio(x) for x, v in c.items()) for c in grams], -math.log(n[True] / n[False])
 
@@ -353,7 +353,7 @@ def test_gumbel_noise():
 
 
 def test_model_travels():
-    model = quality.Model([{"kind": 5, "slice": 0, "payload": quality.pack(np.array([0, 1]), np.array([30, 10]))}])
+    model = quality.Model([{"kind": 4, "slice": 0, "payload": quality.pack(np.array([0, 1]), np.array([30, 10]))}])
     again = pickle.loads(pickle.dumps(model))
     assert np.array_equal(again.ratio, model.ratio) and again.even == model.even == -math.log(3)
 
