@@ -118,7 +118,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end: int =
 
     Ranks are a task's own running numbers plus an offset from the counts of
     (task, length), so that a length that most documents share needs no sort
-    and no single task. The places, bounded by the lengths and not by the
+    and no single task; the running number of full sequences is taken over one
+    row a writing task. The places, bounded by the lengths and not by the
     documents, are broadcast. Only rests that are cut move their ids.
     """
     spark = docs.sparkSession
