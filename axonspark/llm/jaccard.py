@@ -3,16 +3,19 @@
 The incidence matrix is never joined with itself as it stands. Its columns
 (n-grams) are counted block by block; each document then orders its n-grams
 from rare to frequent, and only the head of that order, as long as the size
-bound asks for, enters the product. A pair whose sizes, or whose positions in
-the head, bound the overlap below what the threshold needs is discarded; for
-the rest the overlap is accumulated over all n-grams and tested exactly.
+bound asks for, is listed by n-gram. A pair whose sizes, whose positions in the
+head, or whose numbers of n-grams that any other document has, bound the overlap
+below what the threshold needs is discarded. For the rest blocks of whole rows
+are multiplied: in a block a row's overlaps with all others are accumulated over
+its columns and tested exactly.
 
 Skew: columns are counted inside each chunk of documents before anything is
 shuffled, so that an n-gram that all documents share moves as one number a
 chunk; exact copies are one row of the matrix; and inside one column's list the
-product starts with a few pivots against all others. What a pivot links is one
+product starts with two pivots against all others. What a pivot links is one
 component and needs no further product, so a list of M near copies costs about M
-overlaps and not M * M.
+rows and not M * M pairs. What stays open is multiplied by families, in blocks
+of bounded size, and only pairs across families are ever written as pairs.
 """
 
 from __future__ import annotations
