@@ -26,6 +26,9 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that part words of letters and digits alone: all of ASCII's others.
+MARKS = np.ones(256, dtype=bool)
+MARKS[128:] = MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -79,12 +82,12 @@ def spaces(body: np.ndarray) -> np.ndarray:
     return _SPACE[body]
 
 
-def spans(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words before each row boundary) of all words of a slice."""
+def spans(body: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words before each row boundary) of all words of a slice; ``space`` says of each byte whether it parts words."""
     n = len(body)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
-    word = ~_SPACE[body]
+    word = ~space[body]
     cut = np.zeros(n + 1, dtype=bool)
     cut[ends] = True
     before = np.empty(n, dtype=bool)
@@ -98,6 +101,17 @@ def spans(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(start, ends)
 
 
+def values(body: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> pa.LargeBinaryArray:
+    """The words themselves, for exact comparison."""
+    upto = np.concatenate([[0], np.cumsum(end - start)])
+    inside = np.zeros(len(body) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    data = body[np.cumsum(inside[:-1], dtype=np.int8).view(bool)] if len(body) else body
+    data = _FOLD[data] if fold else np.ascontiguousarray(data)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(upto), pa.py_buffer(data)])
+
+
 def hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True, second: bool = False) -> np.ndarray:
     """64-bit hash of each span of bytes, or the ``second``, independent one."""
     n = len(body)
