@@ -7,11 +7,11 @@ its n-grams, the sum over all of them:
 * raw text, from all documents.
 
 N-grams are hashed words, pairs of words, and the event that a word stands there
-for the third time in a row. The two models share the estimate of an n-gram, so that its ratio
-is 1, unless the numbers of good and of rejected documents with it differ beyond
-chance; without that, the noise of thousands of common words would outweigh a few
-telling ones in long texts. A Gumbel top-k draw without replacement then keeps
-as many documents as are likelier target than not.
+for the third time in a row. Every n-gram has its own ratio, shrunk towards 1 by
+the evidence that it tells good from rejected documents at all; without that, the
+noise of thousands of common words would outweigh a few telling ones in long
+texts. A Gumbel top-k draw without replacement then keeps a stated share, or as
+many documents as are likelier target than not.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from axonspark.llm.scratch import Scratch
 
 #: Hashed n-grams. The first stands for any word for the third time in a row.
 BITS = 21
-#: Occurrences added to each count.
+#: Occurrences, as rare in the target as in raw text, that are added to each n-gram's.
 PRIOR = 0.02
-#: The likelihood ratio statistic from which an n-gram has estimates of its own in both models.
-BEYOND_CHANCE = 12.0
+#: An n-gram with this likelihood ratio statistic keeps half of its log ratio; others keep g**3 / (g**3 + HALF**3) of it.
+HALF = 24.0
 #: The models are fitted to so many labelled rows at most (those of the smallest hashes).
 LABELLED = 200_000
 #: Counts move in slices of so many n-grams.
@@ -125,19 +125,19 @@ def differs(a: np.ndarray, n: float, b: np.ndarray, m: float) -> np.ndarray:
 
 
 def ratios(counts: dict[str, np.ndarray], n_good: int, n_bad: int) -> np.ndarray:
-    """The log ratio of the target's to the raw model's rate of each n-gram; 0 where they share one estimate."""
-    total = {k: float(counts[k].sum()) for k in KINDS[:2]}
+    """The shrunk log ratio of the target's to the raw model's rate of each n-gram."""
+    share = float(counts["good"].sum()) / max(float(counts["all"].sum()), 1.0)
     out = np.zeros(len(counts["all"]), np.float32)
     for at in range(0, len(out), SLICE):  # little memory at a time
         c = {k: counts[k][at : at + SLICE].astype(np.float64) for k in KINDS}
-        own = differs(c["good_documents"], n_good, c["bad_documents"], n_bad) >= BEYOND_CHANCE
-        rate = {k: (c[k][own] + PRIOR) / (total[k] + 2 * PRIOR) for k in KINDS[:2]}
-        out[at : at + SLICE][own] = np.log(rate["good"] / rate["all"])
+        g = np.maximum(differs(c["good_documents"], n_good, c["bad_documents"], n_bad), 0.0) / HALF
+        ratio = np.log((c["good"] + PRIOR) / (share * c["all"] + PRIOR))
+        out[at : at + SLICE] = ratio * (g**3 / (g**3 + 1))
     return out
 
 
 class Model:
-    """The log ratios, and from which log weight on a document is likelier target than not."""
+    """The log ratios, and from which log weight on a document is likelier target than not (0 at most: what nothing speaks against stays)."""
 
     def __init__(self, parts: list):
         made = [np.zeros(1 << BITS, np.int64 if k == "all" else np.int32) for k in KINDS] + [np.zeros(2, np.int64)]
@@ -146,7 +146,7 @@ class Model:
             made[p["kind"]][p["slice"] * SLICE + at] = n
         good, bad = made[-1].tolist()
         self.ratio = ratios(dict(zip(KINDS, made, strict=False)), good, bad)
-        self.even = -float(np.log(good / bad)) if good and bad else 0.0
+        self.even = min(0.0, float(np.log((good + bad) / (2 * good)))) if good and bad else 0.0
 
     def __getstate__(self) -> dict:
         """Compressed, since every executor keeps what is broadcast."""
@@ -188,13 +188,16 @@ def kth_largest(values: DataFrame, k: int) -> float:
     return lo
 
 
-def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 5, carry: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 5, carry: list[str] | None = None, share: float | None = None) -> DataFrame:
     """Every row of ``docs`` (its columns ``carry``, or all) with log_weight and keep.
 
     ``labels`` has (id, quality, toxic); good is quality 1 and toxic 0, a null
     in either leaves the row out, and a repeated id is good if all its rows are.
     Null and empty texts have no n-grams and the log weight 0;
     null ids draw like id 0; rows with the same id and text share their fate.
+    ``share`` of all rows are drawn, or, by default, as many as are likelier
+    target than not: that is where log_weight is at least log((good + rejected)
+    / (2 good)) of the labels, or 0 where good ones are fewer.
     Without good or without rejected labels all weights are 0 and all rows are
     kept; an empty table gives an empty result. A column of ``docs`` named
     log_weight or keep is replaced.
@@ -228,6 +231,6 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
     whole = docs.select(body.alias(unused(docs.columns, "body")), F.col(f"`{id}`").alias(unused(docs.columns, "row_id")), *[F.col(f"`{c}`") for c in keep])
     scored = scratch.keep(whole.mapInArrow(score, T.StructType([*(docs.schema[c] for c in keep), T.StructField("log_weight", T.DoubleType()), T.StructField(key, T.DoubleType())])), "scored")
-    k = scored.where(F.col("log_weight") >= shared.value.even).count()
+    k = scored.where(F.col("log_weight") >= shared.value.even).count() if share is None else int(share * scored.count())
     least = kth_largest(scored.select(F.col(f"`{key}`").alias("key")), k) if k else float("inf")
     return scored.withColumn("keep", F.col(f"`{key}`") >= least).drop(key)

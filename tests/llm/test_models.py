@@ -301,9 +301,27 @@ def plain_ngrams(text):
     return [("word", fold(x)) for x in w] + [("pair", p) for p in pairs] + [("again", None) for x, y, z in zip(w, w[1:], w[2:], strict=False) if x == y == z]
 
 
+def bucket_of(grams):
+    """The bucket of each n-gram: those that share one are one to the model."""
+    import pyarrow as pa
+
+    def alone(x):
+        kind, w = x
+        return (w, 0) if kind == "word" else (w[0], 1) if w[1] is None else (" ".join(w), 2)
+
+    plain = sorted({x for x in grams if x[0] != "again"}, key=str)
+    g, row = quality.features(pa.array([alone(x)[0] for x in plain], pa.large_string()))
+    by_row = defaultdict(list)
+    for a, b in zip(g.tolist(), row.tolist(), strict=True):
+        by_row[b].append(a)
+    return {("again", None): 0, **{x: by_row[k][alone(x)[1]] for k, x in enumerate(plain)}}
+
+
 def plain_weights(texts, good):
     """Log weights by the formulas, with plain counts; ``good`` by place, None where not labelled."""
-    grams = [Counter(plain_ngrams(t)) for t in texts]
+    grams = [plain_ngrams(t) for t in texts]
+    bucket = bucket_of({x for c in grams for x in c})
+    grams = [Counter(bucket[x] for x in c) for c in grams]
     total = {k: sum((c for c, g in zip(grams, good, strict=True) if k is None or g is k), Counter()) for k in (None, True)}
     inside = {k: Counter(x for c, g in zip(grams, good, strict=True) if g is k for x in c) for k in (True, False)}
     n = {k: sum(g is k for g in good) for k in (True, False)}
@@ -315,12 +333,11 @@ def plain_weights(texts, good):
         a, b = inside[True][x], inside[False][x]
         g = 2 * sum(part(p, q) for p, q in ((a, n[True]), (n[True] - a, n[True]), (b, n[False]), (n[False] - b, n[False])))
         g -= 2 * (part(a + b, n[True] + n[False]) + part(n[True] + n[False] - a - b, n[True] + n[False]))
-        if g < quality.BEYOND_CHANCE:
-            return 0.0
-        rate = {k: (t[x] + quality.PRIOR) / (sum(t.values()) + 2 * quality.PRIOR) for k, t in total.items()}
-        return math.log(rate[True] / rate[None])
+        expected = total[None][x] * sum(total[True].values()) / sum(total[None].values())
+        return math.log((total[True][x] + quality.PRIOR) / (expected + quality.PRIOR)) * g**3 / (g**3 + quality.HALF**3)
 
-    return [sum(v * ratio(x) for x, v in c.items()) for c in grams], -math.log(n[True] / n[False])
+    known = {x: ratio(x) for x in total[None]}
+    return [sum(v * known[x] for x, v in c.items()) for c in grams], min(0.0, math.log((n[True] + n[False]) / (2 * n[True])))
 
 
 def test_weights_and_draw_by_brute_force(spark):
@@ -345,6 +362,28 @@ def test_weights_and_draw_by_brute_force(spark):
     assert abs(expected[9003, "vile " * 3000][0]) > 1000 and expected[9000, None][0] == 0
 
 
+def test_few_labels_and_more_rejected_than_good(spark):
+    docs, labels, bad, _ = made_corpus(spark)
+    junk = {r.doc_id for r in docs.where("text like '%!!%'").collect()}
+    few = labels.where("doc_id < 100")
+    assert 40 < few.count() < 60
+    kept = {r.doc_id for r in quality.classify(docs, few, carry=["doc_id"]).where("keep").collect()}
+    clean = {k for k in bad if not bad[k]}
+    assert len(clean & kept) >= 0.9 * len(clean)
+    most = labels.where("quality is not null and (doc_id % 5 = 0 or quality = 0 or toxic = 1)")
+    assert most.where("quality = 0 or toxic = 1").count() > most.where("quality = 1 and toxic = 0").count()
+    odd = spark.createDataFrame([(9000, None, "c"), (9001, "", "c"), (9002, "unseen", "c")], docs.schema)
+    kept = {r.doc_id for r in quality.classify(docs.unionByName(odd), most, carry=["doc_id"]).where("keep").collect()}
+    assert len(clean & kept) >= 0.9 * len(clean) and len(junk & kept) <= 0.1 * len(junk) and {9000, 9001} <= kept
+
+
+def test_a_stated_share_is_drawn(spark):
+    docs, labels, bad, _ = made_corpus(spark)
+    for share in (0.1, 0.5):
+        kept = [r.doc_id for r in quality.classify(docs, labels, carry=["doc_id"], share=share).where("keep").collect()]
+        assert len(kept) == int(share * len(bad)) and not any(bad[k] for k in kept)
+
+
 def test_gumbel_noise():
     import pyarrow as pa
 
