@@ -27,21 +27,28 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _CLOSE = np.zeros(256, dtype=bool)
 _CLOSE[list(b"\"')]}")] = True
-_ODD = 0xA0761D6478BD642F & ~7 | 5
-_ODD2 = 0xE7037ED1A0B428DB & ~7 | 5
+_ODD, _ODD2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
 def _run_hashes(value: np.ndarray, a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
-    """64-bit hash of each run [a, b) of the words with hashes ``value``."""
-    n = len(value)
-    up = np.full(n + 1, odd, np.uint64)
-    up[0] = 1
-    up = np.cumprod(up, dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[:n], dtype=np.uint64)])
-    down = np.full(n + 1, pow(odd, -1, 2**64), np.uint64)
-    down[0] = 1
-    down = np.cumprod(down, dtype=np.uint64)
-    return words.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+    """64-bit hash of each run [a, b) of the words with hashes ``value``.
+
+    Windows of 1, 2, 4, ... words are hashed from the two halves of each and
+    finalised; a run is the two largest windows that begin and end with it.
+    """
+    size = b - a
+    out = np.zeros(len(a), np.uint64)
+    if not len(a):
+        return out
+    level = np.frexp(size.astype(np.float64))[1] - 1  # floor(log2(size)), as sizes are under 2**53
+    now, times = words.mix(value ^ np.uint64(odd)), np.uint64(odd | 1)
+    for k in range(int(level.max()) + 1):
+        if k:
+            half = 1 << k - 1
+            now = words.mix(now[:-half] * times + now[half:])
+        here = np.flatnonzero(level == k)
+        out[here] = words.mix(words.mix(now[a[here]] + size[here].astype(np.uint64)) * times + now[b[here] - (1 << k)])
+    return out
 
 
 class Sentences:

@@ -168,9 +168,9 @@ class Memo:
     that may end the run, which are a piece of their own: white space after
     non-space is ``stable``, and so is a mark after a letter or digit where only
     marks follow up to white space. So the ids of a text are those of its
-    pieces. Pieces repeat: a bounded cache of the worker keeps their ids under a
-    64-bit hash, of ``most`` pieces at a time, and texts are cut and put
-    together by arrays. Texts with other white space than ASCII's are encoded whole.
+    pieces. Pieces repeat: a bounded cache of the worker keeps the ids of
+    ``most`` pieces at a time, and texts are cut and put together by arrays.
+    Pieces are told apart by their bytes, never by a hash alone. Texts with other white space than ASCII's are encoded whole.
     """
 
     ODD = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -192,7 +192,7 @@ class Memo:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.n, self.used = 0, 0
         self.at, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
@@ -250,11 +250,15 @@ class Memo:
             self._clear()
         space = words.spaces(body)
         start, end = self._pieces(body, ends, space)
-        found, first, back = np.unique(words.hashes(body, start, end, fold=False), return_index=True, return_inverse=True)
-        places = np.array(list(map(self.place.get, found.tolist(), repeat(-1))), np.int64)
+        column_of = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(body))), pa.py_buffer(body)])
+        coded = column_of.dictionary_encode()
+        distinct, back = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        found = distinct.to_pylist()
+        places = np.array(list(map(self.place.get, found, repeat(-1))), np.int64)
         new = np.flatnonzero(places < 0)
-        a, b = start[first[new]], end[first[new]]
-        kept, inner = b - a <= self.longest, space[a] & ~space[b - 1]
+        body, at = words.raw(distinct)  # from here on, the distinct pieces one after another
+        a, b = at[new], at[new + 1]
+        kept, inner = b - a <= self.longest, words.spaces(body[a]) & ~words.spaces(body[b - 1])
         state = self.n, self.used
         for keep in (True, False):
             for many, encoded in ((inner, self._together), (~inner, self._alone)):
@@ -262,7 +266,7 @@ class Memo:
                 if len(k):
                     places[new[k]] = self._append(*encoded(body, a[k], b[k]))
             if keep:
-                self.place.update(zip(found[new[kept]].tolist(), places[new[kept]].tolist(), strict=True))
+                self.place.update(zip([found[k] for k in new[kept].tolist()], places[new[kept]].tolist(), strict=True))
                 state = self.n, self.used
         places = places[back]
         low = self.at[places]

@@ -1,10 +1,9 @@
 """Vectorised word, shingle and n-gram hashing over Arrow string columns.
 
 A word is a maximal run of bytes other than ``\\x20 \\x09-\\x0D``; A-Z may be
-folded to lower case. Words are hashed by a polynomial over random per-byte
-values modulo 2**64, so that one cumulative sum over a slice of text gives the
-hash of every word in it; sums are mixed afterwards. Nothing is per word in
-Python.
+folded to lower case. A word is hashed by blocks of eight bytes, each finalised
+with its place before they are added up, so that no pattern of bytes cancels out.
+Nothing is per word in Python.
 """
 
 from __future__ import annotations
@@ -17,11 +16,9 @@ import pyarrow as pa
 U64 = np.uint64
 #: Texts are hashed in slices of about this many bytes (one longer text is a slice of its own).
 SLICE_BYTES = 1 << 21
-_BASE = 0x9E3779B97F4A7C15 & ~7 | 5
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-#: Values of a second, independent hash.
-_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Where the places of blocks start to be numbered, for the hash and for a second, independent one.
+_FROM, _FROM2 = np.array([0x9E3779B97F4A7C15], U64), np.array([0xD1B54A32D192ED03], U64)
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -29,17 +26,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that part words of letters and digits alone: all of ASCII's others.
 MARKS = np.ones(256, dtype=bool)
 MARKS[128:] = MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a, dtype=np.uint64)
-    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,13 +100,22 @@ def values(body: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = Tr
 
 def hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True, second: bool = False) -> np.ndarray:
     """64-bit hash of each span of bytes, or the ``second``, independent one."""
-    n = len(body)
-    if not n or not len(start):
-        return np.zeros(len(start), dtype=np.uint64)
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_BYTE2 if second else _BYTE)[_FOLD[body] if fold else body] * up[:n], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    data = np.concatenate([_FOLD[body] if fold else body, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(body) + 1, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    first = _FROM2 if second else _FROM
+    total = mix((eight[start] & _TAIL[np.minimum(size, 8)]) ^ mix(first))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # blocks after the first
+        upto = np.cumsum(more)
+        k = np.arange(upto[-1]) - np.repeat(upto - more, more) + 1
+        at = np.repeat(start[long], more) + 8 * k
+        block = eight[at] & _TAIL[np.minimum(np.repeat(end[long], more) - at, 8)]
+        total[long] += np.add.reduceat(mix(block ^ mix(first + k.astype(np.uint64))), upto - more)
+    return mix(total + size.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
 def grams(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,35 @@ def test_word_hashes():
     assert np.diff(at).tolist() == [1, 0, 0, 1, 2, 1] and values[at[0]] == values[at[3]]
 
 
+def twins(n=1024, one="a", other="b", by=""):
+    """Two sequences in Thue-Morse order and its complement, which polynomials modulo a power of two don't tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return by.join(one if x else other for x in bits), by.join(other if x else one for x in bits)
+
+
+def test_no_pattern_cancels_out(spark):
+    import pyarrow as pa
+
+    pair, run = twins(), twins(by=" ")
+    body, ends = words.raw(pa.array([*pair, *twins(4096), "x" * 8, "x" * 16, "x" * 17, "x" * 16 + "y"], pa.large_string()))
+    for second in (False, True):
+        assert len(set(words.hashes(body, *words.spans(body, ends)[:2], second=second).tolist())) == 8
+    a, b = (spans.Sentences(pa.array([x + "."], pa.large_string()), 20) for x in run)
+    assert not set(a.hash.tolist()) & set(b.hash.tolist()) and not set(a.check.tolist()) & set(b.check.tolist())
+    docs = spark.createDataFrame([(1, pair[0]), (2, pair[1]), (3, pair[0]), (4, run[0] + "."), (5, run[1] + "."), (6, run[1] + ".")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.ngram_jaccard(docs.where("doc_id < 4")).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: len(r.text) for r in spans.remove_repeats(docs).collect()} == {1: 1024, 2: 1024, 3: 1024, 4: 2048, 5: 2048, 6: 0}
+    library = tokens.load(tokens.public_path())
+    made = tokens.Memo(tokens.public_path(), longest=2000).encode([pair[0], pair[1], f"z {pair[1]} {pair[0]}"])
+    assert [x.tolist() for x in made] == [library.encode(x, add_special_tokens=False).ids for x in (pair[0], pair[1], f"z {pair[1]} {pair[0]}")]
+
+
+def test_pieces_are_told_apart_by_their_bytes(library, monkeypatch):
+    monkeypatch.setattr(words, "hashes", lambda body, start, end, **_: np.zeros(len(start), np.uint64))
+    made = tokens.Memo(tokens.public_path()).encode(ODD)
+    assert [x.tolist() for x in made] == [library.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
 # -- token counts ----------------------------------------------------------------------------------------------------
 
 ODD = ["a\n  b   c \n d\t\te  ", "  lead", "", "<|endoftext|> x <|endoftext|>y", " \x1c a\x1f b", "é ü  中文 字 ", "x" * 700, " " * 60, " nb em  z", "it's 'll  we're\n\n\nok", "a, b. a b! (b). 3.14, it's. é! ²; ... ,x ok%%% <|endoftext|>. end|>, '.", "b, b. b"]
