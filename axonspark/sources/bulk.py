@@ -9,9 +9,9 @@ import zipfile
 from dataclasses import astuple, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from axonspark.operators.edges import identifier
+from axonspark.sources import csv_split
 from axonspark.sources.arrow_ipc import read_arrow
 
 
@@ -99,13 +99,10 @@ def extract(path: str, folder: str, force: bool = False) -> list[str]:
 
 
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV, Parquet or Feather file. Without ``schema`` whole numbers of a CSV become long, so that ids keep all digits."""
+    """A CSV, Parquet or Feather file. Fields of a CSV may hold line breaks in quotes; without ``schema`` its whole numbers become long, so that ids keep all digits."""
     suffix = os.path.splitext(path)[1].lower()
     if suffix == ".csv":
-        if schema:
-            return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-        df = spark.read.option("header", True).option("escape", '"').option("inferSchema", True).csv(path)
-        return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if k == "int" else F.col(f"`{c}`") for c, k in df.dtypes])
+        return csv_split.read_csv(spark, path, schema)
     if suffix == ".parquet":
         return spark.read.parquet(path)
     if suffix in (".feather", ".arrow"):

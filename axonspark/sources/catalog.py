@@ -7,15 +7,22 @@ are only ever DataFrames.
 from __future__ import annotations
 
 import csv
+import hashlib
+import io
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonspark.sources import csv_split
+
 MANIFEST = ("dataset", "collection", "file_id", "relative_path", "rows", "columns", "size_bytes", "sha256")
 ENVIRONMENT = "AXONSPARK_DATA_DIR"
 
@@ -50,19 +57,31 @@ def file_id(relative_path: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^0-9A-Za-z]", "_", relative_path.removesuffix(".csv"))).strip("_").lower()
 
 
-def read_csv(spark: SparkSession, root: str, names: list[str], columns: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, root: str, names: list[str], columns: list[str], split: bool = False) -> DataFrame:
     """All cells as text of files below ``root`` that share one header; ``_file`` is the relative path, ``_ordinal`` the order inside a file.
 
     The reader gets the wanted paths alone, with the signs that would match
     other names escaped, so that no other file is opened; null cells are empty.
+    ``split`` reads a file by many tasks, also where quoted fields hold line
+    breaks; else a file is a task.
     """
-    df = spark.read.schema(text_schema(columns)).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
     root = os.path.realpath(root)
-    got = df.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", os.path.join(root, n)) for n in names])
-    decoded = F.try_url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", os.path.join(root, n)) for n in names]
+    if split:
+        got = csv_split.read_text(spark, paths, columns).withColumnsRenamed({"file": "_path", "number": "_ordinal"})
+    else:
+        df = spark.read.schema(text_schema(columns)).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
+        got = df.csv(paths).select(F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_ordinal"), "*")
+    decoded = F.try_url_decode(F.regexp_replace("_path", r"\+", "%2B"))
     below = F.substring(F.regexp_replace(decoded, "^file:/+", "/"), len(root) + 2, 1 << 20)
     file = F.lit(names[0]) if len(names) == 1 else below
-    return got.select(file.alias("_file"), F.monotonically_increasing_id().alias("_ordinal"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    return got.select(file.alias("_file"), "_ordinal", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+
+
+def range_bytes(spark: SparkSession) -> int:
+    """Files of more bytes are split."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
 
 
 class Catalog:
@@ -112,13 +131,14 @@ class Catalog:
 
     def open(self, *tables: Table) -> DataFrame:
         """The rows of tables, by header family, with ``table``, ``relative_path`` and the order inside the file."""
-        families: dict[tuple[str, ...], list[Table]] = {}
+        most = range_bytes(self.spark)
+        families: dict[tuple[tuple[str, ...], bool], list[Table]] = {}
         for t in tables:
-            families.setdefault(t.columns, []).append(t)
+            families.setdefault((t.columns, t.size_bytes > most), []).append(t)
         out = []
-        for columns, group in families.items():
+        for (columns, large), group in families.items():
             ids = self.spark.createDataFrame([(t.relative_path, t.file_id, t.dataset) for t in group], "_file string, _table string, _dataset string")
-            df = read_csv(self.spark, self.root, [t.relative_path for t in group], list(columns))
+            df = read_csv(self.spark, self.root, [t.relative_path for t in group], list(columns), large)
             out.append(df.join(F.broadcast(ids), "_file"))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
@@ -128,26 +148,52 @@ def open_csv(spark: SparkSession, path: str) -> DataFrame:
     path = os.path.expanduser(path)
     with open(path, newline="", encoding="utf-8") as f:
         columns = next(csv.reader(f))
-    return read_csv(spark, os.path.dirname(os.path.abspath(path)), [os.path.basename(path)], columns)
+    return read_csv(spark, os.path.dirname(os.path.abspath(path)), [os.path.basename(path)], columns, os.path.getsize(path) > range_bytes(spark))
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each file by its URI: checksum, first record and number of further ones, from steps of 1 MiB."""
+    for b in batches:
+        for uri in b.column(0).to_pylist():
+            store, path = pafs.FileSystem.from_uri(uri)
+            sha, first, held, records, inside, blank = hashlib.sha256(), [], b"", 0, False, True
+            with store.open_input_stream(path) as f:
+                while True:
+                    step = f.read(1 << 20)
+                    sha.update(step)
+                    if not step and not held:
+                        break
+                    *whole, held = (held + step).split(b"\n") if step else [held, b""]
+                    for line in whole:
+                        if b'"' in line or inside:
+                            inside = csv_split.ends_inside(line.decode("utf-8", "replace"), inside)
+                        blank = blank and not line.strip(b"\r")
+                        if not records:
+                            first.append(line.decode("utf-8", "replace"))
+                        if not inside:
+                            records, blank = records + (not blank), True
+                    if not step:
+                        break
+            names = next(csv.reader(io.StringIO("\n".join(first).removeprefix("\ufeff"), newline="")), [])
+            yield pa.RecordBatch.from_pylist([{"path": uri, "rows": max(records + inside - 1, 0), "columns": "|".join(names), "sha256": sha.hexdigest()}], schema=pa.schema([("path", pa.string()), ("rows", pa.int64()), ("columns", pa.string()), ("sha256", pa.string())]))
 
 
 def build_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """One row per CSV file below ``root``: identity, header, data rows, size and checksum, read as whole files in parallel."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
+    """One row per CSV file below ``root``: identity, header, data rows, size and checksum.
+
+    Spark lists the files without opening them; each is then read once, as a
+    stream, by the task that gets it, so that a file of any size takes a few MiB.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path", F.col("length").alias("size_bytes"))
     prefix = os.path.realpath(root)
     rel = F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(prefix) + 2})")
-    files = files.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("body"))
-    files = files.where("relative_path <> 'manifest.csv'")
+    files = files.withColumn("relative_path", rel).where("relative_path <> 'manifest.csv'")
+    found = files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri")).repartition(F.col("uri")).mapInArrow(_described, "path string, rows long, columns string, sha256 string")
     parts = F.split("relative_path", "/")
-    # a record ends at a line break outside quotes: quoted stretches are dropped before lines are counted
-    lines = F.filter(F.split(F.regexp_replace("body", r'"[^"]*"', "q"), r"\r?\n"), lambda x: x != "")
-    header = F.split(F.regexp_replace(F.element_at(F.split("body", r"\r?\n"), 1), '"', ""), ",")
     stem = F.regexp_replace("relative_path", r"\.csv$", "")
     ident = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, "[^0-9A-Za-z]", "_"), "_+", "_"), "^_|_$", ""))
-    return files.select(
-        F.element_at(parts, 1).alias("dataset"), F.when(F.size(parts) > 2, F.element_at(parts, 2)).otherwise("root").alias("collection"), ident.alias("file_id"), "relative_path",
-        F.greatest(F.size(lines) - 1, F.lit(0)).cast("long").alias("rows"), F.array_join(header, "|").alias("columns"), "size_bytes", "sha256",
-    ).orderBy("relative_path")
+    joined = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")).join(found, "path")
+    return joined.select(F.element_at(parts, 1).alias("dataset"), F.when(F.size(parts) > 2, F.element_at(parts, 2)).otherwise("root").alias("collection"), ident.alias("file_id"), "relative_path", "rows", "columns", "size_bytes", "sha256").orderBy("relative_path")
 
 
 def write_manifest(spark: SparkSession, root: str) -> int:
