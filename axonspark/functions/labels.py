@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The regions, the classes with the patterns that mark them in upper-cased names (first match wins), and the patterns of glomeruli, hemispheres and sides.
+from axonspark.functions.text import flagged, flags
+
+# The regions, the classes with the patterns that mark them in upper-cased names (first match wins), and the patterns of glomeruli and sides.
 REGIONS = ("AL", "LH", "MB")
+SIDES = ("", "L", "R")
 CLASSES = (("ORN", "ORN"), ("PN", "PN|PROJECTION NEURON"), ("LN", "LN|LOCAL"), ("KC", "^KC|KENYON"), ("MBON", "MBON"), ("APL", "APL"), ("DAN", "DAN|PAM|PPL"))
 GLOMERULUS = (("ORN_([^_;, ]+)", 1), ("(^|[ ;,])([^_;, ]+)_ORN", 2), ("(^|[ ;,])([^_;, ]+)_[lvm]?PN", 2), ("PN_([^_;, ]+)", 1))
-HEMISPHERE = r"(?s)\({0}\)|.{0}\z|.{0}."
 SIDE = ("(^|[ ;,])[^ ;,]*(_|-){0}($|[ ;,])", "(^|[ ;,]){0}($|[ ;,])")
 
 
@@ -23,9 +25,22 @@ def region(roi: Column) -> Column:
 
 
 def hemisphere(roi: Column) -> Column:
-    """R before L. Any R or L counts that is in brackets, ends a name or is inside one."""
+    """R before L. Any R or L counts that is in brackets, ends a name or is inside one: that is any but the first letter."""
     up = F.upper(roi)
-    return F.when(up.rlike(HEMISPHERE.format("R")), "R").when(up.rlike(HEMISPHERE.format("L")), "L").otherwise("")
+    return F.when(F.locate("R", up, 2) > 0, "R").when(F.locate("L", up, 2) > 0, "L").otherwise("")
+
+
+def traits(region: Column, hemisphere: Column) -> Column:
+    """Region and hemisphere as one number with a bit for each; ``bit_or`` of it is the set of both."""
+    return flags(region, REGIONS).bitwiseOR(flags(hemisphere, SIDES, len(REGIONS)))
+
+
+def regions(bits: Column) -> Column:
+    return flagged(bits, REGIONS)
+
+
+def hemispheres(bits: Column) -> Column:
+    return flagged(bits, SIDES, len(REGIONS))
 
 
 def cell_class(name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,17 +22,27 @@ def ilike(name: str, pattern: str) -> Column:
     return F.expr(f"`{name}` ILIKE '{quoted}' ESCAPE '\\u0001'")
 
 
-def distinct_list(c: Column, separator: str = ",") -> Column:
-    """Sorted distinct values in one string; null only if there is no value. Empty strings take part."""
-    return F.when(F.count(c) > 0, F.array_join(F.array_sort(F.collect_set(c)), separator))
-
-
 def listed(values: Column, separator: str = ",") -> Column:
-    """``distinct_list`` of the values of an array."""
+    """The sorted distinct values of an array in one string; null only if there is no value. Empty strings take part."""
     some = F.filter(values, lambda x: x.isNotNull())
     return F.when(F.size(some) > 0, F.array_join(F.array_sort(F.array_distinct(some)), separator))
 
 
+def flags(c: Column, values: Sequence[str], low: int = 0) -> Column:
+    """A number with one bit, from ``low`` on, for the place of the text in ``values``; 0 for others. ``bit_or`` of it is a set."""
+    out = F
+    for k, v in enumerate(values, low):
+        out = out.when(c == v, F.lit(1 << k).cast("long"))
+    return out.otherwise(F.lit(0).cast("long"))
+
+
+def flagged(bits: Column, values: Sequence[str], low: int = 0, separator: str = ",") -> Column:
+    """The values in a set of ``flags``, joined; null for the empty set."""
+    some = [F.when(bits.bitwiseAND(F.lit(1 << k).cast("long")) != 0, v) for k, v in enumerate(values, low)]
+    mask = sum(1 << k for k in range(low, low + len(values)))
+    return F.when(bits.bitwiseAND(F.lit(mask).cast("long")) != 0, F.concat_ws(separator, *some))
+
+
 def whole(c: Column) -> Column:
     """Cast to long the way SQL engines with round-half-even casts do; text goes by way of double."""
     return F.bround(c.cast("double"), 0).cast("long")

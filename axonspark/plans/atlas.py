@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonspark.functions import labels as L
-from axonspark.functions.text import distinct_list, listed, whole
+from axonspark.functions.text import flagged, flags, listed, whole
 from axonspark.operators.edges import identifier
 
 
@@ -72,7 +72,10 @@ def neurons(members: DataFrame) -> DataFrame:
     ``members`` is the membership table where that has been written, else the
     edges' ends, which saves a shuffle.
     """
-    out = members.groupBy("dataset", "body_id").agg(distinct_list(F.col("region")).alias("regions"), distinct_list(F.col("hemisphere")).alias("hemispheres"), *[F.sum(c).alias(c) for c in ("input_synapses", "output_synapses", "total_synapses")])
+    bits = F.bit_or(L.traits(F.col("region"), F.col("hemisphere"))).alias("bits")
+    sums = ("input_synapses", "output_synapses", "total_synapses")
+    out = members.groupBy("dataset", "body_id").agg(bits, *[F.sum(c).alias(c) for c in sums])
+    out = out.select("dataset", "body_id", L.regions(F.col("bits")).alias("regions"), L.hemispheres(F.col("bits")).alias("hemispheres"), *sums)
     empty = [F.lit("").alias(c) for c in ("primary_name", "instance", "cell_class", "glomerulus", "side", "aliases")]
     none = [x for k in (1, 2, 3) for x in (F.lit("").alias(f"top{k}_nt"), F.lit(None).cast("double").alias(f"top{k}_probability"))]
     return out.select("*", *empty, *none)
@@ -129,12 +132,31 @@ def annotate(base: DataFrame, **sources: DataFrame | None) -> DataFrame:
     return joined.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in names else F.col(c) for c in NEURON_COLUMNS])
 
 
+#: Neuropils and source tables are sets of bits, in words of so many, up to so many words; more of them are sets of texts.
+WORD, WORDS = 48, 8
+
+
 def edges_total(edges: DataFrame) -> DataFrame:
-    """One row a pair of neurons; all its lists come from one set."""
-    names = ("neuropil", "region", "hemisphere", "source_table")
-    out = edges.groupBy("dataset", "pre_id", "post_id").agg(F.collect_set(F.struct(*names)).alias("set"), F.sum("synapses").alias("synapses"))
-    lists = {f"{c}s": listed(F.col(f"set.{c}")) for c in names}
-    return out.select("dataset", "pre_id", "post_id", *[lists[f"{c}s"].alias(f"{c}s") for c in names[:3]], "synapses", lists["source_tables"].alias("source_tables"))
+    """One row a pair of neurons.
+
+    The names of neuropils are few: they are looked up once, and a pair's lists
+    are then numbers with a bit a name, which aggregate by hash as sums do.
+    """
+    keys = ("dataset", "pre_id", "post_id")
+    known = edges.select("neuropil", "source_table").distinct().limit(WORD * WORDS + 1).collect()
+    neuropils, sources = (sorted({r[c] for r in known if r[c] is not None}) for c in ("neuropil", "source_table"))
+    total = F.sum("synapses").alias("synapses")
+    if len(known) > WORD * WORDS or len(sources) > WORD:
+        out = edges.groupBy(*keys).agg(F.collect_set("neuropil").alias("n"), F.collect_set("source_table").alias("s"), F.bit_or(L.traits(F.col("region"), F.col("hemisphere"))).alias("bits"), total)
+        n, s = listed(F.col("n")), listed(F.col("s"))
+    else:
+        words = [neuropils[k : k + WORD] for k in range(0, len(neuropils), WORD)]
+        made = [F.bit_or(flags(F.col("neuropil"), w)).alias(f"w{k}") for k, w in enumerate(words)]
+        bits = L.traits(F.col("region"), F.col("hemisphere"))
+        out = edges.groupBy(*keys).agg(*made, F.bit_or(flags(F.col("source_table"), sources)).alias("s"), F.bit_or(bits).alias("bits"), total)
+        n = F.nullif(F.concat_ws(",", *[flagged(F.col(f"w{k}"), w) for k, w in enumerate(words)]), F.lit(""))
+        s = flagged(F.col("s"), sources)
+    return out.select(*keys, n.alias("neuropils"), L.regions(F.col("bits")).alias("regions"), L.hemispheres(F.col("bits")).alias("hemispheres"), "synapses", s.alias("source_tables"))
 
 
 def provenance(raw: dict[str, DataFrame], edges: DataFrame, store: str = "") -> DataFrame:

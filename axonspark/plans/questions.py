@@ -60,16 +60,28 @@ def receptor_inputs(edges: DataFrame, neurons: DataFrame, dataset: str | None =
 
     ``neurons`` is the derived table or, since an edge proves that its neurons
     are there, the ``labels`` alone, which saves the rollup of all edges.
-    Filters on the dataset and the two classes reach both scans. Which side of a
-    join is small is left to the optimizer, which knows the sizes.
+    Both ends of an edge join one relation of receptor and projection neurons,
+    the same columns by the same key, so that it is planned, and sent or
+    shuffled, once. Conditions on one end are therefore tied to the edge's
+    dataset: else they would move below the joins and make them differ. What
+    tells receptor neurons that matter from others is known before the joins:
+    of a glomerulus, edges with neither end in it go after the second.
     """
-    e = edges.where(F.col("dataset") == dataset) if dataset else edges
-    orn = neurons.where("cell_class = 'ORN'").select("dataset", F.col("body_id").alias("pre_id"), F.col("glomerulus").alias("orn_glomerulus"), F.col("side").alias("own_side"))
-    pn = neurons.where("cell_class = 'PN'")
-    if pn_type:
-        pn = pn.where((F.col("primary_name") == pn_type) | (F.col("instance") == pn_type) | ilike("aliases", f"%{pn_type}%"))
-    pn = pn.select("dataset", F.col("body_id").alias("post_id"), F.col("primary_name").alias("pn_name"), "glomerulus", F.col("side").alias("pn_side"))
-    joined = e.select("dataset", "pre_id", "post_id", "hemisphere", "synapses").join(orn, ["dataset", "pre_id"]).join(pn, ["dataset", "post_id"])
+    cells = neurons.where(F.col("cell_class").isin("ORN", "PN"))
+    e = edges.select("dataset", "pre_id", "post_id", "hemisphere", "synapses")
+    if dataset:
+        e, cells = e.where(F.col("dataset") == dataset), cells.where(F.col("dataset") == dataset)
+    wanted = (F.col("primary_name") == pn_type) | (F.col("instance") == pn_type) | ilike("aliases", f"%{pn_type}%") if pn_type else F.lit(True)
+    known = F.array("cell_class", "glomerulus", "side", "primary_name", F.coalesce(wanted, F.lit(False)).cast("string")).alias("known")
+    cells = cells.select(F.col("dataset").alias("of"), "body_id", known)
+    ends = [cells.withColumnsRenamed({"of": f"{x}_of", "body_id": f"{x}_body", "known": x}) for x in ("orn", "pn")]
+    tied = lambda c, value: F.concat_ws("/", "dataset", c) == F.concat_ws("/", "dataset", F.lit(value))
+    at = lambda end, k: F.col(end)[("cell_class", "glomerulus", "side", "primary_name", "wanted").index(k)]
+    for end, key, kind in zip(ends, ("pre_id", "post_id"), ("ORN", "PN"), strict=True):
+        x = end.columns[2]
+        on = (F.col("dataset") == F.col(f"{x}_of")) & (F.col(key) == F.col(f"{x}_body")) & tied(at(x, "cell_class"), kind)
+        e = e.join(end, on & tied(at(x, "wanted"), "true") if x == "pn" and pn_type else on).drop(f"{x}_of", f"{x}_body")
+    joined = e.select("dataset", "pre_id", "post_id", "hemisphere", "synapses", at("orn", "glomerulus").alias("orn_glomerulus"), at("orn", "side").alias("own_side"), at("pn", "primary_name").alias("pn_name"), at("pn", "glomerulus").alias("glomerulus"), at("pn", "side").alias("pn_side"))
     if glomerulus:
         joined = joined.where((F.col("orn_glomerulus") == glomerulus) | (F.col("glomerulus") == glomerulus))
     keys = ["dataset", F.col("post_id").alias("pn_id"), "pn_name", "glomerulus"]
