@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from axonspark.operators import edges, live, plotdata, predicates, search, sink
 from axonspark.operators.aggregate import aggregate
 from axonspark.plans import atlas, questions
-from axonspark.session import load_env, session
-from axonspark.sources import bulk, catalog
+from axonspark.session import load_env, session, setting
+from axonspark.sources import bulk, catalog, services
 
 DATASETS = ("hemibrain", "flywire", "comparison")
 
@@ -79,8 +79,36 @@ def cmd_plot(args: argparse.Namespace, spark: SparkSession) -> int:
     return _out(args, made)
 
 
+def _served(args: argparse.Namespace, spark: SparkSession, action: str) -> DataFrame | None:
+    """The answer of a live service, if the environment has a token for it."""
+    ids = predicates.parse_ids
+    if action in ("neurons", "connections", "cypher"):
+        if not setting(*services.GRAPH_TOKENS):
+            return None
+        if action == "neurons":
+            contains = {k: v for k, v in (("type_contains", args.type_contains), ("instance_contains", args.instance_contains)) if v}
+            return live.neurons(services.graph(spark, **contains), ids(args.body_id), limit=args.limit)
+        if action == "connections":
+            return live.hops(services.graph(spark, "connections"), ids(args.upstream_body_id), ids(args.downstream_body_id), args.min_weight, args.limit)
+        return services.graph(spark, query=services.limited(args.query, args.limit))
+    if not setting(*services.TABLE_TOKENS):
+        return None
+    if action == "tables":
+        return spark.createDataFrame([(n,) for n in services.table_names()], "table string")
+    options = {} if args.materialization_version is None else {"version": str(args.materialization_version)}
+    if action == "synapses":
+        df = services.table(spark, live.SYNAPSES, columns=",".join(live.SYNAPSE_COLUMNS), limit=str(args.limit), **options)
+        return predicates.member(df, None, live.synapse_filters(ids(args.pre_root_id), ids(args.post_root_id)), list(live.SYNAPSE_COLUMNS), args.limit)
+    exact = {c: predicates.parse_scalar(v) for c, v in predicates.parse_filters(args.where)}
+    return predicates.member(services.table(spark, args.table, limit=str(args.limit), **options), exact, predicates.parse_memberships(args.within), predicates.split_list(args.select), args.limit)
+
+
 def _live(args: argparse.Namespace, spark: SparkSession, action: str) -> DataFrame:
+    """From the service, or, without a token for it, from the session's tables."""
     ids = predicates.parse_ids
+    served = _served(args, spark, action)
+    if served is not None:
+        return served
     if action == "neurons":
         return live.neurons(spark.table(atlas.INSTANCE_TABLES[1]), ids(args.body_id), args.type_contains, args.instance_contains, args.limit)
     if action == "connections":
@@ -148,6 +176,8 @@ def cmd_olfaction(args: argparse.Namespace, spark: SparkSession) -> int:
     if a == "build":
         return _out(args, rows=atlas.build_tables(spark, tuple(args.dataset or ("hemibrain", "flywire")), not args.keep_existing, args.prefix))
     if a == "cache-annotations":
+        if not spark.catalog.tableExists(f"{edges.identifier(args.prefix)}_neurons"):
+            atlas.build_tables(spark, prefix=args.prefix)
         cells = t("neurons")
         made = []
         for source, target, column in ((args.instances, atlas.INSTANCE_TABLES[0], "bodyId"), (args.hierarchy, atlas.HIERARCHY_TABLE, "pt_root_id"), (args.tags, atlas.TAG_TABLE, "pt_root_id")):
