@@ -18,9 +18,12 @@ DATASETS = ("hemibrain", "flywire", "comparison")
 
 
 def _out(args: argparse.Namespace, df: DataFrame | None = None, rows: list[dict] | None = None, columns: list[str] | None = None) -> int:
-    if df is not None:
-        rows, columns = sink.rows_of(df), columns or df.columns
-    sys.stdout.write(sink.render(rows or [], columns if rows or args.command in ("files", "schema", "head", "query", "aggregate", "ln", "partners") else None, args.format))
+    always = args.command in ("files", "schema", "head", "query", "aggregate", "ln", "partners")
+    if df is None:
+        sys.stdout.write(sink.render(rows or [], columns if rows or always else None, args.format))
+        return 0
+    for piece in sink.stream(df, columns or (df.columns if always else None), args.format):
+        sys.stdout.write(piece)
     return 0
 
 
@@ -130,7 +133,7 @@ def cmd_live(args: argparse.Namespace, spark: SparkSession) -> int:
 
 def cmd_offline(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.offline_action == "list":
-        return _out(args, rows=[{k: str(x.get(k, "")) for k in ("dataset", "action", "key", "rows", "created_at", "path")} for x in sink.cached(args.cache_dir)])
+        return _out(args, rows=[{k: str(x.get(k, "")) for k in ("dataset", "action", "key", "rows", "created_at", "path")} for x in sink.cached(spark, args.cache_dir)])
     skip = ("func", "command", "format", "cache_dir", "refresh", "offline_only", "data_dir", "env_file", "offline_action", "action", "dataset", "warehouse")
     query = sink.payload({k: v for k, v in vars(args).items() if k not in skip})
     df, where = sink.get_or_fetch(spark, args.cache_dir, args.dataset, args.action, query, lambda: _live(args, spark, args.action), args.refresh, args.offline_only)
@@ -171,12 +174,12 @@ def cmd_bulk(args: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def cmd_olfaction(args: argparse.Namespace, spark: SparkSession) -> int:
-    t = lambda name: spark.table(f"{edges.identifier(args.prefix)}_{name}")
+    t = lambda name: atlas.open_table(spark, name, args.prefix)
     a = args.action
     if a == "build":
         return _out(args, rows=atlas.build_tables(spark, tuple(args.dataset or ("hemibrain", "flywire")), not args.keep_existing, args.prefix))
     if a == "cache-annotations":
-        if not spark.catalog.tableExists(f"{edges.identifier(args.prefix)}_neurons"):
+        if not atlas.published(spark, args.prefix) and not spark.catalog.tableExists(f"{edges.identifier(args.prefix)}_neurons"):
             atlas.build_tables(spark, prefix=args.prefix)
         cells = t("neurons")
         made = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +58,47 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     return counted.select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"), "count").orderBy("bin")
 
 
+#: Rank error of a quantile sketch, in parts of a group's rows.
+SKETCH = 10_000
+QUARTERS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """``by``, count, low, high and exact quantiles, interpolated between neighbours, of every group; values aren't null.
+
+    A sketch of each group, of bounded size, gives two values that a quantile is
+    certain to lie between. Rows below them are counted, and only the values
+    between them, a few thousandths of the group, are counted one by one; both
+    add up inside tasks before anything moves.
+    """
+    v = df.select(F.col(by).alias("g"), F.col(value).alias("v"))
+    names = list(wanted)
+    off = 3 / SKETCH
+    parts = [min(max(q + d, 0.0), 1.0) for q in wanted.values() for d in (-off, off)]
+    known = v.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", parts, SKETCH).alias("cuts"))
+    few = F.col("n") < 3 * SKETCH  # where the sketch may be off by more than a part, all values count
+    bounds = [F.when(few, F.col("low")).otherwise(F.col("cuts")[2 * k]).alias(f"lo{k}") for k in range(len(names))] + [F.when(few, F.col("high")).otherwise(F.col("cuts")[2 * k + 1]).alias(f"hi{k}") for k in range(len(names))]
+    known = known.select(F.col("g").alias("kg"), "n", "low", "high", *bounds)
+    edges = [c for k in range(len(names)) for c in (f"lo{k}", f"hi{k}")]
+    rows = v.join(known.select("kg", *edges), F.col("g").eqNullSafe(F.col("kg"))).select("g", "v", *edges)
+    # every value between the bounds by itself; those between stretches as one number
+    near = reduce(lambda a, b: a | b, [F.col("v").between(F.col(f"lo{k}"), F.col(f"hi{k}")) for k in range(len(names))])
+    stretch = sum((F.col("v") > F.col(f"hi{k}")).cast("int") for k in range(len(names)))
+    counted = rows.groupBy("g", stretch.alias("s"), F.when(near, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("g").orderBy("s", F.col("v").asc_nulls_first())
+    ranked = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = ranked.join(known.select("kg", "n", "low", "high"), F.col("g").eqNullSafe(F.col("kg")))
+    at = {m: F.lit(q) * (F.col("n") - 1) for m, q in wanted.items()}
+    pick = lambda rank: F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("v")))
+    found = ranked.groupBy("g", "n", "low", "high").agg(*[x for m in names for x in (pick(F.floor(at[m])).alias(f"{m}_a"), pick(F.ceil(at[m])).alias(f"{m}_b"))])
+    between = lambda m: F.when(F.floor(at[m]) == F.ceil(at[m]), F.col(f"{m}_a")).otherwise((F.ceil(at[m]) - at[m]) * F.col(f"{m}_a") + (at[m] - F.floor(at[m])) * F.col(f"{m}_b"))
+    return found.select(F.col("g").alias(by), F.col("n").alias("count"), "low", "high", *[between(m).alias(m) for m in names])
+
+
 def violins(df: DataFrame, x: str, y: str) -> DataFrame:
     """Per group: count, extremes, quartiles and median."""
     require(x=x, y=y)
-    v = number(cell(df, y))
-    q = [F.percentile(v, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return df.groupBy(cell(df, x).alias("group")).agg(F.count("*").alias("count"), F.min(v).alias("low"), F.max(v).alias("high"), *q).orderBy("group")
+    return quantiles(df.select(cell(df, x).alias("group"), number(cell(df, y)).alias("value")), "group", "value", QUARTERS).orderBy("group")
 
 
 def bubbles(df: DataFrame, x: str, y: str, size: str, color: str | None = None) -> DataFrame:

@@ -42,12 +42,30 @@ def ranked_tables(catalog: Catalog, dataset: str | None = None) -> list[tuple[in
 
 
 def find_local_neurons(catalog: Catalog, needle: str, dataset: str | None = None, limit: int | None = 200) -> DataFrame | None:
-    """``local_neurons`` over all tables of the families; None if there is no such table."""
+    """``local_neurons`` over all tables of the families; None if there is no such table.
+
+    With a limit the families are asked in order, each for as many rows as are
+    still wanted; once there are enough, later ones aren't opened.
+    """
     ranked = ranked_tables(catalog, dataset)
     if not ranked:
         return None
+    if limit is None:
+        return local_neurons(_family(catalog, ranked), needle, None)
+    wanted, found = max(limit, 1), []
+    for rank in sorted({k for k, _ in ranked}):
+        df = local_neurons(_family(catalog, [x for x in ranked if x[0] == rank]), needle, wanted)
+        rows = df.collect()  # no more than are wanted
+        found.append(catalog.spark.createDataFrame(rows, df.schema))
+        wanted -= len(rows)
+        if wanted <= 0:
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def _family(catalog: Catalog, ranked: list[tuple[int, Table]]) -> DataFrame:
     ranks = catalog.spark.createDataFrame([(t.relative_path, k) for k, t in ranked], "_file string, _rank int")
-    return local_neurons(catalog.open(*[t for _, t in ranked]).join(F.broadcast(ranks), "_file"), needle, limit)
+    return catalog.open(*[t for _, t in ranked]).join(F.broadcast(ranks), "_file")
 
 
 def compare(df: DataFrame, needle: str) -> DataFrame:

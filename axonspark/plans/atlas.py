@@ -6,6 +6,7 @@ aggregated to one row an id and joined once, so no join multiplies rows.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from axonspark.functions import labels as L
 from axonspark.functions.text import flagged, flags, listed, whole
 from axonspark.operators.edges import identifier
+from axonspark.sources import store
 
 
 @dataclass(frozen=True)
@@ -184,20 +186,62 @@ INSTANCE_TABLES = ("hemibrain_olfaction_neuron_annotations", "hemibrain_traced_n
 HIERARCHY_TABLE, TAG_TABLE = "flywire_hierarchical_neuron_annotations", "flywire_neuron_information_v2"
 
 
+def _pointer(spark: SparkSession, prefix: str) -> str:
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{prefix}_atlas.current"
+
+
+def published(spark: SparkSession, prefix: str = "olf") -> str | None:
+    """The version of the atlas that readers see."""
+    return store.read_text(spark, _pointer(spark, identifier(prefix)))
+
+
+def open_table(spark: SparkSession, table: str, prefix: str = "olf") -> DataFrame:
+    """A derived table of the published version."""
+    prefix = identifier(prefix)
+    version = published(spark, prefix)
+    return spark.table(f"{prefix}_{table}__{version}" if version else f"{prefix}_{table}")
+
+
+def _publish(spark: SparkSession, prefix: str, version: str) -> None:
+    """Makes a version whose tables are all written the one that readers see: the pointer turns in one step, the plain names follow."""
+    store.write_text(spark, _pointer(spark, prefix), version)
+    _name(spark, prefix, version)
+
+
+def _name(spark: SparkSession, prefix: str, version: str) -> None:
+    """The plain names as views of a version."""
+    for t in TABLES:
+        name = f"{prefix}_{t}"
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType not in ("VIEW", "TEMPORARY"):
+            spark.sql(f"DROP TABLE `{name}`")
+        spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM `{name}__{version}`")
+
+
+def _sweep(spark: SparkSession, prefix: str, *kept: str | None) -> None:
+    """Drops the tables of all versions but ``kept``, those of builds that broke off too."""
+    for found in spark.catalog.listTables():
+        stem, mark, version = found.name.rpartition("__")
+        if mark and version not in kept and stem in {f"{prefix}_{t}" for t in TABLES}:
+            spark.sql(f"DROP TABLE IF EXISTS `{found.name}`")
+
+
 def build_tables(spark: SparkSession, datasets: tuple[str, ...] = ("hemibrain", "flywire"), replace: bool = True, prefix: str = "olf") -> list[dict[str, str]]:
     """Writes the derived tables of the session's catalog; returns a row per source, then per table.
 
     Edges and neurons are written first and read back by what depends on them,
     partitioned by dataset and sorted in each file by what questions filter on,
     so that their statistics skip row groups. A rebuild holds only the chosen
-    datasets.
+    datasets. All tables of a build belong to one version, which readers see
+    once the last is written: a build that breaks off leaves the old atlas whole.
     """
     prefix = identifier(prefix)
-    name = lambda t: f"{prefix}_{t}"
     have = spark.catalog.tableExists
     rows, raw = [], {}
-    if have(name("neurons")) and not replace:
-        return [{"dataset": "all", "table": name(t), "rows": str(spark.table(name(t)).count()), "status": "built"} for t in TABLES if have(name(t))]
+    old = published(spark, prefix)
+    if old and have(f"{prefix}_neurons__{old}"):
+        _name(spark, prefix, old)  # the last build may have ended between the pointer and the names
+    if (old or have(f"{prefix}_neurons")) and not replace:
+        return [{"dataset": "all", "table": f"{prefix}_{t}", "rows": str(open_table(spark, t, prefix).count()), "status": "built"} for t in TABLES if old or have(f"{prefix}_{t}")]
     for s in SPECS:
         if s.dataset in datasets and have(s.table):
             raw[s.dataset] = spark.table(s.table)
@@ -207,10 +251,14 @@ def build_tables(spark: SparkSession, datasets: tuple[str, ...] = ("hemibrain",
             rows.append({"dataset": s.dataset, "table": s.table, "rows": "0", "status": "missing"})
     if not raw:
         return rows
+    version = uuid.uuid4().hex[:12]
+    name = lambda t: f"{prefix}_{t}__{version}"
+    _sweep(spark, prefix, old)
 
     def write(t: str, df: DataFrame) -> DataFrame:
-        w = df.sortWithinPartitions("dataset", *ORDER[t]).write.mode("overwrite").format("parquet") if t in ORDER else df.write.mode("overwrite").format("parquet")
+        w = df.sortWithinPartitions("dataset", *ORDER[t]).write.format("parquet") if t in ORDER else df.write.format("parquet")
         (w.partitionBy("dataset") if "dataset" in df.columns and t != "provenance" else w).saveAsTable(name(t))
+        spark.sql(f"ANALYZE TABLE `{name(t)}` COMPUTE STATISTICS")
         return spark.table(name(t)).select(*df.columns)
 
     edges = write("edges_by_neuropil", reduce(DataFrame.unionByName, [edges_by_neuropil(raw[s.dataset], s) for s in SPECS if s.dataset in raw]))
@@ -219,12 +267,10 @@ def build_tables(spark: SparkSession, datasets: tuple[str, ...] = ("hemibrain",
     write("annotations", cells.select(*ANNOTATION_COLUMNS))
     write("edges_total", edges_total(edges))
     write("provenance", provenance(raw, edges))
+    _publish(spark, prefix, version)
     kept = {r["dataset"]: r["n"] for r in edges.groupBy("dataset").agg(F.count("*").alias("n")).collect()}
     rows = [{"dataset": s.dataset, "table": s.table, "rows": str(kept.get(s.dataset, 0)) if s.dataset in raw else "0", "status": "imported" if s.dataset in raw else "missing"} for s in SPECS if s.dataset in datasets]
-    for t in TABLES:
-        spark.sql(f"ANALYZE TABLE `{name(t)}` COMPUTE STATISTICS")
-        rows.append({"dataset": "all", "table": name(t), "rows": str(spark.table(name(t)).count()), "status": "built"})
-    return rows
+    return rows + [{"dataset": "all", "table": f"{prefix}_{t}", "rows": str(spark.table(name(t)).count()), "status": "built"} for t in TABLES]
 
 
 def limit_annotations(source: DataFrame, id_column: str, cells: DataFrame) -> DataFrame:

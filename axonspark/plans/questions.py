@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from axonspark.functions import labels as L
 from axonspark.functions.text import ilike
 from axonspark.operators.edges import identifier
-from axonspark.plans.atlas import TABLES
+from axonspark.plans.atlas import TABLES, open_table, published
 
 NEURON_LIST = (
     "dataset", "body_id", "primary_name", "instance", "cell_class", "glomerulus", "side", "regions", "hemispheres", "input_synapses", "output_synapses", "total_synapses", "aliases",
@@ -55,33 +55,45 @@ def edge_list(edges: DataFrame, dataset: str | None = None, region: str | None =
     return _first(out, [F.desc("synapses"), *[F.asc(c) for c in ("dataset", "pre_id", "post_id", "neuropil")]], limit)
 
 
-def receptor_inputs(edges: DataFrame, neurons: DataFrame, dataset: str | None = None, glomerulus: str | None = None, pn_type: str | None = None, by_side: bool = False, limit: int | None = 50) -> DataFrame:
-    """Receptor neurons onto projection neurons: how many, with how many synapses, and with ``by_side`` on which side.
+def _labelled_once(edges: DataFrame, neurons: DataFrame, wanted: Column, some: bool) -> DataFrame:
+    """``edges`` from receptor to ``wanted`` projection neurons with the labels of both ends.
 
-    ``neurons`` is the derived table or, since an edge proves that its neurons
-    are there, the ``labels`` alone, which saves the rollup of all edges.
-    Both ends of an edge join one relation of receptor and projection neurons,
-    the same columns by the same key, so that it is planned, and sent or
-    shuffled, once. Conditions on one end are therefore tied to the edge's
-    dataset: else they would move below the joins and make them differ. What
-    tells receptor neurons that matter from others is known before the joins:
-    of a glomerulus, edges with neither end in it go after the second.
+    Both joins take the same columns of one relation by the same key, so that it
+    is aggregated, and shuffled or sent, once. What is asked of one end alone is
+    tied to the edge's dataset: else it would move below its join and make the
+    two relations differ.
     """
+    names = ("cell_class", "glomerulus", "side", "primary_name")
     cells = neurons.where(F.col("cell_class").isin("ORN", "PN"))
-    e = edges.select("dataset", "pre_id", "post_id", "hemisphere", "synapses")
-    if dataset:
-        e, cells = e.where(F.col("dataset") == dataset), cells.where(F.col("dataset") == dataset)
-    wanted = (F.col("primary_name") == pn_type) | (F.col("instance") == pn_type) | ilike("aliases", f"%{pn_type}%") if pn_type else F.lit(True)
-    known = F.array("cell_class", "glomerulus", "side", "primary_name", F.coalesce(wanted, F.lit(False)).cast("string")).alias("known")
-    cells = cells.select(F.col("dataset").alias("of"), "body_id", known)
-    ends = [cells.withColumnsRenamed({"of": f"{x}_of", "body_id": f"{x}_body", "known": x}) for x in ("orn", "pn")]
+    cells = cells.select(F.col("dataset").alias("of"), "body_id", F.array(*names, F.coalesce(wanted, F.lit(False)).cast("string")).alias("known"))
     tied = lambda c, value: F.concat_ws("/", "dataset", c) == F.concat_ws("/", "dataset", F.lit(value))
-    at = lambda end, k: F.col(end)[("cell_class", "glomerulus", "side", "primary_name", "wanted").index(k)]
-    for end, key, kind in zip(ends, ("pre_id", "post_id"), ("ORN", "PN"), strict=True):
-        x = end.columns[2]
+    at = lambda end, k: F.col(end)[(*names, "wanted").index(k)]
+    e = edges
+    for x, key, kind in (("orn", "pre_id", "ORN"), ("pn", "post_id", "PN")):
+        end = cells.withColumnsRenamed({"of": f"{x}_of", "body_id": f"{x}_body", "known": x})
         on = (F.col("dataset") == F.col(f"{x}_of")) & (F.col(key) == F.col(f"{x}_body")) & tied(at(x, "cell_class"), kind)
-        e = e.join(end, on & tied(at(x, "wanted"), "true") if x == "pn" and pn_type else on).drop(f"{x}_of", f"{x}_body")
-    joined = e.select("dataset", "pre_id", "post_id", "hemisphere", "synapses", at("orn", "glomerulus").alias("orn_glomerulus"), at("orn", "side").alias("own_side"), at("pn", "primary_name").alias("pn_name"), at("pn", "glomerulus").alias("glomerulus"), at("pn", "side").alias("pn_side"))
+        e = e.join(end, on & tied(at(x, "wanted"), "true") if x == "pn" and some else on).drop(f"{x}_of", f"{x}_body")
+    labels = [at("orn", "glomerulus").alias("orn_glomerulus"), at("orn", "side").alias("own_side"), at("pn", "primary_name").alias("pn_name"), at("pn", "glomerulus").alias("glomerulus"), at("pn", "side").alias("pn_side")]
+    return e.select("dataset", "pre_id", "post_id", "hemisphere", "synapses", *labels)
+
+
+def receptor_inputs(edges: DataFrame, neurons: DataFrame, dataset: str | None = None, glomerulus: str | None = None, pn_type: str | None = None, by_side: bool = False, limit: int | None = 50, once: bool = False) -> DataFrame:
+    """Receptor neurons onto projection neurons: how many, with how many synapses, and with ``by_side`` on which side.
+
+    ``neurons`` is the derived table, whose scans take the filters on dataset
+    and class, or, since an edge proves that its neurons are there, the
+    ``labels`` alone, which saves the rollup of all edges. Labels have to be
+    aggregated, so with ``once`` both ends join one relation of them.
+    """
+    e = edges.where(F.col("dataset") == dataset) if dataset else edges
+    e = e.select("dataset", "pre_id", "post_id", "hemisphere", "synapses")
+    wanted = (F.col("primary_name") == pn_type) | (F.col("instance") == pn_type) | ilike("aliases", f"%{pn_type}%") if pn_type else F.lit(True)
+    if once:
+        joined = _labelled_once(e, neurons.where(F.col("dataset") == dataset) if dataset else neurons, wanted, bool(pn_type))
+    else:
+        orn = neurons.where("cell_class = 'ORN'").select("dataset", F.col("body_id").alias("pre_id"), F.col("glomerulus").alias("orn_glomerulus"), F.col("side").alias("own_side"))
+        pn = neurons.where("cell_class = 'PN'").where(wanted).select("dataset", F.col("body_id").alias("post_id"), F.col("primary_name").alias("pn_name"), "glomerulus", F.col("side").alias("pn_side"))
+        joined = e.join(orn, ["dataset", "pre_id"]).join(pn, ["dataset", "post_id"])
     if glomerulus:
         joined = joined.where((F.col("orn_glomerulus") == glomerulus) | (F.col("glomerulus") == glomerulus))
     keys = ["dataset", F.col("post_id").alias("pn_id"), "pn_name", "glomerulus"]
@@ -99,5 +111,6 @@ def receptor_inputs(edges: DataFrame, neurons: DataFrame, dataset: str | None =
 
 def table_counts(spark: SparkSession, prefix: str = "olf") -> list[tuple[str, int]]:
     """Rows of each derived table that exists."""
-    names = [f"{identifier(prefix)}_{t}" for t in TABLES]
-    return [(n, spark.table(n).count()) for n in names if spark.catalog.tableExists(n)]
+    prefix = identifier(prefix)
+    whole = published(spark, prefix)
+    return [(f"{prefix}_{t}", open_table(spark, t, prefix).count()) for t in TABLES if whole or spark.catalog.tableExists(f"{prefix}_{t}")]

@@ -216,17 +216,17 @@ _COUNTS = "e.dataset, p.body_id AS pn_id, p.primary_name AS pn_name, p.glomerulu
 
 @register(f"WITH {TAG_CTE} SELECT {_COUNTS} {_JOIN} AND (o.glomerulus = 'DM1' OR p.glomerulus = 'DM1') GROUP BY e.dataset, p.body_id, p.primary_name, p.glomerulus")
 def orn_inputs(s: SparkSession, d: str) -> DataFrame:
-    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), glomerulus="DM1", limit=None)
+    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), glomerulus="DM1", limit=None, once=True)
 
 
 @register(f"WITH {TAG_CTE} SELECT {_COUNTS}, p.side AS pn_side, {_SIDE} AS orn_side, {_RELATION} AS side_relation {_JOIN} GROUP BY e.dataset, p.body_id, p.primary_name, p.glomerulus, p.side, {_SIDE}, {_RELATION}")
 def orn_inputs_by_side(s: SparkSession, d: str) -> DataFrame:
-    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), by_side=True, limit=None)
+    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), by_side=True, limit=None, once=True)
 
 
 @register(f"WITH {TAG_CTE} SELECT {_COUNTS} {_JOIN} AND e.dataset = 'flywire' AND (p.primary_name = 'DM2_lPN' OR p.instance = 'DM2_lPN' OR p.aliases ILIKE '%DM2_lPN%') GROUP BY e.dataset, p.body_id, p.primary_name, p.glomerulus")
 def orn_inputs_pn_type(s: SparkSession, d: str) -> DataFrame:
-    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), dataset="flywire", pn_type="DM2_lPN", limit=None)
+    return questions.receptor_inputs(_edges(s, d), atlas.labels(**A.annotations(s, d)), dataset="flywire", pn_type="DM2_lPN", limit=None, once=True)
 
 
 # -- connection tables -----------------------------------------------------------------------------------------------

@@ -16,12 +16,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonspark.sources import csv_split
+from axonspark.sources import csv_split, store
 
 MANIFEST = ("dataset", "collection", "file_id", "relative_path", "rows", "columns", "size_bytes", "sha256")
 ENVIRONMENT = "AXONSPARK_DATA_DIR"
@@ -152,12 +151,12 @@ def open_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each file by its URI: checksum, first record and number of further ones, from steps of 1 MiB."""
+    """Of each file by its path: checksum, first record and number of further ones, from steps of 1 MiB."""
     for b in batches:
         for uri in b.column(0).to_pylist():
-            store, path = pafs.FileSystem.from_uri(uri)
+            where, path = store.native(uri)
             sha, first, held, records, inside, blank = hashlib.sha256(), [], b"", 0, False, True
-            with store.open_input_stream(path) as f:
+            with where.open_input_stream(path) as f:
                 while True:
                     step = f.read(1 << 20)
                     sha.update(step)
@@ -188,11 +187,11 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     prefix = os.path.realpath(root)
     rel = F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(prefix) + 2})")
     files = files.withColumn("relative_path", rel).where("relative_path <> 'manifest.csv'")
-    found = files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri")).repartition(F.col("uri")).mapInArrow(_described, "path string, rows long, columns string, sha256 string")
+    found = files.select("path").repartition("path").mapInArrow(_described, "path string, rows long, columns string, sha256 string")
     parts = F.split("relative_path", "/")
     stem = F.regexp_replace("relative_path", r"\.csv$", "")
     ident = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, "[^0-9A-Za-z]", "_"), "_+", "_"), "^_|_$", ""))
-    joined = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")).join(found, "path")
+    joined = files.join(found, "path")
     return joined.select(F.element_at(parts, 1).alias("dataset"), F.when(F.size(parts) > 2, F.element_at(parts, 2)).otherwise("root").alias("collection"), ident.alias("file_id"), "relative_path", "rows", "columns", "size_bytes", "sha256").orderBy("relative_path")
 
 

@@ -81,7 +81,7 @@ def test_views_and_layout(spark, connections):
     connections.write.mode("overwrite").saveAsTable("conn_t")
     assert edges.create_views(spark, "conn_t", "cv") == ["cv_edges", "cv_partners"]
     assert all_rows(spark.sql("SELECT sum(total_weight) FROM cv_partners WHERE body_id = 201 AND direction = 'input'")) == [(14,)]
-    done = edges.optimize(spark, "conn_t", buckets=4)
+    done = edges.optimize(spark, "conn_t", buckets=4, how="buckets")
     assert [x["action"] for x in done] == ["bucket", "bucket", "analyze", "analyze", "analyze"]
     plan = spark.table("conn_t_by_pre").groupBy("pre_pt_root_id").sum("n_synapses")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
@@ -236,7 +236,7 @@ def test_cache(spark, tmp_path):
     assert ask(offline_only=True) == (None, "miss")
     assert ask()[1] == "live" and ask()[1] == "cache" and len(calls) == 1
     (tmp_path / "bad.json").write_text("{")
-    assert [x["rows"] for x in sink.cached(str(tmp_path))] == [1]
+    assert [x["rows"] for x in sink.cached(spark, str(tmp_path))] == [1]
     assert len(sink.cache_key("a", "b", {})) == 20 and sink.payload({"a": None, "b": [], "c": 0, "d": "x"}) == {"c": 0, "d": "x"}
 
 
