@@ -6,14 +6,13 @@ written once.
 
 from __future__ import annotations
 
-import csv
-import os
 import re
-import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
+from axonspark.sources import csv_split, store
 from axonspark.sources.catalog import Catalog, write_manifest
 
 DATASET = "CASE WHEN l_returnflag = 'A' THEN 'hemibrain' ELSE 'flywire' END"
@@ -36,7 +35,7 @@ TAGS = "SELECT p_partkey AS pt_root_id, p_brand AS tag FROM part"
 
 
 COLUMNS = {
-    "lineitem": "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
 }
 
@@ -62,23 +61,42 @@ def annotations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"instances": load(spark, sf_dir, INSTANCES), "hierarchy": load(spark, sf_dir, HIERARCHY), "tags": load(spark, sf_dir, TAGS)}
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """A small catalog of CSV files made from ``nation``, whose rows don't grow: below the session's shared folder, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
-    root = os.path.join(shared.removeprefix("file://") if shared.startswith(("file:", "/")) else tempfile.gettempdir(), f"catalog-{uuid.uuid4().hex[:12]}")
-    rows = [(r.n_nationkey, r.n_name, r.n_regionkey) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
-    files: dict[str, list[tuple]] = {
-        "flywire/full_summary.csv": [("LN_type", "hemisphere"), *((n, "right" if k % 2 else "left") for k, n, _ in rows if k % 3 == 0)],
-        "flywire/flywire_ln_aliases.csv": [("bodyId", "comparison_name"), *((k, n) for k, n, _ in rows if k % 3 == 1)],
-        "comparison/shared_type_comparison.csv": [("comparison_name",), *((n,) for k, n, _ in rows if k % 3 == 2)],
-    }
-    for k, _, r in rows:
-        one = files.setdefault(f"hemibrain/ln_orn_by_glomerulus/lns_['x{r}'].csv", [("LN_instance", "LN_bodyid", "glomerulus", "n_inputs", "n_ipsi_inputs", "n_contra_inputs")])
-        one.append((f"x{r}", r, f"DM{k % 3}", k, k // 2, k - k // 2))
-    for name, body in files.items():
-        path = os.path.join(root, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", newline="", encoding="utf-8") as f:
-            csv.writer(f).writerows(body)
+#: Rows of the catalog's files, by the file they go to. Names hold a line break.
+CATALOG = {
+    "summary": "SELECT concat('flywire/full_summary_', CAST(p_partkey % 4 AS STRING), '.csv') AS file, p_partkey AS k, concat(p_name, chr(10), p_brand) AS LN_type, CASE WHEN p_size % 2 = 0 THEN 'left' ELSE 'right' END AS hemisphere FROM part WHERE p_partkey % 3 = 0",
+    "aliases": "SELECT concat('flywire/flywire_ln_aliases_', CAST(p_partkey % 4 AS STRING), '.csv') AS file, p_partkey AS k, p_partkey AS bodyId, concat(p_name, chr(10), p_brand) AS comparison_name FROM part WHERE p_partkey % 3 = 1",
+    "comparison": "SELECT concat('comparison/shared_type_comparison_', CAST(p_partkey % 4 AS STRING), '.csv') AS file, p_partkey AS k, concat(p_name, chr(10), p_brand) AS comparison_name FROM part WHERE p_partkey % 3 = 2",
+    "inputs": "SELECT concat('hemibrain/ln_orn_by_glomerulus/lns_[x', CAST(l_suppkey % 8 AS STRING), '].csv') AS file, l_partkey AS k, concat('x', CAST(l_suppkey % 8 AS STRING)) AS LN_instance, l_suppkey % 8 AS LN_bodyid, concat('DM', CAST(l_partkey % 3 AS STRING)) AS glomerulus, "
+    "CAST(l_quantity AS BIGINT) AS n_inputs, l_linenumber AS n_ipsi_inputs, CAST(l_quantity AS BIGINT) - l_linenumber AS n_contra_inputs FROM lineitem",
+}
+
+
+#: How files are written: quotes doubled, white space as it is.
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path below the session's shared folder, or its warehouse where none is set."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def through_csv(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a statement, written as CSV files and read again as an import reads them."""
+    path = shared(spark, "csv")
+    load(spark, sf_dir, sql).write.options(**CSV).csv(path)
+    return csv_split.read_csv(spark, path)
+
+
+def catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
+    """A catalog of CSV files that Spark writes from the tables (those of CATALOG called ``names``, or all), below the session's shared folder or its warehouse."""
+    root = shared(spark, "catalog")
+    for name in names or CATALOG:
+        part = f"{root}/.{name}"
+        rows = load(spark, sf_dir, CATALOG[name]).repartition("file").sortWithinPartitions("file", "k").drop("k")
+        rows.write.partitionBy("file").options(**CSV).csv(part)
+        for path in store.files(spark, part, ".csv"):
+            file = unquote(re.search(r"/file=([^/]*)/", path)[1])
+            store.move(spark, path, f"{root}/{file}")
+        store.delete(spark, part)
     write_manifest(spark, root)
     return Catalog(spark, root)

@@ -439,39 +439,65 @@ def bar_heights(s: SparkSession, d: str) -> DataFrame:
 # -- catalogs --------------------------------------------------------------------------------------------------------
 
 
-_FILES = "SELECT 'hemibrain' AS dataset, count(DISTINCT n_regionkey) AS tables FROM nation UNION ALL SELECT 'flywire', 2 UNION ALL SELECT 'comparison', 1"
+_FILES = " UNION ALL ".join(f"SELECT file FROM ({sql}) AS {name}" for name, sql in A.CATALOG.items())
 
 
-@register(_FILES)
+@register(f"SELECT split_part(file, '/', 1) AS dataset, count(DISTINCT file) AS tables FROM ({_FILES}) x GROUP BY 1")
 def manifest_counts(s: SparkSession, d: str) -> DataFrame:
     return A.catalog(s, d).datasets()
 
 
-@register("""SELECT concat('x', CAST(n_regionkey AS STRING)) AS "LN_instance", CAST(n_regionkey AS STRING) AS "LN_bodyid", concat('DM', CAST(n_nationkey % 3 AS STRING)) AS glomerulus, count(*) AS count,
-    CAST(sum(n_nationkey) AS DOUBLE) AS sum_n_inputs, CAST(sum(n_nationkey // 2) AS DOUBLE) AS sum_n_ipsi_inputs, CAST(sum(n_nationkey - n_nationkey // 2) AS DOUBLE) AS sum_n_contra_inputs FROM nation GROUP BY n_regionkey, n_nationkey % 3""")
+@register(f"""SELECT file AS relative_path, split_part(file, '/', 1) AS dataset, CASE WHEN file LIKE '%/%/%' THEN split_part(file, '/', 2) ELSE 'root' END AS collection,
+    trim(lower(regexp_replace(replace(file, '.csv', ''), '[^0-9A-Za-z]+', '_', 'g')), '_') AS file_id, count(*) AS rows FROM ({_FILES}) x GROUP BY file""")
+def manifest_files(s: SparkSession, d: str) -> DataFrame:
+    return A.catalog(s, d).frame().select("relative_path", "dataset", "collection", "file_id", "rows")
+
+
+@register(f"""SELECT LN_instance AS "LN_instance", CAST(LN_bodyid AS STRING) AS "LN_bodyid", glomerulus, count(*) AS count, CAST(sum(n_inputs) AS DOUBLE) AS sum_n_inputs,
+    CAST(sum(n_ipsi_inputs) AS DOUBLE) AS sum_n_ipsi_inputs, CAST(sum(n_contra_inputs) AS DOUBLE) AS sum_n_contra_inputs FROM ({A.CATALOG['inputs']}) x GROUP BY LN_instance, LN_bodyid, glomerulus""")
 def orn_file_summary(s: SparkSession, d: str) -> DataFrame:
-    return search.find_partners(A.catalog(s, d), "hemibrain", "lns_", "orn", None)
+    return search.find_partners(A.catalog(s, d, "inputs"), "hemibrain", "lns_", "orn", None)
 
 
-_FAMILY = """SELECT 0 AS rank, 'flywire_full_summary' AS file_id, n_nationkey AS k, n_name AS "LN_type", '' AS "bodyId", '' AS comparison_name, n_comment AS hemisphere FROM named WHERE n_nationkey % 3 = 0
-    UNION ALL SELECT 2, 'flywire_flywire_ln_aliases', n_nationkey, '', CAST(n_nationkey AS STRING), n_name, '' FROM named WHERE n_nationkey % 3 = 1
-    UNION ALL SELECT 6, 'comparison_shared_type_comparison', n_nationkey, '', '', n_name, '' FROM named WHERE n_nationkey % 3 = 2"""
+_FAMILY = f"""SELECT 0 AS rank, file, k, LN_type AS "LN_type", '' AS "bodyId", '' AS comparison_name, hemisphere FROM ({A.CATALOG['summary']}) a
+    UNION ALL SELECT 2, file, k, '', CAST(bodyId AS STRING), comparison_name, '' FROM ({A.CATALOG['aliases']}) b
+    UNION ALL SELECT 6, file, k, '', '', comparison_name, '' FROM ({A.CATALOG['comparison']}) c"""
 
 
-@register(f"""WITH named AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'left' ELSE 'right' END AS n_comment FROM nation), t AS ({_FAMILY}),
-    f AS (SELECT * FROM t WHERE contains(concat("LN_type", ' ', comparison_name, ' ', "bodyId"), '1') ORDER BY rank, file_id, k LIMIT 9)
-    SELECT CASE WHEN rank = 6 THEN 'comparison' ELSE 'flywire' END AS dataset, file_id, CASE WHEN rank = 0 THEN 'LN_type' ELSE 'comparison_name' END AS matched_column, CASE WHEN rank = 0 THEN "LN_type" ELSE comparison_name END AS matched_value,
+@register(f"""WITH t AS ({_FAMILY}), f AS (SELECT * FROM t WHERE contains(lower("LN_type"), 'd#11') OR contains(lower(comparison_name), 'd#11') OR contains("bodyId", 'd#11') ORDER BY rank, file, k LIMIT 40)
+    SELECT CASE WHEN rank = 6 THEN 'comparison' ELSE 'flywire' END AS dataset, replace(replace(file, '.csv', ''), '/', '_') AS file_id, CASE WHEN rank = 0 THEN 'LN_type' ELSE 'comparison_name' END AS matched_column, CASE WHEN rank = 0 THEN "LN_type" ELSE comparison_name END AS matched_value,
     "LN_type", '' AS "combined_LN_type", comparison_name, '' AS recommended_match_group, "bodyId", '' AS root_id, hemisphere, '' AS input_preference, '' AS top_nt, '' AS top_nt_conf FROM f""")
 def ln_families(s: SparkSession, d: str) -> DataFrame:
-    return search.find_local_neurons(A.catalog(s, d), "1", limit=9)
+    return search.find_local_neurons(A.catalog(s, d, "summary", "aliases", "comparison"), "D#11", limit=40)
+
 
+_SOURCES = " UNION ALL ".join("SELECT " + ", ".join(f"'{v}' AS {f.name}" for f, v in zip(fields(bulk.Release), astuple(r), strict=True)) for r in bulk.RELEASES)
 
-@register(" UNION ALL ".join("SELECT " + ", ".join(f"'{v}' AS {f.name}" for f, v in zip(fields(bulk.Release), astuple(r), strict=True)) for r in bulk.RELEASES))
+
+@register(f"WITH conn AS ({A.EDGES}) SELECT r.*, coalesce(n.rows, 0) AS connection_rows FROM ({_SOURCES}) r LEFT JOIN (SELECT dataset, count(*) AS rows FROM conn GROUP BY dataset) n ON r.dataset = n.dataset")
 def bulk_sources(s: SparkSession, d: str) -> DataFrame:
-    return bulk.releases(s)
+    counts = A.load(s, d, A.EDGES).groupBy("dataset").agg(F.count("*").alias("connection_rows"))
+    return bulk.releases(s).join(counts, "dataset", "left").withColumn("connection_rows", F.coalesce("connection_rows", F.lit(0).cast("long")))
+
 
+_ROLE_ROWS = "SELECT '{0}' AS pre, '{1}' AS post, '{2}' AS weight, '{3}' AS roi, count(*) AS rows, CAST(sum(weight) AS BIGINT) AS total FROM conn WHERE dataset = '{4}'"
 
-@register("SELECT 'bodyId_pre' AS pre, 'bodyId_post' AS post, 'weight' AS weight, 'roi' AS roi UNION ALL SELECT 'pre_pt_root_id', 'post_pt_root_id', 'syn_count', 'neuropil'")
+
+@register(f"WITH conn AS ({A.EDGES}) " + _ROLE_ROWS.format("bodyId_pre", "bodyId_post", "weight", "roi", "hemibrain") + " UNION ALL " + _ROLE_ROWS.format("pre_pt_root_id", "post_pt_root_id", "syn_count", "neuropil", "flywire"))
 def column_roles(s: SparkSession, d: str) -> DataFrame:
-    found = [ed.roles(df.columns) for df in A.raw(s, d).values()]
-    return s.createDataFrame([(r.pre, r.post, r.weight, r.roi) for r in found], "pre string, post string, weight string, roi string")
+    """What each connection table's columns are taken for, with what is found in them."""
+    out = []
+    for df in A.raw(s, d).values():
+        r = ed.roles(df.columns)
+        named = ed.edges(df).agg(F.count("*").alias("rows"), F.sum("weight").alias("total"))
+        out.append(named.select(*[F.lit(getattr(r, x)).alias(x) for x in ("pre", "post", "weight", "roi")], "rows", "total"))
+    return out[0].unionByName(out[1])
+
+
+_QUOTED = "SELECT l_orderkey AS id, l_linenumber AS n, concat('a \"b\", ', l_returnflag, chr(10), repeat(concat(l_linestatus, chr(10)), CAST(l_quantity AS INTEGER) % 5)) AS text FROM lineitem"
+
+
+@register(f"SELECT CAST(id AS BIGINT) AS id, CAST(n AS BIGINT) AS n, text FROM ({_QUOTED}) q")
+def import_quoted_csv(s: SparkSession, d: str) -> DataFrame:
+    """Fields with line breaks, written as CSV and read again by ranges."""
+    return A.through_csv(s, d, _QUOTED)

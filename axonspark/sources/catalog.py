@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,20 @@ def default_dir() -> str:
     return os.path.realpath(os.path.expanduser(os.environ.get(ENVIRONMENT) or "data"))
 
 
+#: What comes before the path in a URI.
+BEFORE_PATH = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def rooted(root: str) -> str:
+    """A folder as readers get it: URIs as they are, others as real local paths."""
+    return root.rstrip("/") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", root) else os.path.realpath(os.path.expanduser(root))
+
+
+def relative(path: Column, root: str) -> Column:
+    """The part of a (decoded) path below ``root``."""
+    return F.substring(F.regexp_replace(path, BEFORE_PATH, ""), len(re.sub(BEFORE_PATH, "", rooted(root))) + 2, 1 << 20)
+
+
 def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
@@ -64,15 +78,15 @@ def read_csv(spark: SparkSession, root: str, names: list[str], columns: list[str
     ``split`` reads a file by many tasks, also where quoted fields hold line
     breaks; else a file is a task.
     """
-    root = os.path.realpath(root)
-    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", os.path.join(root, n)) for n in names]
+    root = rooted(root)
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", store.joined(root, n)) for n in names]
     if split:
         got = csv_split.read_text(spark, paths, columns).withColumnsRenamed({"file": "_path", "number": "_ordinal"})
     else:
         df = spark.read.schema(text_schema(columns)).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
         got = df.csv(paths).select(F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_ordinal"), "*")
     decoded = F.try_url_decode(F.regexp_replace("_path", r"\+", "%2B"))
-    below = F.substring(F.regexp_replace(decoded, "^file:/+", "/"), len(root) + 2, 1 << 20)
+    below = relative(decoded, root)
     file = F.lit(names[0]) if len(names) == 1 else below
     return got.select(file.alias("_file"), "_ordinal", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
@@ -87,12 +101,12 @@ class Catalog:
     """The tables of a data directory."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, os.path.expanduser(root or default_dir())
-        path = os.path.join(self.root, "manifest.csv")
-        if not os.path.isfile(path):
+        self.spark, self.root = spark, rooted(root or default_dir())
+        path = store.joined(self.root, "manifest.csv")
+        text = store.read_text(spark, path)
+        if text is None:
             raise FileNotFoundError(path)
-        with open(path, newline="", encoding="utf-8") as f:
-            self.entries = [Table(**{**r, "rows": int(r["rows"]), "size_bytes": int(r["size_bytes"]), "columns": tuple(c for c in r["columns"].split("|") if c)}) for r in csv.DictReader(f)]
+        self.entries = [Table(**{**r, "rows": int(r["rows"]), "size_bytes": int(r["size_bytes"]), "columns": tuple(c for c in r["columns"].split("|") if c)}) for r in csv.DictReader(io.StringIO(text, newline=""))]
 
     def frame(self) -> DataFrame:
         """The manifest as a DataFrame."""
@@ -122,7 +136,7 @@ class Catalog:
         return found[0]
 
     def path(self, ref: str) -> str:
-        return os.path.realpath(os.path.join(self.root, self.resolve(ref).relative_path))
+        return store.joined(self.root, self.resolve(ref).relative_path)
 
     def schema(self, ref: str) -> list[tuple[int, str, str]]:
         t = self.resolve(ref)
@@ -144,10 +158,10 @@ class Catalog:
 
 def open_csv(spark: SparkSession, path: str) -> DataFrame:
     """Any one CSV file, all cells as text, in file order."""
-    path = os.path.expanduser(path)
-    with open(path, newline="", encoding="utf-8") as f:
-        columns = next(csv.reader(f))
-    return read_csv(spark, os.path.dirname(os.path.abspath(path)), [os.path.basename(path)], columns, os.path.getsize(path) > range_bytes(spark))
+    path = rooted(path)
+    root, _, name = path.rpartition("/")
+    columns = csv_split.header(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", path))
+    return read_csv(spark, root, [name], columns, store.size(spark, path) > range_bytes(spark))
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +197,8 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     Spark lists the files without opening them; each is then read once, as a
     stream, by the task that gets it, so that a file of any size takes a few MiB.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path", F.col("length").alias("size_bytes"))
-    prefix = os.path.realpath(root)
-    rel = F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(prefix) + 2})")
-    files = files.withColumn("relative_path", rel).where("relative_path <> 'manifest.csv'")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(rooted(root)).select("path", F.col("length").alias("size_bytes"))
+    files = files.withColumn("relative_path", relative(F.col("path"), root)).where("relative_path <> 'manifest.csv'")
     found = files.select("path").repartition("path").mapInArrow(_described, "path string, rows long, columns string, sha256 string")
     parts = F.split("relative_path", "/")
     stem = F.regexp_replace("relative_path", r"\.csv$", "")
@@ -197,8 +209,9 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def write_manifest(spark: SparkSession, root: str) -> int:
     rows = build_manifest(spark, root).collect()
-    with open(os.path.join(root, "manifest.csv"), "w", newline="", encoding="utf-8") as f:
-        w = csv.writer(f)
-        w.writerow(MANIFEST)
-        w.writerows([[r[c] for c in MANIFEST] for r in rows])
+    out = io.StringIO(newline="")
+    w = csv.writer(out)
+    w.writerow(MANIFEST)
+    w.writerows([[r[c] for c in MANIFEST] for r in rows])
+    store.write_text(spark, store.joined(rooted(root), "manifest.csv"), out.getvalue())
     return len(rows)

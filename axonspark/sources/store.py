@@ -52,6 +52,24 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(fs.makeQualified(p), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    fs, p = _at(spark, path)
+    return int(fs.getFileStatus(p).getLen())
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a file, making the folders above its new place."""
+    fs, p = _at(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
+def joined(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}"
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)
