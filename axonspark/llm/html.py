@@ -1,8 +1,8 @@
 """Main text of web pages: a tree-structured graphical model over the DOM.
 
 Every element is content or not. Its own potential comes from its tag, its
-attributes' words, the length of its text and the share of it inside links;
-parent and child share a potential that depends on the child's kind. Sum-product
+attributes' words, the length of its text, the share of it inside links and its
+share of the page's text outside links; parent and child share a potential that depends on the child's kind. Sum-product
 messages go up from the leaves and down from the root and give every element's
 exact marginal. The weights are fitted by maximum likelihood, with the same
 messages, to labelled pages that ``labelled_page`` makes up.
@@ -28,8 +28,8 @@ from axonspark.llm.scratch import whole_texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is never shown as text of the page.
-SILENT = frozenset("script style title noscript template iframe noembed noframes head svg math object select option textarea button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+SILENT = frozenset("script style title noscript template iframe noembed noframes head svg annotation annotation-xml object select option textarea button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 BLOCKS = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul tr td th tbody thead tfoot caption body html".split())
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = {"li": frozenset(["ul", "ol", "menu", "dir"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
@@ -152,18 +152,19 @@ class Dom:
 @lru_cache(maxsize=50_000)
 def described(tag: str, attrs: str) -> tuple[tuple[str, ...], str, bool]:
     """(features, kind of the edge to the parent, hidden) of an element by its tag and attributes."""
-    out, words, hidden = [f"tag:{tag}"], set(), False
+    out, tokens, hidden = [f"tag:{tag}"], set(), False
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
             key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role", "itemprop", "aria-label"):
-                words |= {w.lower() for w in _WORD.findall(value)}
+                tokens |= {tuple(w.lower() for w in _WORD.findall(x)) for x in value.split()}
             elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 hidden = True
-    for w in sorted(words):
-        for group, stems in GROUPS.items():
-            if any(w == s or (len(s) > 4 and w.startswith(s)) for s in stems):
-                out.append(f"word:{group}")
+    for token in sorted(tokens):
+        groups = [_groups(w) for w in token]
+        # a name made of such words and of words for parts of pages says what the element is; any other may only sound like it
+        sure = all(g or w in PARTS or len(w) < 3 for w, g in zip(token, groups, strict=True))
+        out += [f"{'word' if sure else 'maybe'}:{g}" for found in groups for g in found]
     if hidden:
         out.append("hidden")
     group = next((x[5:] for x in out if x.startswith("word:")), None)
@@ -171,19 +172,26 @@ def described(tag: str, attrs: str) -> tuple[tuple[str, ...], str, bool]:
     return tuple(dict.fromkeys(out)), kind, hidden
 
 
+@lru_cache(maxsize=50_000)
+def _groups(word: str) -> tuple[str, ...]:
+    return tuple(group for group, stems in GROUPS.items() if any(word == s or (len(s) > 4 and word.startswith(s)) for s in stems))
+
+
 #: Words of class, id, role and label by what they say of an element.
 GROUPS = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc skip tabs".split(),
-    "head": "header masthead banner topbar logo branding".split(),
-    "foot": "footer contentinfo copyright legal colophon".split(),
-    "side": "sidebar side aside complementary rail widget related recommended recommendations trending popular more".split(),
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay toast paywall disclaimer warning message".split(),
-    "ad": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion promoted dfp taboola outbrain".split(),
-    "form": "form search login signin signup subscribe subscription newsletter register contact".split(),
-    "comment": "comment comments discussion disqus reply replies respond reader responses".split(),
-    "share": "share sharing social facebook twitter tools toolbar actions buttons tags meta byline author".split(),
-    "main": "article content main post entry story body text prose page richtext markdown".split(),
+    "menu": "nav navbar navigation menu menubar menue breadcrumb breadcrumbs pagination pager toc skip tabs".split(),
+    "head": "header masthead banner topbar logo branding kopfzeile kopf entete cabecera testata".split(),
+    "foot": "footer contentinfo copyright legal colophon fuss fusszeile fussbereich impressum pied pie rodape".split(),
+    "side": "sidebar side aside complementary rail widget related recommended recommendations trending popular more seitenleiste randspalte lateral laterale".split(),
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay toast paywall disclaimer warning message hinweis avis aviso avviso".split(),
+    "ad": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion promoted dfp taboola outbrain werbung anzeige anzeigen publicite publicidad anuncio pubblicita reklame".split(),
+    "form": "form search login signin signup subscribe subscription newsletter register contact formular suche anmeldung recherche connexion buscar".split(),
+    "comment": "comment comments discussion disqus reply replies respond reader responses kommentar kommentare commentaire commentaires comentario comentarios commenti".split(),
+    "share": "share sharing social facebook twitter tools toolbar actions buttons tags meta byline author teilen partager compartir".split(),
+    "main": "article content main post entry story body text prose page richtext markdown artikel beitrag inhalt contenu contenido articolo".split(),
 }
+#: Words that say only which part or shape an element has.
+PARTS = frozenset("list item items box container wrapper wrap block section area inner outer left right top bottom center column col row panel module group bar slot unit zone region view link links title heading icon primary secondary global site web js new posts articles stories news top level bereich spalte liste feld".split())
 
 
 class Page:
@@ -212,12 +220,15 @@ class Page:
             size[d.parent[k]] += size[k]
             links[d.parent[k]] += links[k]
         self.features, self.kinds = [], []
+        plain = max(size[0] - links[0], 1)
         for k in range(n):
             static, kind, hidden = described(d.tag[k], d.attrs[k])
             s = size[k]
             length = "0" if s == 0 else "20" if s < 20 else "100" if s < 100 else "400" if s < 400 else "more"
             share = "none" if not s or not links[k] else "some" if links[k] < 0.3 * s else "much" if links[k] < 0.7 * s else "all"
-            self.features.append((*static, f"length:{length}", f"links:{share}"))
+            part = (s - links[k]) / plain
+            of_page = "none" if part <= 0 else "5" if part < 0.05 else "20" if part < 0.2 else "50" if part < 0.5 else "80" if part < 0.8 else "most"
+            self.features.append((*static, f"length:{length}", f"links:{share}", f"part:{of_page}"))
             self.kinds.append(kind)
             if hidden:
                 silent[k] = True
@@ -327,6 +338,7 @@ def labelled_page(seed: int) -> str:
     """A made-up page; elements that begin content carry data-y="1", those that end it data-y="0"."""
     r = random.Random(seed)
     lorem = "river stone light under morning paper window garden winter music letter table silver harbour question answer simple between people number market".split()
+    shapes = sorted(PARTS)
 
     def sentence(k: int) -> str:
         return (" ".join(r.choice(lorem) for _ in range(k)) + ".").capitalize()
@@ -344,35 +356,45 @@ def labelled_page(seed: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{" ".join(r.choice(lorem) for _ in range(r.randint(1, 4)))}</a></li>' for i in range(k)) + "</ul>"
 
     def some(group: str) -> str:
-        return r.choice([w for w in GROUPS[group] if len(w) > 1])
+        w = r.choice([w for w in GROUPS[group] if len(w) > 1])
+        return f"{w}-{r.choice(shapes)}" if r.random() < 0.3 else w
 
     def boxed(group: str, inner: str, tags: list[str]) -> str:
         t = r.choice(tags)
         key = r.choice(["class", "class", "id"])
-        plain = t not in ("div", "section", "p", "ul") and r.random() < 0.5
+        plain = r.random() < (0.5 if t not in ("div", "section", "p", "ul") else 0.3 if group in ("menu", "share") else 0.1 if group == "foot" else 0.0)
         return f'<{t}{"" if plain else f" {key}={chr(34)}{some(group)}{chr(34)}"} data-y="0">{inner}</{t}>'
 
+    def named() -> str:
+        """Now and then an attribute that sounds like something else than the prose that it is on."""
+        if r.random() > 0.12:
+            return ""
+        return f' class="{r.choice([r.choice(GROUPS[r.choice(list(GROUPS))]) + "-" + r.choice(lorem), r.choice(lorem), r.choice(lorem) + "-" + r.choice(shapes)])}"'
+
     def junk(where: str) -> str:
         made = {
             "menu": lambda: boxed("menu", links(r.randint(2, 8)), ["nav", "div", "ul"]),
-            "head": lambda: boxed("head", f"<a href='/'>{sentence(2)}</a>" + (f"<p>{sentence(5)}</p>" if r.random() < 0.4 else ""), ["header", "div"]),
+            "head": lambda: boxed("head", r.choice([f"<a href='/'>{sentence(2)}</a>", f"<h1>{sentence(3)}</h1>", f"<h1><a href='/'>{sentence(2)}</a></h1>"]) + (f"<p>{sentence(5)}</p>" if r.random() < 0.4 else ""), ["header", "div"]),
             "foot": lambda: boxed("foot", f"&copy; {sentence(r.randint(2, 9))}" + (links(3) if r.random() < 0.5 else ""), ["footer", "div"]),
             "side": lambda: boxed("side", f"<h3>{sentence(2)}</h3>" + r.choice([links(r.randint(2, 6)), f"<p>{prose(2)}</p>"]), ["aside", "div", "section"]),
             "notice": lambda: boxed("notice", f"<p>{prose(r.randint(1, 2))}</p>" if r.random() < 0.5 else prose(1), ["div", "section", "p"]),
             "ad": lambda: boxed("ad", r.choice([prose(1), f"<p>{prose(1)}</p>", f'<a href="/b">{sentence(4)}</a>']), ["div", "section", "aside", "p"]),
             "form": lambda: boxed("form", f'<label>{sentence(2)}</label><input type="text"><button>{sentence(1)}</button>' + (f"<p>{sentence(8)}</p>" if r.random() < 0.5 else ""), ["form", "div", "form"]),
             "comment": lambda: boxed("comment", f"<h3>{sentence(2)}</h3>" + "".join(f'<div class="{some("comment")}"><b>{sentence(1)}</b><p>{prose(r.randint(1, 4))}</p></div>' for _ in range(r.randint(1, 4))), ["section", "div", "ul"]),
-            "share": lambda: boxed("share", links(3), ["div", "ul", "p"]),
+            "share": lambda: boxed("share", links(3), ["div", "ul"]),
         }
         return made[where]()
 
-    def article() -> str:
-        parts = [f"<h1>{sentence(r.randint(3, 9))}</h1>"] if r.random() < 0.8 else []
+    def article(whole: bool) -> str:
+        """The main text; ``whole``: not in an element of its own."""
+        parts = [f"<h1>{sentence(r.randint(3, 9))}</h1>"] if r.random() < 0.6 else []
+        bare = r.random() < 0.12
         for _ in range(r.randint(1, 9)):
             u = r.random()
             t = r.choice(["h2", "h3"])
             parts.append(
-                f"<p>{prose(r.randint(1, 6))}" + r.choice(["</p>", "</p>", ""]) if u < 0.7
+                f"{prose(r.randint(2, 6))}<br><br>" if bare
+                else f"<p{named()}>{prose(r.randint(1, 6))}" + r.choice(["</p>", "</p>", ""]) if u < 0.7
                 else f"<{t}>{sentence(4)}</{t}>" if u < 0.78
                 else "<ul>" + "".join(f"<li>{prose(1)}</li>" for _ in range(3)) + "</ul>" if u < 0.84
                 else f"<blockquote><p>{prose(2)}</p></blockquote>" if u < 0.88
@@ -386,28 +408,40 @@ def labelled_page(seed: int) -> str:
         if r.random() < 0.2:
             parts.append(junk("comment"))
         inner = "".join(parts)
+        if whole:
+            return inner
         u = r.random()
-        if u < 0.5:
+        if u < 0.35:
             return f'<article data-y="1">{inner}</article>'
-        if u < 0.65:
+        if u < 0.48:
             return f'<main data-y="1">{inner}</main>'
-        return f'<div class="{some("main")}" data-y="1">{inner}</div>'
-
+        if u < 0.68:
+            return f'<div class="{some("main")}" data-y="1">{inner}</div>'
+        if u < 0.92:
+            t = r.choice(["div", "div", "section"])
+            return f'<{t}{named()} data-y="1">{inner}</{t}>'
+        menu = r.choice([links(3), "<br>".join(f'<a href="/{i}">{r.choice(lorem)}</a>' for i in range(r.randint(2, 6)))])
+        return f'<table><tr><td data-y="0">{menu}<td data-y="1">{inner}</table>'
+
+    if r.random() < 0.04:  # nothing but the text
+        return r.choice([prose(6), f"<p>{prose(3)}<p>{prose(3)}", f"{prose(3)}<br>{prose(2)}"])
+    whole = r.random() < 0.15
     top = [junk("menu")] if r.random() < 0.8 else []
     top += [junk(k) for k in ("head", "ad", "notice", "form", "share") if r.random() < 0.4]
     r.shuffle(top)
     end = [junk(k) for k in ("side", "comment", "form", "ad", "notice", "menu") if r.random() < 0.3] + ([junk("foot")] if r.random() < 0.85 else [])
-    body = "".join(top) + article() + "".join(end)
+    body = "".join(top) + article(whole) + "".join(end)
     if r.random() < 0.3:
         body = f"<div>{body}</div>"
     head = f"<head><meta charset='utf-8'><title>{sentence(5)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-    return f"<!DOCTYPE html><html>{head}<body>{body}" + r.choice(["</body></html>", ""])
+    mark = ' data-y="1"' if whole else ""
+    return f"<!DOCTYPE html><html>{head}<body{mark}>{body}" + r.choice(["</body></html>", ""])
 
 
 def labels(page: Page) -> list[int]:
-    """Element values from data-y, which is inherited."""
+    """Element values from data-y, which is inherited; all of a page without it is content."""
     d = page.dom
-    y = [0] * len(d.tag)
+    y = [int(not any("data-y" in a for a in d.attrs))] * len(d.tag)
     for k in range(1, len(y)):
         m = re.search(r'data-y="([01])"', d.attrs[k])
         y[k] = int(m[1]) if m else y[d.parent[k]]
@@ -415,8 +449,8 @@ def labels(page: Page) -> list[int]:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 160) -> TreeModel:
-    """The fitted weights; about two seconds on the driver."""
+def model(pages: int = 400) -> TreeModel:
+    """The fitted weights; about five seconds on the driver."""
     made = [Page(labelled_page(k)) for k in range(pages)]
     return TreeModel().fit([(p, labels(p)) for p in made])
 

@@ -45,3 +45,43 @@ tool check</code></pre><h2>Use</h2><p hidden>Never shown.</p><p data-hidden="fal
         "",
     ),
 ]
+
+PARA = [
+    "The ferry leaves the old harbour at seven in the morning and needs a little under an hour for the crossing, so that most people who work on the island take it twice a day. In winter it goes only when the ice allows, and then everybody has to wait for the mail boat instead.",
+    "Nobody remembers who built the first landing stage. A map in the town hall shows it already, with a crane beside it and a small house for the man who kept the lamp. The house is still there; the lamp was sold to a museum some forty years ago, together with its brass frame.",
+    "Since spring there is a second boat. It is smaller and has no room for cars, but it is quiet, needs no oil at all, and can be steered by one person alone. The crew have given it a name that the company does not like, and painted it on the side in white letters.",
+    "Whoever wants to see the island should stay for a night. The last boat back leaves at six, long before the light is at its best, and the path along the northern shore is too far to walk in an afternoon with a heavy bag and a child that would rather look for shells.",
+]
+_P = "".join(f"<p>{x}</p>" for x in PARA)
+_NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/contact">Contact</a></li></ul></nav>'
+_FOOT = "<footer><p>&copy; 2021 The Island Paper. All rights reserved.</p></footer>"
+_ALL = " ".join(PARA)
+
+#: Pages without article, main, telling class or heading, with misleading or foreign names, or of odd shapes.
+PLAIN_PAGES = [
+    (f"<html><body>{_NAV}<div>{_P}</div>{_FOOT}</body></html>", _ALL),
+    (f"<body>{_NAV}<div><p>{PARA[0]}</p><p>{PARA[1]}</p><p>{PARA[2]}</p></div>{_FOOT}</body>", " ".join(PARA[:3])),
+    (f"<body><section>{_P}</section></body>", _ALL),
+    (f"<body>{_NAV}<div><p>{PARA[0]}</p><p>{PARA[1]}</p></div>{_FOOT}</body>", " ".join(PARA[:2])),
+    (_ALL, _ALL),
+    (f"<p>{PARA[0]}<p>{PARA[1]}", " ".join(PARA[:2])),
+    (f"<article><h1>Sums</h1><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds in this case, and in every other one that we have tried so far.</p><p>{PARA[0]}</p></article>", f"Sums The sum x+1 holds in this case, and in every other one that we have tried so far. {PARA[0]}"),
+    (f"<article><h1>Pills</h1><p>{PARA[0]}</p><p class='side-effects'>Some people feel tired after the second dose, which passes within a day.</p><p class='author-note'>I have taken them myself for a year without any trouble.</p></article>",
+     f"Pills {PARA[0]} Some people feel tired after the second dose, which passes within a day. I have taken them myself for a year without any trouble."),
+    (f"<body><div class='kopfzeile'><a href='/'>Inselblatt</a></div><div class='werbung'>Jetzt neue Reifen kaufen und sparen!</div><div class='inhalt'>{_P}</div><div class='kommentare'><p>Das stimmt so nicht, ich war dabei.</p></div><div class='fuss'>Alle Rechte vorbehalten.</div></body>", _ALL),
+    (f"<body><div id='entete'><a href='/'>Le Journal</a></div><div class='contenu'><h1>Le bac</h1>{_P}</div><div class='commentaires'><p>Merci pour cet article, je le trouve tres juste.</p></div><div class='publicite'>Achetez maintenant</div></body>", f"Le bac {_ALL}"),
+    (f"<body><table><tr><td><a href='/'>Home</a><br><a href='/a'>Archive</a><br><a href='/l'>Links</a></td><td>{PARA[0]}<br><br>{PARA[1]}<br><br>{PARA[2]}</td></tr></table></body>", " ".join(PARA[:3])),
+    (f"<body>{_NAV}<div>{PARA[0]}<br><br>{PARA[3]}</div>{_FOOT}</body>", f"{PARA[0]} {PARA[3]}"),
+    (f"<body><div><div><div><div>{_P}</div></div></div></div></body>", _ALL),
+    (f"<body><div><a href='/1'>One</a> <a href='/2'>Two</a> <a href='/3'>Three</a></div><div><h2>The boat</h2>{_P}</div><div><a href='/x'>Imprint</a> <a href='/y'>Privacy</a></div></body>", f"The boat {_ALL}"),
+    (f"<body><header><h1>The Island Paper</h1></header>{_P}<div class='share-bar'><a href='#'>Share</a></div>{_FOOT}</body>", _ALL),
+    (f"<body class='page-template-default'><div class='c1 x9'><div class='y3'>{_P}</div></div><div class='cookie-banner'><p>This site uses cookies. <button>Fine</button></p></div></body>", _ALL),
+    (f"<body><main><p>{PARA[1]}</p><aside class='related-posts'><h3>More to read</h3><ul><li><a href='/1'>The mail boat</a></li><li><a href='/2'>The lamp</a></li></ul></aside><p>{PARA[2]}</p></main></body>", f"{PARA[1]} {PARA[2]}"),
+    (f"<body><div><p>{PARA[0]}</p><blockquote><p>It is our only road.</p></blockquote><p>{PARA[1]}</p></div><div id='comments'><p>First!</p><p>I take it every day and it is never late, whatever they say.</p></div></body>", f"{PARA[0]} It is our only road. {PARA[1]}"),
+    (f"<body><div><ul><li>{PARA[0]}</li><li>{PARA[1]}</li></ul></div>{_FOOT}</body>", " ".join(PARA[:2])),
+    (f"<body><div role='navigation'><a href='/'>Start</a></div><div role='main'>{_P}</div><div role='contentinfo'>Printed on the island</div></body>", _ALL),
+    (f"<body><form action='/s'><input name=q><button>Search</button></form><section><h2>Boats</h2><p>{PARA[2]}</p><pre>07:00  out\n18:00  back</pre><p>{PARA[3]}</p></section><footer>Contact us</footer></body>", f"Boats {PARA[2]} 07:00 out 18:00 back {PARA[3]}"),
+    (f"<body><div class='story-text'><p>{PARA[0]}</p><div class='ad-unit'><p>Tyres at half the price, this week only!</p></div><p>{PARA[1]}</p><div class='newsletter-box'><p>Get our letter every Monday.</p><input><button>Go</button></div><p>{PARA[2]}</p></div></body>", " ".join(PARA[:3])),
+    (f"<body><div class='message-history'><p>{PARA[0]}</p></div><div class='search-party'><p>{PARA[1]}</p></div></body>", " ".join(PARA[:2])),
+    (f"<body>{_NAV}<p>{PARA[0]}</p><p>{PARA[1]}</p><hr><p>{PARA[2]}</p>{_FOOT}</body>", " ".join(PARA[:3])),
+]

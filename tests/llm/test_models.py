@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from llm_helpers import WORD, fold, shingles
-from pages_by_hand import PAGES
+from pages_by_hand import PAGES, PLAIN_PAGES
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -260,6 +260,12 @@ def test_pages_by_hand():
     assert [k for k, (page, text) in enumerate(PAGES) if html.extract(page, m) != text] == []
 
 
+@pytest.mark.parametrize("k", [pytest.param(k, marks=pytest.mark.xfail(reason="the menu cell of a layout table stays")) if k == 10 else k for k in range(len(PLAIN_PAGES))])
+def test_plain_pages_by_hand(k):
+    page, text = PLAIN_PAGES[k]
+    assert html.extract(page, html.model()) == text
+
+
 # -- classifier ------------------------------------------------------------------------------------------------------
 
 
