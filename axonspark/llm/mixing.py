@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +16,10 @@ from axonspark.llm.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Budgets up to this many words are fitted by dynamic programming.
 EXACT = 1 << 16
-#: Where they are left with a gap, all documents of a source are fitted anew if the tables of sums take at most so many bits.
+#: Where they are left with a gap, all documents of a source are fitted anew: over tables of sums if these take at most so many bits, else over lists of sums.
 TABLES = 1 << 31
+#: Sums in a list, and the longest lengths (in powers of two of their counts) that it is made of. Up to so many sums the fit is exact; beyond, a sum is off by a step's share of the budget at most.
+SUMS, STEPS = 1 << 17, 64
 #: Sources are configuration: one row each on the driver, at most so many.
 MOST_SOURCES = 1_000_000
 
@@ -68,15 +72,68 @@ def _knapsack(room: dict[int, int], goal: int, order: list[int]) -> dict[int, in
     return take
 
 
-def fit(counts: dict[int, int], budget: int, seed: int = 7) -> dict[int, int]:
+def _listed(room: dict[int, int], goal: int, lengths: list[int]) -> tuple[np.ndarray, Callable[[int], dict[int, int]]]:
+    """(sums up to ``goal`` of at most ``room`` of each of ``lengths``, how many of each make one of them)."""
+    sums, steps = np.zeros(1, np.int64), []
+    for k in lengths:
+        n, m = min(room[k], goal // k), 1
+        while n > 0:
+            m = min(m, n)
+            steps.append((k, m, sums))
+            more = sums + k * m
+            sums = np.union1d(sums, more[more <= goal])
+            if len(sums) > SUMS:  # of sums that are nearly the same one stays
+                step = sums * SUMS // (goal + 1)
+                last = np.append(step[1:] != step[:-1], True)
+                sums = sums[last]
+            n -= m
+            m *= 2
+
+    def made(at: int) -> dict[int, int]:
+        take = dict.fromkeys(room, 0)
+        for k, m, before in reversed(steps):
+            i = int(np.searchsorted(before, at))
+            if i == len(before) or before[i] != at:
+                take[k] += m
+                at -= k * m
+        return take
+
+    return sums, made
+
+
+def _few_long(counts: dict[int, int], budget: int, seed: int) -> dict[int, int]:
+    """The fit by lists of sums of the longest documents, what they leave filled by the others."""
+    lengths, steps = [], 0
+    for k in sorted((k for k in counts if 0 < k <= budget), reverse=True):
+        steps += min(counts[k], budget // k).bit_length()
+        if steps > STEPS:
+            break
+        lengths.append(k)
+    rest = {k: n for k, n in counts.items() if k not in set(lengths)}
+    sums, made = _listed(counts, budget, lengths)
+    room = sum(k * n for k, n in rest.items())
+    best, least = dict.fromkeys(counts, 0), budget
+    # what is left should be no more than the others can fill; of several such sums the fit is compared
+    fitting = sums[budget - sums <= room]
+    for at in dict.fromkeys([int(sums[-1]), *(fitting[np.linspace(0, len(fitting) - 1, 8).astype(int)].tolist() if len(fitting) else ())]):
+        take = made(at)
+        if rest:
+            take |= fit(rest, budget - at, seed, lists=False)
+        gap = budget - sum(k * n for k, n in take.items())
+        if gap < least:
+            best, least = take, gap
+    return best
+
+
+def fit(counts: dict[int, int], budget: int, seed: int = 7, lists: bool = True) -> dict[int, int]:
     """How many documents of each length to take so that their lengths sum as near below ``budget`` as can be found.
 
     Every length first gives its even share, rounded down; lengths in seeded
     order then give one more each while over EXACT words remain; where only
     documents longer than the table of sums are left, the longest that fits is
     taken; the rest is a bounded knapsack over reachable sums. If that leaves a
-    gap, a source whose sums fit TABLES (one of few, long documents) is solved
-    exactly over all its documents.
+    gap, a source of few, long documents is solved over all of them: by a table
+    of all sums where it fits TABLES, by lists of the sums there are where not.
     """
     total = sum(k * n for k, n in counts.items())
     if budget >= total:
@@ -105,6 +162,10 @@ def fit(counts: dict[int, int], budget: int, seed: int = 7) -> dict[int, int]:
     gap = budget - sum(k * n for k, n in take.items())
     if gap > 0 and budget * sum(min(n, budget // k).bit_length() for k, n in counts.items() if k) <= TABLES:
         return _knapsack(counts, budget, order)
+    if gap > 0 and lists:
+        other = _few_long(counts, budget, seed)
+        if budget - sum(k * n for k, n in other.items()) < gap:
+            return other
     return take
 
 

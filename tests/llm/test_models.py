@@ -61,6 +61,30 @@ def test_fit_few_long_documents():
         assert taken(lengths, budget) == max(x for x in sums if x <= budget)
 
 
+def test_fit_beyond_tables(monkeypatch):
+    def taken(counts, budget):
+        take = mixing.fit(counts, budget)
+        assert all(0 <= take[k] <= n for k, n in counts.items())
+        return sum(k * n for k, n in take.items())
+
+    assert taken(Counter([400_000_000, 250_000_000, 249_000_000, 410_000_001, 420_000_001]), 499_000_000) == 499_000_000
+    monkeypatch.setattr(mixing, "TABLES", 0)
+    r = random.Random(9)
+    for _ in range(25):
+        lengths = [r.randint(10**6, 10**9) for _ in range(r.randint(1, 9))] * r.randint(1, 2)
+        budget = r.randint(0, sum(lengths))
+        sums = {0}
+        for k in lengths:
+            sums |= {x + k for x in sums}
+        assert taken(Counter(lengths), budget) == max(x for x in sums if x <= budget)
+    for _ in range(2):  # more sums than a list holds, and short documents that fill what is left
+        lengths = [r.randint(10**8, 10**9) for _ in range(40)] + [r.randint(1, 5000) for _ in range(300)]
+        budget = r.randint(0, sum(lengths))
+        assert budget - taken(Counter(lengths), budget) <= 5000
+        got = taken(Counter(lengths[:40]), sum(lengths[:40]) // 3)
+        assert sum(lengths[:40]) // 3 - got <= sum(lengths[:40]) // 3 * 40 // mixing.SUMS
+
+
 def test_fit_takes_the_longest_that_fits_without_tables(monkeypatch):
     monkeypatch.setattr(mixing, "TABLES", 0)
     assert sum(k * n for k, n in mixing.fit({900000: 1, 800000: 1, 10: 1}, 820000).items()) == 800010
