@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 from bisect import bisect_right
@@ -101,17 +102,19 @@ def base(text: str) -> list[tuple[int, str, int]]:
 
 _NAME, _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?", r"[A-Za-z0-9-]{1,63}"
 _DOT = r"(?:[ ]?[\[({<][ ]?dot[ ]?[\])}>][ ]?|[ ]dot[ ])"
-_AT = re.compile(rf"{_NAME}(?:[ ]?[\[({{<][ ]?at[ ]?[\])}}>][ ]?{_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{1,4}}|[ ]at[ ]{_LABEL}(?:{_DOT}{_LABEL}){{1,4}})", re.I)
+_AT = re.compile(rf"{_NAME}(?:{_DOT}{_NAME}){{0,3}}(?:[ ]?[\[({{<][ ]?at[ ]?[\])}}>][ ]?{_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{1,4}}|[ ]at[ ]{_LABEL}(?:{_DOT}{_LABEL}){{1,4}})", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[ ]?|[0-9]{2,5}[ ./-])[0-9]{2,5}(?:[ ./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
-_IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}){1,4}(?![0-9A-Za-z:])")
+_LONG_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])0[0-9]{2,4}[ /-][0-9]{5,8}(?![0-9A-Za-z])")
+_HEX = r"[0-9A-Fa-f]{1,4}"
+_IPV6 = re.compile(rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{3,7}}(?::?{_HEX}){{1,4}}|(?:{_HEX}:){{1,6}}:(?:{_HEX}(?::{_HEX}){{0,5}})?|::(?:{_HEX}:){{0,5}}{_HEX})(?![0-9A-Za-z:])")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])")
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
-_SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", re.I)
+_SSN = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}|[0-9]{9})(?![0-9A-Za-z-])")
 
 
 #: Keys, tokens and passwords: long runs of letters and digits, and what is assigned to a telling name.
 _KEY = re.compile(r"(?<![0-9A-Za-z_+/=.-])(?=[0-9A-Za-z_+/=-]*[0-9])(?=[0-9A-Za-z_+/=-]*[A-Za-z])[0-9A-Za-z_+/-]{16,}+=*+(?![0-9A-Za-z_])")
-_ASSIGNED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key)[\"']?[ ]?(?:=|:=|:|=>)[ ]?[\"']?([^\s\"',;]{6,}+)", re.I)
+_ASSIGNED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key)[\"']?(?:[ ]?(?:=|:=|:|=>)[ ]?|[ ](?:is|ist|lautet|est|es)[ :]{1,2}|[ ])[\"']?([^\s\"',;]{6,}+)", re.I)
 _ASSIGNED_CUES = ("pass", "pwd", "secret", "token", "key")
 _PREFIX = re.compile(r"(?:AKIA|ASIA|sk[-_]|pk[-_]|rk[-_]|gh[pousr]_|glpat-|xox[abprs]-|AIza|ya29\.|eyJ)")
 
@@ -126,7 +129,7 @@ def candidates(text: str) -> list[tuple[int, str, int]]:
     if any(x in folded for x in _CUES):
         found += [(m.start(), "email", m.end()) for m in _AT.finditer(text)]
     if _DIGIT.search(text):
-        for kind, p in (("phone", _LOCAL_PHONE), ("ip", _IPV6), ("card", _GROUPS), ("iban", _IBAN), ("ssn", _SSN)):
+        for kind, p in (("phone", _LOCAL_PHONE), ("phone", _LONG_PHONE), ("ip", _IPV6), ("card", _GROUPS), ("iban", _IBAN), ("ssn", _SSN)):
             found += [(m.start(), kind, m.end()) for m in p.finditer(text)]
         found += [(m.start(), "secret", m.end()) for m in _KEY.finditer(text)]
     if any(x in folded for x in _ASSIGNED_CUES):
@@ -134,6 +137,14 @@ def candidates(text: str) -> list[tuple[int, str, int]]:
     return list(dict.fromkeys(found))
 
 
+def address(text: str) -> bool:
+    """Whether this is an address of version 6."""
+    try:
+        return ipaddress.ip_address(text).version == 6
+    except ValueError:
+        return False
+
+
 def mod97(text: str) -> bool:
     x = text.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
@@ -172,6 +183,7 @@ def features(text: str, start: int, kind: str, end: int) -> list[float]:
         float(kind == "secret" and _PREFIX.match(body) is not None), float(kind == "secret" and text[max(0, start - 1) : start] in "\"'"), float(kind == "secret" and _SET.search(text[max(0, start - 6) : start]) is not None),
         float(len(set(body)) if kind == "secret" else 0), float(len(d) / len(body) if kind == "secret" else 0), float(kind == "secret" and body.lower() != body and body.upper() != body), float(kind == "secret" and body.count("/") + body.count("-") + body.count("_")),
         float(re.search(r"(com|org|net|edu|gov|io|de|fr|es|uk|eu)$", body.lower()) is not None), float(text[max(0, start - 1) : start] in "$€£#"),
+        float(kind == "ip" and address(body)), float(sum(c in "abcdefABCDEF" for c in body) if kind == "ip" else 0), float(kind == "secret" and not d), float(d[:1] == "0"), float(any(w in _WORDS[kind] for w in before)),
     ]
 
 
@@ -247,18 +259,25 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, str, int, int]]:
 
     def email() -> str:
         a, d = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", "."), ("{at}", ".")])
-        return f"{name()}.{name()}{a}{name()}{d}{r.choice(['com', 'org', 'net', 'de'])}"
+        local = f"{name()} dot {name()}" if a == " at " and r.random() < 0.4 else f"{name()}.{name()}"
+        return f"{local}{a}{name()}{d}{r.choice(['com', 'org', 'net', 'de'])}"
+
+    def short_ip(groups: int) -> str:
+        left = [f"{r.randint(1, 65535):x}" for _ in range(groups)]
+        return r.choice(["2001:db8", "fe80", ":".join(left), "2a02"]) + "::" + ":".join(f"{r.randint(1, 65535):x}" for _ in range(r.randint(1, 3)))
 
     def phone() -> str:
+        if r.random() < 0.25:
+            return f"0{num(r.randint(2, 4))}{r.choice([' ', '/', '-'])}{num(r.randint(6, 8))}"
         return r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(num(3), num(3), num(4))
 
     makers = [
         ("email", email, lambda: f"{word()} at {name()} dot {name()}"),
-        ("phone", phone, lambda: r.choice([f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}.{num(2)}.{num(2)}", f"{num(4)}-{num(4)}-{num(2)}"])),
-        ("ip", lambda: ":".join(f"{r.randint(1, 65535):x}" for _ in range(8)), lambda: f"{num(2)}:{num(2)}:{num(2)}:{num(2)}"),
+        ("phone", phone, lambda: r.choice([f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}.{num(2)}.{num(2)}", f"{num(4)}-{num(4)}-{num(2)}", f"0{num(2)} {num(6)}"])),
+        ("ip", lambda: short_ip(r.randint(2, 4)) if r.random() < 0.5 else ":".join(f"{r.randint(1, 65535):x}" for _ in range(8)), lambda: r.choice([f"{num(2)}:{num(2)}:{num(2)}:{num(2)}", "".join(r.choice("abcdef") for _ in range(3)) + "::" + "".join(r.choice("abcdef") for _ in range(3)), "cafe::add", "::bad"])),
         ("card", lambda: ".".join(re.findall("....", with_luhn("4" + num(14)))), lambda: ".".join(num(4) for _ in range(4))),
-        ("iban", lambda: iban(True), lambda: iban(False)),
-        ("ssn", lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", lambda: f"{r.choice(['000', '666', '9' + num(2)])}-{num(2)}-{num(4)}"),
+        ("iban", lambda: r.choice([str.upper, str.upper, str.lower])(iban(True)), lambda: r.choice([str.upper, str.lower])(iban(False))),
+        ("ssn", lambda: r.choice(["{:03d}-{:02d}-{:04d}", "{:03d}-{:02d}-{:04d}", "{:03d}{:02d}{:04d}"]).format(r.randint(1, 665), r.randint(1, 99), r.randint(1, 9999)), lambda: r.choice([f"{r.choice(['000', '666', '9' + num(2)])}-{num(2)}-{num(4)}", num(9)])),
     ]
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     mixed = lambda k, of=signs: "".join(r.choice(of) for _ in range(k - 2)) + r.choice(signs[:52]) + r.choice("0123456789")
@@ -271,6 +290,14 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, str, int, int]]:
         path = lambda: "/".join(name() for _ in range(r.randint(3, 5))) + num(2)
         return r.choice([path, lambda: "-".join(name() for _ in range(4)) + "-" + num(4), lambda: f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", lambda: "_".join(name() for _ in range(3)) + num(2), lambda: num(16) + r.choice("abk")])()
 
+    def given() -> tuple[str, str, int]:
+        """A password that is told, or a sentence about passwords."""
+        cue = r.choice("password passwd pwd passphrase token secret".split())
+        tie = r.choice([" is ", " is ", ": ", "=", " ist "])
+        if r.random() < 0.5:
+            return cue + tie, r.choice([f"{name()}{num(r.randint(1, 4))}", f"{name().title()}{num(2)}{r.choice('!?#')}", mixed(r.randint(7, 12))]), 1
+        return cue + r.choice([" is ", " is ", " "]), r.choice("required wrong missing stored hidden longer always expired public manager policy without between".split()), 0
+
     makers.append(("secret", secret, no_secret))
     out = []
     for _ in range(n):
@@ -280,10 +307,15 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, str, int, int]]:
         if case < 0.5:
             body, cue, y = good(), r.choice(own) if r.random() < 0.7 else word(), 1
         elif case < 0.75:
-            body, cue, y = bad(), word() if r.random() < 0.6 else r.choice(other), 0
+            body, cue, y = bad(), r.choice(own) if kind == "iban" and r.random() < 0.4 else word() if r.random() < 0.6 else r.choice(other), 0
         else:
             body, cue, y = good() if kind in ("phone", "ssn", "secret") else bad(), r.choice(other), 0
         tie, close = r.choice([(": ", ""), (" ", ""), (" ", ""), (" is ", "")] if kind != "secret" else [(": ", ""), (' = "', '"'), ("=", ""), (" is ", ""), (": '", "'"), (" ", "")])
+        if kind == "ssn" and y and re.fullmatch("[0-9]{9}", body):
+            y = int(cue in _WORDS["ssn"])  # nothing but the words before it tells such a number from others
+        elif kind == "secret" and r.random() < 0.3:
+            cue, body, y = given()
+            tie = close = ""
         left = " ".join(word() for _ in range(r.randint(2, 6))) + f" {cue}{tie}"
         text = left + body + close + " " + " ".join(word() for _ in range(3))
         for s, k, e in candidates(text):

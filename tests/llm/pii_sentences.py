@@ -43,4 +43,21 @@ SENTENCES = [
     "Flight LH 2045 leaves gate B42 at 17:35.",
     "The ratio 3.14159265358979 is known to every pupil.",
     "Order no. 55-0192-77 shipped on 04/11/2020.",
+    "The gateway has the address [[ip|2001:db8::1]] on the inside.",
+    "Ping [[ip|fe80::1]] before you give up.",
+    "Log in from host [[ip|2a02:8109:9340::2f1c]] only.",
+    "In C++ the call is std::sort and in Rust it is cafe::bake.",
+    "My SSN [[ssn|123456789]] was on the form.",
+    "The archive holds 123456789 photographs.",
+    "Part no. 987654321 fits all models.",
+    "The password is [[secret|hunter2]] until Monday.",
+    "Das Passwort ist geheim, aber your password is [[secret|Winter2019!]] now.",
+    "A password is required for this page.",
+    "The token is expired and the secret is public anyway.",
+    "If you are late, call [[phone|0171 5551234]] now.",
+    "Telefon [[phone|030/5551234]], werktags bis vier.",
+    "Chapter 01 comprises 2345 lines and 045 figures.",
+    "Please write to [[email|jane dot doe at example dot com]] for a copy.",
+    "My iban is [[iban|de89370400440532013000]], thank you.",
+    "The file de12abcdef3456789012 was deleted.",
 ]
