@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from axonspark.functions.text import flagged, flags
+from axonspark.functions.text import flagged, flags_sql
 
 # The regions, the classes with the patterns that mark them in upper-cased names (first match wins), and the patterns of glomeruli and sides.
 REGIONS = ("AL", "LH", "MB")
@@ -15,55 +17,77 @@ GLOMERULUS = (("ORN_([^_;, ]+)", 1), ("(^|[ ;,])([^_;, ]+)_ORN", 2), ("(^|[ ;,])
 SIDE = ("(^|[ ;,])[^ ;,]*(_|-){0}($|[ ;,])", "(^|[ ;,]){0}($|[ ;,])")
 
 
-def region(roi: Column) -> Column:
+def text_of(c: Column | str) -> str:
+    """The SQL of a plain column, or SQL text as it is. Label expressions are text: planned at once, where columns would be put together call by call."""
+    if isinstance(c, str):
+        return c
+    found = re.fullmatch(r"Column<'([\w.]+)'>", str(c))
+    if not found:
+        raise TypeError(f"a plain column or SQL text is needed, not {c}")
+    return f"`{found[1]}`" if "." not in found[1] else found[1]
+
+
+def _cases(pairs: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN '{label}'" for test, label in pairs) + " ELSE '' END"
+
+
+def region_sql(roi: str) -> str:
     """AL, LH or MB by the prefix of the upper-cased ROI, else the empty text."""
-    up = F.upper(roi)
-    out = F.when(up.startswith(REGIONS[0]), REGIONS[0])
-    for r in REGIONS[1:]:
-        out = out.when(up.startswith(r), r)
-    return out.otherwise("")
+    return _cases([(f"startswith(upper({roi}), '{r}')", r) for r in REGIONS])
 
 
-def hemisphere(roi: Column) -> Column:
+def hemisphere_sql(roi: str) -> str:
     """R before L. Any R or L counts that is in brackets, ends a name or is inside one: that is any but the first letter."""
-    up = F.upper(roi)
-    return F.when(F.locate("R", up, 2) > 0, "R").when(F.locate("L", up, 2) > 0, "L").otherwise("")
+    return _cases([(f"locate('{x}', upper({roi}), 2) > 0", x) for x in "RL"])
 
 
-def traits(region: Column, hemisphere: Column) -> Column:
-    """Region and hemisphere as one number with a bit for each; ``bit_or`` of it is the set of both."""
-    return flags(region, REGIONS).bitwiseOR(flags(hemisphere, SIDES, len(REGIONS)))
+def cell_class_sql(name: str) -> str:
+    return _cases([(f"upper({name}) RLIKE '{pattern}'", label) for label, pattern in CLASSES])
 
 
-def regions(bits: Column) -> Column:
-    return flagged(bits, REGIONS)
+def glomerulus_sql(name: str) -> str:
+    """The first pattern that finds a channel; case-sensitive."""
+    return f"coalesce({', '.join(f"nullif(regexp_extract({name}, '{p}', {g}), '')" for p, g in GLOMERULUS)}, '')"
 
 
-def hemispheres(bits: Column) -> Column:
-    return flagged(bits, SIDES, len(REGIONS))
+def side_sql(name: str) -> str:
+    def hits(letter: str, word: str) -> str:
+        return " OR ".join([f"upper({name}) LIKE '% {word.upper()}%'", f"lower({name}) = '{word}'", *[f"upper({name}) RLIKE '{p.format(letter)}'" for p in SIDE]])
 
+    return _cases([(hits("R", "right"), "R"), (hits("L", "left"), "L")])
 
-def cell_class(name: Column) -> Column:
-    up, out = F.upper(name), F
-    for label, pattern in CLASSES:
-        out = out.when(up.rlike(pattern), label)
-    return out.otherwise("")
 
+def region(roi: Column | str) -> Column:
+    return F.expr(region_sql(text_of(roi)))
 
-def glomerulus(name: Column) -> Column:
-    """The first pattern that finds a channel; case-sensitive."""
-    found = [F.nullif(F.regexp_extract(name, p, g), F.lit("")) for p, g in GLOMERULUS]
-    return F.coalesce(*found, F.lit(""))
-
-
-def side(name: Column) -> Column:
-    up, low, out = F.upper(name), F.lower(name), F
-    for letter, word in (("R", "right"), ("L", "left")):
-        hit = up.like(f"% {word.upper()}%") | (low == word)
-        for p in SIDE:
-            hit = hit | up.rlike(p.format(letter))
-        out = out.when(hit, letter)
-    return out.otherwise("")
+
+def hemisphere(roi: Column | str) -> Column:
+    return F.expr(hemisphere_sql(text_of(roi)))
+
+
+def cell_class(name: Column | str) -> Column:
+    return F.expr(cell_class_sql(text_of(name)))
+
+
+def glomerulus(name: Column | str) -> Column:
+    return F.expr(glomerulus_sql(text_of(name)))
+
+
+def side(name: Column | str) -> Column:
+    return F.expr(side_sql(text_of(name)))
+
+
+def traits(region: str = "region", hemisphere: str = "hemisphere") -> Column:
+    """Region and hemisphere as one number with a bit for each; ``bit_or`` of it is the set of both."""
+    return F.expr(f"{flags_sql(region, REGIONS)} | {flags_sql(hemisphere, SIDES, len(REGIONS))}")
+
+
+def regions(bits: str) -> Column:
+    return flagged(bits, REGIONS)
+
+
+def hemispheres(bits: str) -> Column:
+    return flagged(bits, SIDES, len(REGIONS))
 
 
 def relation(a: Column, b: Column) -> Column:

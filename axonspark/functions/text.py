@@ -28,21 +28,18 @@ def listed(values: Column, separator: str = ",") -> Column:
     return F.when(F.size(some) > 0, F.array_join(F.array_sort(F.array_distinct(some)), separator))
 
 
-def flags(c: Column, values: Sequence[str], low: int = 0) -> Column:
-    """A number with one bit, from ``low`` on, for the place of the text in ``values``; 0 for others. ``bit_or`` of it is a set."""
-    out = F
-    for k, v in enumerate(values, low):
-        out = out.when(c == v, F.lit(1 << k).cast("long"))
-    return out.otherwise(F.lit(0).cast("long"))
+def literal(text: str) -> str:
+    """An SQL literal of a text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def flagged(bits: Column, values: Sequence[str], low: int = 0, separator: str = ",") -> Column:
-    """The values in a set of ``flags``, joined; null for the empty set."""
-    some = [F.when(bits.bitwiseAND(F.lit(1 << k).cast("long")) != 0, v) for k, v in enumerate(values, low)]
-    mask = sum(1 << k for k in range(low, low + len(values)))
-    return F.when(bits.bitwiseAND(F.lit(mask).cast("long")) != 0, F.concat_ws(separator, *some))
+def flags_sql(c: str, values: Sequence[str], low: int = 0) -> str:
+    """A number with one bit, from ``low`` on, for the place of the text in ``values``; 0 for others. ``bit_or`` of it is a set."""
+    return f"CASE {c} " + " ".join(f"WHEN {literal(v)} THEN {1 << k}L" for k, v in enumerate(values, low)) + " ELSE 0L END" if values else "0L"
 
 
-def whole(c: Column) -> Column:
-    """Cast to long the way SQL engines with round-half-even casts do; text goes by way of double."""
-    return F.bround(c.cast("double"), 0).cast("long")
+def flagged(bits: str, values: Sequence[str], low: int = 0, separator: str = ",") -> Column:
+    """The values in a set of ``flags_sql``, joined; null for the empty set."""
+    some = ", ".join(f"CASE WHEN {bits} & {1 << k}L <> 0 THEN {literal(v)} END" for k, v in enumerate(values, low))
+    mask = sum(1 << k for k in range(low, low + len(values)))
+    return F.expr(f"CASE WHEN {bits} & {mask}L <> 0 THEN concat_ws({literal(separator)}, {some}) END" if values else "CAST(NULL AS STRING)")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonspark.functions import labels as L
-from axonspark.functions.text import flagged, flags, listed, whole
+from axonspark.functions.text import flagged, flags_sql, listed
 from axonspark.operators.edges import identifier
 from axonspark.sources import store
 
@@ -48,19 +48,20 @@ ANNOTATION_COLUMNS = ("dataset", "body_id", "primary_name", "instance", "cell_cl
 
 def edges_by_neuropil(raw: DataFrame, spec: Spec) -> DataFrame:
     """Edges with positive weight inside the three regions."""
-    roi, weight = F.col(f"`{spec.roi}`").cast("string"), F.col(f"`{spec.weight}`")
-    weight = weight if dict(raw.dtypes)[spec.weight] in ("bigint", "int", "smallint", "tinyint") else whole(weight)
-    ids = [F.col(f"`{c}`").cast("string").alias(a) for c, a in ((spec.pre, "pre_id"), (spec.post, "post_id"))]
-    out = raw.select(F.lit(spec.dataset).alias("dataset"), *ids, roi.alias("neuropil"), L.region(roi).alias("region"), L.hemisphere(roi).alias("hemisphere"), weight.cast("long").alias("synapses"), F.lit(spec.table).alias("source_table"))
+    roi, weight = f"CAST(`{spec.roi}` AS STRING)", f"`{spec.weight}`"
+    if dict(raw.dtypes)[spec.weight] not in ("bigint", "int", "smallint", "tinyint"):
+        weight = f"bround(CAST({weight} AS DOUBLE), 0)"  # half to even
+    out = raw.selectExpr(
+        f"'{spec.dataset}' AS dataset", f"CAST(`{spec.pre}` AS STRING) AS pre_id", f"CAST(`{spec.post}` AS STRING) AS post_id", f"{roi} AS neuropil",
+        f"{L.region_sql(roi)} AS region", f"{L.hemisphere_sql(roi)} AS hemisphere", f"CAST({weight} AS BIGINT) AS synapses", f"'{spec.table}' AS source_table",
+    )
     return out.where("region <> '' and synapses > 0")
 
 
 def ends(edges: DataFrame) -> DataFrame:
     """Each edge at both of its neurons, from one scan: what it adds to their inputs and outputs."""
-    zero = F.lit(0).cast("long")
-    both = F.explode(F.array(F.struct(F.col("post_id").alias("body_id"), F.col("synapses").alias("i"), zero.alias("o")), F.struct(F.col("pre_id").alias("body_id"), zero.alias("i"), F.col("synapses").alias("o"))))
-    rows = edges.select("dataset", "neuropil", "region", "hemisphere", both.alias("e"))
-    return rows.select("dataset", "e.body_id", "neuropil", "region", "hemisphere", F.col("e.i").alias("input_synapses"), F.col("e.o").alias("output_synapses"), (F.col("e.i") + F.col("e.o")).alias("total_synapses"))
+    rows = edges.selectExpr("dataset", "neuropil", "region", "hemisphere", "inline(array(struct(post_id AS body_id, synapses AS input_synapses, 0L AS output_synapses), struct(pre_id AS body_id, 0L AS input_synapses, synapses AS output_synapses)))")
+    return rows.selectExpr("dataset", "body_id", "neuropil", "region", "hemisphere", "input_synapses", "output_synapses", "input_synapses + output_synapses AS total_synapses")
 
 
 def membership(edges: DataFrame) -> DataFrame:
@@ -74,10 +75,10 @@ def neurons(members: DataFrame) -> DataFrame:
     ``members`` is the membership table where that has been written, else the
     edges' ends, which saves a shuffle.
     """
-    bits = F.bit_or(L.traits(F.col("region"), F.col("hemisphere"))).alias("bits")
+    bits = F.bit_or(L.traits()).alias("bits")
     sums = ("input_synapses", "output_synapses", "total_synapses")
     out = members.groupBy("dataset", "body_id").agg(bits, *[F.sum(c).alias(c) for c in sums])
-    out = out.select("dataset", "body_id", L.regions(F.col("bits")).alias("regions"), L.hemispheres(F.col("bits")).alias("hemispheres"), *sums)
+    out = out.select("dataset", "body_id", L.regions("bits").alias("regions"), L.hemispheres("bits").alias("hemispheres"), *sums)
     empty = [F.lit("").alias(c) for c in ("primary_name", "instance", "cell_class", "glomerulus", "side", "aliases")]
     none = [x for k in (1, 2, 3) for x in (F.lit("").alias(f"top{k}_nt"), F.lit(None).cast("double").alias(f"top{k}_probability"))]
     return out.select("*", *empty, *none)
@@ -92,35 +93,35 @@ def labels(instances: DataFrame | None = None, hierarchy: DataFrame | None = Non
     ``tags`` (pt_root_id, tag) fill what these leave empty and are appended to
     the aliases. None without any source.
     """
-    text, empty, none = (lambda c: F.col(c).cast("string")), F.lit(""), F.lit(None).cast("string")
-    made = ("source", "a", "b")
     parts = []
-    if instances is not None:
-        parts.append(instances.where("bodyId is not null").select(F.lit("hemibrain").alias("dataset"), text("bodyId").alias("body_id"), *[x.alias(c) for c, x in zip(made, (F.lit("instance"), text("type"), text("instance")), strict=True)]))
-    if hierarchy is not None:
-        parts.append(hierarchy.where("pt_root_id is not null").select(F.lit("flywire").alias("dataset"), text("pt_root_id").alias("body_id"), *[x.alias(c) for c, x in zip(made, (F.lit("value"), text("cell_type"), text("classification_system")), strict=True)]))
-    if tags is not None:
-        parts.append(tags.where("pt_root_id is not null").select(F.lit("flywire").alias("dataset"), text("pt_root_id").alias("body_id"), *[x.alias(c) for c, x in zip(made, (F.lit("tag"), text("tag"), none), strict=True)]))
+    for df, key, dataset, source, x, y in (
+        (instances, "bodyId", "hemibrain", "instance", "type", "instance"),
+        (hierarchy, "pt_root_id", "flywire", "value", "cell_type", "classification_system"),
+        (tags, "pt_root_id", "flywire", "tag", "tag", "NULL"),
+    ):
+        if df is not None:
+            parts.append(df.where(f"{key} IS NOT NULL").selectExpr(f"'{dataset}' AS dataset", f"CAST({key} AS STRING) AS body_id", f"'{source}' AS source", f"CAST({x} AS STRING) AS a", f"CAST({y} AS STRING) AS b"))
     if not parts:
         return None
-    a, b, of = F.col("a"), F.col("b"), (lambda name: F.col("source") == name)
-    least = F.min(F.when(of("instance"), F.struct(F.coalesce(a, empty), F.coalesce(b, empty), a.alias("t"), b.alias("i"))))
-    values = F.collect_set(F.when(~of("instance"), F.struct("source", "a")))
-    one = reduce(DataFrame.unionByName, parts).groupBy("dataset", "body_id").agg(least.alias("least"), values.alias("values"), F.min(F.when(of("value") & (b == "cell_type"), a)).alias("p"), F.min(F.when(of("value") & (b == "cell_class"), a)).alias("k"))
-    some = lambda name: listed(F.transform(F.filter("values", lambda x: x["source"] == name), lambda x: x["a"]), "; ")
-    one = one.select("dataset", "body_id", F.col("least.t").alias("t"), F.col("least.i").alias("i"), F.col("least").isNotNull().alias("named"), "p", "k", some("value").alias("n"), some("tag").alias("g"), F.exists("values", lambda x: x["source"] == "tag").alias("hit"))
-    t, i, p, k, n, g = (F.col(c) for c in "tipkng")
-    filled = lambda x: F.nullif(x, empty)
-    first = F.coalesce(p, n, empty)
-    tagged = lambda f: F.when(g.isNotNull(), f(g)).otherwise(empty)
-    return one.select(
+    one = reduce(DataFrame.unionByName, parts).groupBy("dataset", "body_id").agg(
+        F.expr("min(CASE WHEN source = 'instance' THEN struct(coalesce(a, ''), coalesce(b, ''), a AS t, b AS i) END)").alias("least"),
+        F.expr("collect_set(CASE WHEN source <> 'instance' THEN struct(source, a) END)").alias("values"),
+        F.expr("min(CASE WHEN source = 'value' AND b = 'cell_type' THEN a END)").alias("p"),
+        F.expr("min(CASE WHEN source = 'value' AND b = 'cell_class' THEN a END)").alias("k"),
+    )
+    some = lambda source: f"transform(filter(values, x -> x.source = '{source}' AND x.a IS NOT NULL), x -> x.a)"
+    joined = lambda source: f"CASE WHEN size({some(source)}) > 0 THEN array_join(array_sort({some(source)}), '; ') END"
+    one = one.selectExpr("dataset", "body_id", "least.t AS t", "least.i AS i", "least IS NOT NULL AS named", "p", "k", f"{joined('value')} AS n", f"{joined('tag')} AS g", "exists(values, x -> x.source = 'tag') AS hit")
+    one = one.selectExpr("*", "coalesce(t, i, '') AS ti", "coalesce(i, t, '') AS it", "coalesce(p, n, '') AS first", "coalesce(k, p, n, '') AS of_class")
+    by = lambda f, own, first: f"CASE WHEN named THEN {f(own)} ELSE coalesce(nullif({f(first)}, ''), CASE WHEN g IS NOT NULL THEN {f('g')} ELSE '' END) END"
+    return one.selectExpr(
         "dataset", "body_id",
-        F.when(F.col("named"), F.coalesce(t, empty)).otherwise(F.coalesce(filled(p), F.split_part(g, F.lit(";"), F.lit(1)), empty)).alias("primary_name"),
-        F.coalesce(i, empty).alias("instance"),
-        F.when(F.col("named"), L.cell_class(F.coalesce(t, i, empty))).otherwise(F.coalesce(filled(L.cell_class(F.coalesce(k, first))), tagged(L.cell_class))).alias("cell_class"),
-        F.when(F.col("named"), L.glomerulus(F.coalesce(t, i, empty))).otherwise(F.coalesce(filled(L.glomerulus(first)), tagged(L.glomerulus))).alias("glomerulus"),
-        F.when(F.col("named"), L.side(F.coalesce(i, t, empty))).otherwise(F.coalesce(filled(L.side(first)), tagged(L.side))).alias("side"),
-        F.when(F.col("named"), F.coalesce(t, empty)).when(~F.col("hit"), F.coalesce(n, empty)).otherwise(F.trim(F.concat_ws("; ", filled(n), g))).alias("aliases"),
+        "CASE WHEN named THEN coalesce(t, '') ELSE coalesce(nullif(p, ''), split_part(g, ';', 1), '') END AS primary_name",
+        "coalesce(i, '') AS instance",
+        f"{by(L.cell_class_sql, 'ti', 'of_class')} AS cell_class",
+        f"{by(L.glomerulus_sql, 'ti', 'first')} AS glomerulus",
+        f"{by(L.side_sql, 'it', 'first')} AS side",
+        "CASE WHEN named THEN coalesce(t, '') WHEN NOT hit THEN coalesce(n, '') ELSE trim(concat_ws('; ', nullif(n, ''), g)) END AS aliases",
     )
 
 
@@ -149,16 +150,16 @@ def edges_total(edges: DataFrame) -> DataFrame:
     neuropils, sources = (sorted({r[c] for r in known if r[c] is not None}) for c in ("neuropil", "source_table"))
     total = F.sum("synapses").alias("synapses")
     if len(known) > WORD * WORDS or len(sources) > WORD:
-        out = edges.groupBy(*keys).agg(F.collect_set("neuropil").alias("n"), F.collect_set("source_table").alias("s"), F.bit_or(L.traits(F.col("region"), F.col("hemisphere"))).alias("bits"), total)
+        out = edges.groupBy(*keys).agg(F.collect_set("neuropil").alias("n"), F.collect_set("source_table").alias("s"), F.bit_or(L.traits()).alias("bits"), total)
         n, s = listed(F.col("n")), listed(F.col("s"))
     else:
         words = [neuropils[k : k + WORD] for k in range(0, len(neuropils), WORD)]
-        made = [F.bit_or(flags(F.col("neuropil"), w)).alias(f"w{k}") for k, w in enumerate(words)]
-        bits = L.traits(F.col("region"), F.col("hemisphere"))
-        out = edges.groupBy(*keys).agg(*made, F.bit_or(flags(F.col("source_table"), sources)).alias("s"), F.bit_or(bits).alias("bits"), total)
-        n = F.nullif(F.concat_ws(",", *[flagged(F.col(f"w{k}"), w) for k, w in enumerate(words)]), F.lit(""))
-        s = flagged(F.col("s"), sources)
-    return out.select(*keys, n.alias("neuropils"), L.regions(F.col("bits")).alias("regions"), L.hemispheres(F.col("bits")).alias("hemispheres"), "synapses", s.alias("source_tables"))
+        made = [F.expr(f"bit_or({flags_sql('neuropil', w)})").alias(f"w{k}") for k, w in enumerate(words)]
+        bits = L.traits()
+        out = edges.groupBy(*keys).agg(*made, F.expr(f"bit_or({flags_sql('source_table', sources)})").alias("s"), F.bit_or(bits).alias("bits"), total)
+        n = F.nullif(F.concat_ws(",", *[flagged(f"w{k}", w) for k, w in enumerate(words)]), F.lit(""))
+        s = flagged("s", sources)
+    return out.select(*keys, n.alias("neuropils"), L.regions("bits").alias("regions"), L.hemispheres("bits").alias("hemispheres"), "synapses", s.alias("source_tables"))
 
 
 def provenance(raw: dict[str, DataFrame], edges: DataFrame, store: str = "") -> DataFrame:
