@@ -20,7 +20,11 @@ ORACLE_SQL: str | None = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier keeps."""
+    """The documents that the quality classifier keeps, by ``labels``.
+
+    Null and empty texts weigh nothing, so they stay; rows with the same id and
+    text share their fate; without labels all stay; an empty table stays empty.
+    """
     own, back = apart(docs, ["log_weight", "keep"])
     return back(quality.classify(own, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep"))
 
@@ -46,19 +50,32 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind, and n_chars of the new texts."""
+    """All documents, personal data in their texts replaced by its kind, and n_chars of the new texts.
+
+    A null text becomes the empty one; repeated rows each stay; an empty table
+    stays empty; columns called like the operator's keep their values.
+    """
     own, back = apart(docs, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
     return back(pii.find(own, clean=True)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, twice at most.
+
+    Documents without words add nothing and come as the fit takes them; null
+    sources are one source, the last; repeated rows are documents of their own;
+    an empty table stays empty.
+    """
     mixed = mixing.mix(docs).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    A null or empty text is the end token alone; repeated rows are documents of
+    their own; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
