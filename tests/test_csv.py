@@ -115,3 +115,34 @@ def test_manifest_streams(spark, tmp_path):
 
     list(catalog._described(iter([pa.RecordBatch.from_pydict({"uri": [f"file://{root}/d/c/large.csv"]})])))
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 40_000  # KB, of 63 MB
+
+
+@pytest.mark.parametrize("sep", [",", "\t", "^", "é"])
+def test_lines_of_a_batch_have_the_states_of_single_ones(sep):
+    import pyarrow as pa
+
+    r = random.Random(2)
+    texts = ["".join(r.choice(['"', '"', sep, "x", "\r", "é"]) for _ in range(r.randint(0, 12))) for _ in range(20_000)]
+    zero, one = csv_split._leads(pa.array(texts), sep)
+    assert zero.tolist() == [csv_split.ends_inside(x, False, sep) for x in texts] and one.tolist() == [csv_split.ends_inside(x, True, sep) for x in texts]
+    for state in (False, True):
+        got, want = csv_split._after(zero, one, state).tolist(), []
+        for x in texts:
+            want.append(csv_split.ends_inside(x, want[-1] if want else state, sep))
+        assert got == want
+
+
+def test_late_values_decide_types_and_states_are_found_once(spark, tmp_path, ranges):
+    p = tmp_path / "late.csv"
+    n = 1500
+    with open(p, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(["number", "a\nb", "late", "day", "none"])
+        w.writerows([(k, "x\ny", k if k < n - 1 else "text", "" if k < n - 9 else "2024-01-10", "") for k in range(n)])
+    ranges("3000")
+    df = bulk.read(spark, str(p))
+    assert df.dtypes == [("number", "bigint"), ("a\nb", "string"), ("late", "string"), ("day", "date"), ("none", "string")]
+    got = sorted((r["number"], r["a\nb"], r["late"], str(r["day"])) for r in df.collect())
+    assert got == [(k, "x\ny", str(k) if k < n - 1 else "text", "None" if k < n - 9 else "2024-01-10") for k in range(n)]
+    # one scan for records and one for those that cross ranges
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("] text\n") == 2
