@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from axonspark.sources import csv_split, store
@@ -87,16 +90,57 @@ def through_csv(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return csv_split.read_csv(spark, path)
 
 
+#: About so many rows are sorted by one task.
+TASK_ROWS = 1_000_000
+
+
+def _copied(folder: str, header: bytes):
+    """Parts of files, in order, to one file each, under a name of its own for each attempt, in steps of 1 MiB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                made = store.joined(folder, f"{uuid.uuid4().hex}.csv")
+                where, path = store.native(made)
+                where.create_dir(path.rpartition("/")[0], recursive=True)
+                with where.open_output_stream(path) as out:
+                    out.write(header)
+                    for part in parts:
+                        source, name = store.native(part)
+                        with source.open_input_stream(name) as f:
+                            while step := f.read(1 << 20):
+                                out.write(step)
+                yield pa.RecordBatch.from_pydict({"file": [file], "path": [made]})
+
+    return run
+
+
+def _write_files(spark: SparkSession, rows: DataFrame, root: str, name: str) -> None:
+    """Rows as one CSV file for each ``file`` below ``root``, in order of ``k`` and then of all else.
+
+    Tasks sort and write ranges of about TASK_ROWS rows, however many a file
+    has; one task a file then copies its ranges' parts one after the other.
+    """
+    part = f"{root}/.{name}"
+    order = ["file", "k", *[c for c in rows.columns if c not in ("file", "k")]]
+    dealt = rows.repartitionByRange(rows.count() // TASK_ROWS + 1, *order).sortWithinPartitions(*order).drop("k")
+    dealt.write.partitionBy("file").options(**CSV | {"header": "false"}).csv(f"{part}/parts")
+    found = defaultdict(list)
+    for path in store.files(spark, f"{part}/parts", ".csv"):
+        file, number = re.search(r"/file=([^/]*)/part-(\d+)", path).groups()
+        found[unquote(file)].append((int(number), path))
+    if found:
+        parts = pa.table({"file": list(found), "parts": [[path for _, path in sorted(x)] for x in found.values()]})
+        header = ",".join(c for c in dealt.columns if c != "file") + "\n"
+        for file, path in spark.createDataFrame(parts).mapInArrow(_copied(f"{part}/whole", header.encode()), "file string, path string").collect():
+            store.move(spark, path, f"{root}/{file}")
+    store.delete(spark, part)
+
+
 def catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
     """A catalog of CSV files that Spark writes from the tables (those of CATALOG called ``names``, or all), below the session's shared folder or its warehouse."""
     root = shared(spark, "catalog")
     for name in names or CATALOG:
-        part = f"{root}/.{name}"
-        rows = load(spark, sf_dir, CATALOG[name]).repartition("file").sortWithinPartitions("file", "k").drop("k")
-        rows.write.partitionBy("file").options(**CSV).csv(part)
-        for path in store.files(spark, part, ".csv"):
-            file = unquote(re.search(r"/file=([^/]*)/", path)[1])
-            store.move(spark, path, f"{root}/{file}")
-        store.delete(spark, part)
+        _write_files(spark, load(spark, sf_dir, CATALOG[name]), root, name)
     write_manifest(spark, root)
     return Catalog(spark, root)

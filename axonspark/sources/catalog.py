@@ -24,6 +24,7 @@ from axonspark.sources import csv_split, store
 
 MANIFEST = ("dataset", "collection", "file_id", "relative_path", "rows", "columns", "size_bytes", "sha256")
 ENVIRONMENT = "AXONSPARK_DATA_DIR"
+MOST_TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -196,10 +197,11 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
 
     Spark lists the files without opening them; each is then read once, as a
     stream, by the task that gets it, so that a file of any size takes a few MiB.
+    There are as many tasks as files, up to MOST_TASKS.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(rooted(root)).select("path", F.col("length").alias("size_bytes"))
     files = files.withColumn("relative_path", relative(F.col("path"), root)).where("relative_path <> 'manifest.csv'")
-    found = files.select("path").repartition("path").mapInArrow(_described, "path string, rows long, columns string, sha256 string")
+    found = files.select("path").repartitionByRange(min(max(files.count(), 1), MOST_TASKS), "path").mapInArrow(_described, "path string, rows long, columns string, sha256 string")
     parts = F.split("relative_path", "/")
     stem = F.regexp_replace("relative_path", r"\.csv$", "")
     ident = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, "[^0-9A-Za-z]", "_"), "_+", "_"), "^_|_$", ""))

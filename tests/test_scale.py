@@ -1,15 +1,19 @@
 """What has to hold however large the data are: layouts, results of any length, quantiles, stores, builds that break off."""
 
+import csv
 import json
+import os
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.feather
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from axonspark.operators import edges, plotdata, search, sink
-from axonspark.plans import atlas, questions
+from axonspark.plans import adaptor, atlas, questions
 from axonspark.sources import arrow_ipc, catalog, store
 
 
@@ -137,3 +141,42 @@ def test_later_families_stay_closed(spark, tmp_path):
     with pytest.raises(Exception):
         search.find_local_neurons(c, "lln2", limit=3)
     assert json.loads(sink.render([{"a": "1"}], None, "json")) == [{"a": "1"}]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_catalog_files_are_sorted_by_many_tasks(spark, tmp_path, monkeypatch):
+    seen = []
+    listed = store.files
+
+    def spy(s, root, suffix):
+        got = listed(s, root, suffix)
+        seen.extend(sum(1 for _ in open(p.removeprefix("file:"), "rb")) for p in got)
+        return got
+
+    monkeypatch.setattr(store, "files", spy)
+    monkeypatch.setattr(adaptor, "TASK_ROWS", 300, raising=False)
+    monkeypatch.setattr(adaptor, "shared", lambda s, name: f"file://{tmp_path}/{name}")
+    made = adaptor.catalog(spark, "/root/testdata/sf0.001", "inputs")
+    rows = adaptor.load(spark, "/root/testdata/sf0.001", adaptor.CATALOG["inputs"]).collect()
+    assert len(seen) > 16 and sum(seen) == len(rows) and max(seen) <= 600
+    assert {t.relative_path: t.rows for t in made.entries} == dict(Counter(r.file for r in rows))
+    names = ["LN_instance", "LN_bodyid", "glomerulus", "n_inputs", "n_ipsi_inputs", "n_contra_inputs"]
+    for t in made.entries:
+        with open(tmp_path / "catalog" / t.relative_path, newline="") as f:
+            got = list(csv.reader(f))
+        want = sorted((r.k, *[r[c] for c in names]) for r in rows if r.file == t.relative_path)
+        assert got == [names, *[[str(x) for x in r[1:]] for r in want]]
+    assert [p.name for p in (tmp_path / "catalog").iterdir() if "inputs" in p.name] == []
+
+
+def test_files_of_a_manifest_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"{k}.csv").write_text("a\n1\n")
+
+    def where(batches):
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_pydict({"path": b.column(0), "rows": pa.array([TaskContext.get().partitionId()] * n, pa.int64()), "columns": ["a"] * n, "sha256": [""] * n})
+
+    monkeypatch.setattr(catalog, "_described", where)
+    assert len({r.rows for r in catalog.build_manifest(spark, str(tmp_path)).collect()}) == 6
